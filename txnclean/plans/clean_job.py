@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import amount_text
@@ -45,6 +46,12 @@ class CleanResult:
     audit: DataFrame        # I1: non-empty rows before dedupe + per-row counters
     input_path: Optional[str] = None
     output_path: Optional[str] = None
+    cached: Optional[DataFrame] = None
+
+    def release(self) -> None:
+        """Drop the cached grouped table (see ``clean(persist=True)``)."""
+        if self.cached is not None:
+            self.cached.unpersist()
 
     def stats(self) -> DataFrame:
         """The one-row stats record, fields in the reference's order."""
@@ -80,11 +87,15 @@ def with_order(df: DataFrame, order_by: list[str] | str | None) -> DataFrame:
 def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
           order_by: list[str] | str | None = None,
           ghosts: GhostOptions = GhostOptions(),
-          input_path: Optional[str] = None, output_path: Optional[str] = None) -> CleanResult:
+          input_path: Optional[str] = None, output_path: Optional[str] = None,
+          persist: bool = False) -> CleanResult:
     """Clean a DataFrame of raw cells.
 
     ``df`` holds raw cells (any type, read as text) and either an ``_ord`` column
     (as :func:`txnclean.sources.csv_source.read_csv` adds) or ``order_by`` columns.
+    ``persist=True`` keeps the grouped table (after the one shuffle) in memory/disk so
+    the output write and the stats read it once; lost blocks are recomputed from
+    lineage, so executor loss only costs time.
     """
     df = with_order(df, order_by)
     header = [c for c in df.columns if c != ORD]
@@ -103,6 +114,8 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     # Its flag comes out of the aggregate, so filters on it stay above the shuffle.
     grouped = grouped.select(*value_cols, GROUP_SIZE, FIXED_SUM, SYM_SUM,
                              (~F.col(GROUP_LIVE)).alias(EMPTY))
+    if persist:
+        grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
 
     firsts = grouped.filter(~F.col(EMPTY))
     if ghosts.enabled:
@@ -117,7 +130,8 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     audit = cells.filter(F.col(LIVE)).select(
         *value_cols, F.col(DATE_FIXED).alias("date_fixed"),
         F.col(SYMBOLS).alias("currency_symbols_found"))
-    return CleanResult(roles, groups, cleaned, audit, input_path, output_path)
+    return CleanResult(roles, groups, cleaned, audit, input_path, output_path,
+                       grouped if persist else None)
 
 
 def stats_frame(groups: DataFrame, roles: ResolvedRoles, input_path: Optional[str],
@@ -180,3 +194,39 @@ def audit_lines(audit: DataFrame) -> DataFrame:
         F.format_string("[%d] %s | %s | %s (date_fixed=%d, currency_found=%d)",
                         idx, part("date"), part("description"), part("amount"),
                         F.col("date_fixed"), F.col("currency_symbols_found")).alias("line"))
+
+
+def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
+              mapping: Optional[ColumnMapping] = None, *,
+              ghosts: GhostOptions = GhostOptions(),
+              report_path: Optional[str] = None, log_dir: Optional[str] = None,
+              multi_line: bool = True, single_file: bool = False,
+              line_sep: str = "\r\n") -> dict:
+    """J1, path form: read CSV, clean, write the cleaned CSV (+ report), return stats.
+
+    Raises FileNotFoundError for a missing input and ValueError for a file without
+    a header. ``output_csv_path`` and ``report_path`` are folders (pinned P11).
+    """
+    from ..sources.csv_sink import write_csv
+    from ..sources.csv_source import read_csv
+    from ..sources.events import log_event
+    from ..sources.report import stats_dict, write_report
+
+    df = read_csv(spark, input_csv_path, multi_line)
+    log_event(spark, log_dir, "clean_start", input_csv_path=input_csv_path,
+              output_csv_path=output_csv_path)
+    res = clean(df, mapping, ghosts=ghosts, input_path=input_csv_path,
+                output_path=output_csv_path, persist=True)
+    try:
+        write_csv(res.csv_frame(), output_csv_path, line_sep=line_sep, single_file=single_file)
+        stats_df = res.stats()
+        stats = stats_dict(stats_df)
+        log_event(spark, log_dir, "clean_complete", **stats)
+        if report_path:
+            write_report(spark, stats_df, report_path)
+    except Exception as e:
+        log_event(spark, log_dir, "clean_csv_error", level="ERROR", error=str(e)[:2000])
+        raise
+    finally:
+        res.release()
+    return stats
