@@ -14,7 +14,8 @@ DATA = os.path.join(ROOT, "tests", "data")
 def spark():
     from txnclean.session import local_session
     s = local_session(8, shuffle_partitions=8,
-                      checkpoint_dir=tempfile.mkdtemp(prefix="txnclean-ckpt-", dir="/tmp"))
+                      checkpoint_dir=tempfile.mkdtemp(prefix="txnclean-ckpt-", dir="/tmp"),
+                      warehouse_dir=tempfile.mkdtemp(prefix="txnclean-wh-", dir="/tmp"))
     yield s
     s.stop()
 

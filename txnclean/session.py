@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  checkpoint_dir: str | None = None) -> SparkSession:
+                  checkpoint_dir: str | None = None,
+                  warehouse_dir: str | None = None) -> SparkSession:
     """A local session configured like the tests and the bench (UI off, AQE on)."""
+    builder = SparkSession.builder
+    if warehouse_dir:
+        builder = builder.config("spark.sql.warehouse.dir", warehouse_dir)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("txnclean")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
