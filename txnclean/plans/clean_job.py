@@ -47,6 +47,7 @@ class CleanResult:
     input_path: Optional[str] = None
     output_path: Optional[str] = None
     cached: Optional[DataFrame] = None
+    all_rows: Optional[DataFrame] = None   # every input row after cell cleaning
 
     def release(self) -> None:
         """Drop the cached grouped table (see ``clean(persist=True)``)."""
@@ -70,8 +71,24 @@ class CleanResult:
         return to_text_frame(self.cleaned, self.roles)
 
     def audit_lines(self) -> DataFrame:
-        """One verbose line per cleaned row."""
-        return audit_lines(self.audit)
+        """One verbose line per non-empty row, indexed among all input rows."""
+        return audit_lines(self.all_rows)
+
+    def accounting(self) -> DataFrame:
+        """input = all-empty + duplicates + ghosts + cleaned, as one aggregate."""
+        n, live = F.col(GROUP_SIZE), ~F.col(EMPTY)
+
+        def total(c: Column) -> Column:
+            return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+        acc = self.groups.agg(
+            total(n).alias("total_rows_input"),
+            total(F.when(~live, n)).alias("all_empty"),
+            total(F.when(live, n - 1)).alias("duplicates_removed"),
+            total(F.when(live & F.col(GHOST), 1)).alias("ghost_transactions_removed"),
+            total(F.when(live & ~F.col(GHOST), 1)).alias("total_rows_cleaned"))
+        return acc.withColumn("balanced", F.col("total_rows_input") == F.col("all_empty")
+                              + F.col("duplicates_removed") + F.col("ghost_transactions_removed")
+                              + F.col("total_rows_cleaned"))
 
 
 def with_order(df: DataFrame, order_by: list[str] | str | None) -> DataFrame:
@@ -130,8 +147,10 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     audit = cells.filter(F.col(LIVE)).select(
         *value_cols, F.col(DATE_FIXED).alias("date_fixed"),
         F.col(SYMBOLS).alias("currency_symbols_found"))
+    all_rows = cells.select(*value_cols, F.col(DATE_FIXED).alias("date_fixed"),
+                            F.col(SYMBOLS).alias("currency_symbols_found"), LIVE)
     return CleanResult(roles, groups, cleaned, audit, input_path, output_path,
-                       grouped if persist else None)
+                       grouped if persist else None, all_rows)
 
 
 def stats_frame(groups: DataFrame, roles: ResolvedRoles, input_path: Optional[str],
@@ -178,55 +197,21 @@ def _py_str(c: Column) -> Column:
     return F.coalesce(as_text, F.lit("None"))
 
 
-def audit_lines(audit: DataFrame) -> DataFrame:
+def audit_lines(all_rows: DataFrame) -> DataFrame:
     """``[i] date | description | amount (date_fixed=.., currency_found=..)``.
 
-    ``i`` is the 0-based arrival index; it needs a dense index, so this is meant for
-    previews. Columns named ``date``/``description``/``amount`` are read when present.
+    ``i`` is the 0-based position among *all* input rows (empty ones included), from
+    a distributed dense index. Columns named ``date``/``description``/``amount`` are
+    read when present.
     """
+    from ..operators.ordering import with_dense_index
+
     def part(name: str) -> Column:
-        return _py_str(F.col(name)) if name in audit.columns else F.lit("")
+        return _py_str(F.col(name)) if name in all_rows.columns else F.lit("")
 
-    from pyspark.sql.window import Window
-    idx = F.row_number().over(Window.orderBy(ORD)) - 1
-    return audit.select(
+    indexed = with_dense_index(all_rows, ORD, "__tc_idx")
+    return indexed.where(F.col(LIVE)).select(
         ORD,
         F.format_string("[%d] %s | %s | %s (date_fixed=%d, currency_found=%d)",
-                        idx, part("date"), part("description"), part("amount"),
+                        F.col("__tc_idx"), part("date"), part("description"), part("amount"),
                         F.col("date_fixed"), F.col("currency_symbols_found")).alias("line"))
-
-
-def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
-              mapping: Optional[ColumnMapping] = None, *,
-              ghosts: GhostOptions = GhostOptions(),
-              report_path: Optional[str] = None, log_dir: Optional[str] = None,
-              multi_line: bool = True, single_file: bool = False,
-              line_sep: str = "\r\n") -> dict:
-    """J1, path form: read CSV, clean, write the cleaned CSV (+ report), return stats.
-
-    Raises FileNotFoundError for a missing input and ValueError for a file without
-    a header. ``output_csv_path`` and ``report_path`` are folders (pinned P11).
-    """
-    from ..sources.csv_sink import write_csv
-    from ..sources.csv_source import read_csv
-    from ..sources.events import log_event
-    from ..sources.report import stats_dict, write_report
-
-    df = read_csv(spark, input_csv_path, multi_line)
-    log_event(spark, log_dir, "clean_start", input_csv_path=input_csv_path,
-              output_csv_path=output_csv_path)
-    res = clean(df, mapping, ghosts=ghosts, input_path=input_csv_path,
-                output_path=output_csv_path, persist=True)
-    try:
-        write_csv(res.csv_frame(), output_csv_path, line_sep=line_sep, single_file=single_file)
-        stats_df = res.stats()
-        stats = stats_dict(stats_df)
-        log_event(spark, log_dir, "clean_complete", **stats)
-        if report_path:
-            write_report(spark, stats_df, report_path)
-    except Exception as e:
-        log_event(spark, log_dir, "clean_csv_error", level="ERROR", error=str(e)[:2000])
-        raise
-    finally:
-        res.release()
-    return stats

@@ -52,6 +52,12 @@ k AS (
   FROM m WHERE NOT empty_row)"""
 
 
+_DEDUPED = _KEYED + """,
+d AS (
+  SELECT * FROM k
+  QUALIFY row_number() OVER (PARTITION BY k_date, k_desc, k_amount ORDER BY copy, o_orderkey) = 1)"""
+
+
 @register("clean_job", _KEYED + """
 SELECT copy, o_orderkey, exp_date AS date, exp_desc AS description, exp_amount AS amount
 FROM k
@@ -61,3 +67,402 @@ def q_clean_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 flagship: cell rules + B6 + first-row-wins dedupe over all messy orders."""
     res = clean_messy(spark, sf_dir)
     return res.cleaned.select(*_ids(res.cleaned), "date", "description", "amount")
+
+
+# ---------------------------------------------------------------- helpers
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+def _staged(df: DataFrame, stages_fn, raw: str, out: str, extra: str) -> DataFrame:
+    for st in stages_fn(raw, out, extra, "__q_"):
+        df = df.withColumns(st)
+    return df
+
+
+def _date_family(spark: SparkSession, sf_dir: str, text_fn) -> DataFrame:
+    from ..functions.dates import date_stages
+    o = _orders(spark, sf_dir)
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    df = o.select(k, text_fn(k, F.year(d), F.month(d), F.dayofmonth(d), d).alias("raw"))
+    return _staged(df, date_stages, "raw", "date", "fixed").select("o_orderkey", "raw", "date", "fixed")
+
+
+def _amount_family(spark: SparkSession, sf_dir: str, text_fn) -> DataFrame:
+    from ..functions.amounts import amount_stages
+    o = _orders(spark, sf_dir)
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    df = o.select(k, text_fn(k, p).alias("raw"))
+    return _staged(df, amount_stages, "raw", "amount", "symbols").select("o_orderkey", "raw", "amount", "symbols")
+
+
+def _s(x) -> Column:
+    return x.cast("string")
+
+
+def _p2(x) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
+
+
+from pyspark.sql import Column  # noqa: E402
+from ..functions.amounts import CURRENCY_SYMBOLS  # noqa: E402
+from ..sources.messy import MON_FULL, MON_SHORT  # noqa: E402
+
+# Weekday names in Sunday-first order (Spark dayofweek 1 = Sunday).
+WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
+CODES = ["USD", "INR", "EUR"]
+
+
+def _arr(xs: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in xs])
+
+
+def _sql_list(xs) -> str:
+    return "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+
+
+_SYMS = list(CURRENCY_SYMBOLS)
+_SQL_ORD = "o_orderkey, CAST(o_orderdate AS DATE) AS d, o_totalprice AS p"
+
+
+def _sql_p2(e: str) -> str:
+    return f"lpad(CAST({e} AS VARCHAR), 2, '0')"
+
+
+def _sql_date_family(raw: str, exp: str, fixed: str) -> str:
+    return f"""SELECT o_orderkey, {raw} AS raw, {exp} AS date, {fixed} AS fixed
+FROM (SELECT {_SQL_ORD} FROM orders)"""
+
+
+def _sql_amount_family(raw: str, exp: str, symbols: str) -> str:
+    return f"""SELECT o_orderkey, {raw} AS raw, CAST({exp} AS DOUBLE) AS amount, {symbols} AS symbols
+FROM (SELECT {_SQL_ORD} FROM orders)"""
+
+
+_ISO = "strftime(d, '%Y-%m-%d')"
+_Y = "CAST(year(d) AS VARCHAR)"
+
+# ---------------------------------------------------------------- dates
+
+
+@register("date_canonical", _sql_date_family(
+    f"CASE WHEN o_orderkey % 10 = 0 THEN {_Y} || '-02-30' ELSE {_ISO} END",
+    f"CASE WHEN o_orderkey % 10 = 0 THEN {_Y} || '-02-30' ELSE {_ISO} END", "0"))
+def q_date_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """canonical text passes through unvalidated and is not counted as fixed."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.when(
+        k % 10 == 0, F.concat(_s(y), F.lit("-02-30"))).otherwise(
+        F.concat_ws("-", _s(y), _p2(m), _p2(d))))
+
+
+@register("date_iso_token", _sql_date_family(
+    f"'  paid   on ' || {_Y} || '/' || CAST(month(d) AS VARCHAR) || '/' || CAST(day(d) AS VARCHAR) || ' 10:15  '",
+    _ISO, "1"))
+def q_date_iso_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whitespace collapse, ISO token anywhere, time dropped."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.concat(
+        F.lit("  paid   on "), _s(y), F.lit("/"), _s(m), F.lit("/"), _s(d), F.lit(" 10:15  ")))
+
+
+@register("date_dmy", _sql_date_family(
+    f"{_sql_p2('day(d)')} || '.' || {_sql_p2('month(d)')} || '.' || {_Y}", _ISO, "1"))
+def q_date_dmy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """numeric token, day first."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.concat_ws(".", _p2(d), _p2(m), _s(y)))
+
+
+@register("date_mdy", _sql_date_family(
+    f"{_sql_p2('month(d)')} || '/' || {_sql_p2('day(d)')} || '/' || {_Y}",
+    f"CASE WHEN day(d) > 12 THEN {_ISO} ELSE strftime(make_date(year(d), day(d), month(d)), '%Y-%m-%d') END",
+    "1"))
+def q_date_mdy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """month-first text is read day-first unless the second part is above 12."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.concat_ws("/", _p2(m), _p2(d), _s(y)))
+
+
+@register("date_two_digit_year", _sql_date_family(
+    f"{_sql_p2('day(d)')} || '/' || {_sql_p2('month(d)')} || '/' || {_sql_p2('year(d) % 100')}",
+    "strftime(make_date(2000 + year(d) % 100, month(d), day(d)), '%Y-%m-%d')", "1"))
+def q_date_two_digit_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: two-digit years are 20yy, no pivot (95 -> 2095)."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.concat_ws(
+        "/", _p2(d), _p2(m), _p2(y % 100)))
+
+
+@register("date_month_name", _sql_date_family(
+    f"""CASE o_orderkey % 4
+      WHEN 0 THEN upper(CAST(day(d) AS VARCHAR) || ' ' || {_sql_list(MON_SHORT)}[month(d)] || ' ' || {_Y})
+      WHEN 1 THEN lower({_sql_list(MON_FULL)}[month(d)] || ' ' || {_sql_p2('day(d)')} || ', ' || {_Y})
+      WHEN 2 THEN {_sql_list(WEEKDAYS)}[dayofweek(d) + 1] || ', ' || {_sql_p2('day(d)')} || ' '
+                  || {_sql_list(MON_FULL)}[month(d)] || ' ' || {_Y}
+      ELSE {_sql_list(MON_SHORT)}[month(d)] || ' ' || CAST(day(d) AS VARCHAR) || ' ' || {_Y} END""",
+    _ISO, "1"))
+def q_date_month_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """month names, either order, any case, weekday prefix, optional comma."""
+    def text(k, y, m, d, dt):
+        short, full = F.element_at(_arr(MON_SHORT), m), F.element_at(_arr(MON_FULL), m)
+        wd = F.element_at(_arr(WEEKDAYS), F.dayofweek(dt))
+        return (F.when(k % 4 == 0, F.upper(F.concat_ws(" ", _s(d), short, _s(y))))
+                .when(k % 4 == 1, F.lower(F.concat(full, F.lit(" "), _p2(d), F.lit(", "), _s(y))))
+                .when(k % 4 == 2, F.concat(wd, F.lit(", "), _p2(d), F.lit(" "), full, F.lit(" "), _s(y)))
+                .otherwise(F.concat_ws(" ", short, _s(d), _s(y))))
+    return _date_family(spark, sf_dir, text)
+
+
+@register("date_impossible", _sql_date_family(
+    f"""CASE o_orderkey % 3 WHEN 0 THEN '31/' || {_sql_p2('month(d)')} || '/' || {_Y}
+      WHEN 1 THEN '30 Feb ' || {_Y} ELSE {_Y} || '/' || {_sql_p2('month(d)')} || '/32' END""",
+    f"""CASE WHEN o_orderkey % 3 = 0 AND month(d) IN (1, 3, 5, 7, 8, 10, 12)
+      THEN strftime(make_date(year(d), month(d), 31), '%Y-%m-%d') END""",
+    "CASE WHEN o_orderkey % 3 = 0 AND month(d) IN (1, 3, 5, 7, 8, 10, 12) THEN 1 ELSE 0 END"))
+def q_date_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """impossible calendar days become NULL and are not counted."""
+    return _date_family(spark, sf_dir, lambda k, y, m, d, dt: F.when(
+        k % 3 == 0, F.concat(F.lit("31/"), _p2(m), F.lit("/"), _s(y))).when(
+        k % 3 == 1, F.concat(F.lit("30 Feb "), _s(y))).otherwise(
+        F.concat(_s(y), F.lit("/"), _p2(m), F.lit("/32"))))
+
+
+# ---------------------------------------------------------------- amounts
+
+_GROUPED = "format('{:,.2f}', p)"
+_PLAIN = "printf('%.2f', p)"
+_SYM = f"{_sql_list(_SYMS)}[o_orderkey % 15 + 1]"
+
+
+def _grouped(p: Column) -> Column:
+    return F.format_number(p, 2)
+
+
+def _plain(p: Column) -> Column:
+    return F.format_string("%.2f", p)
+
+
+def _sym(k: Column) -> Column:
+    return F.element_at(_arr(_SYMS), (k % 15 + 1).cast("int"))
+
+
+@register("amount_symbols", _sql_amount_family(f"{_SYM} || {_GROUPED}", "p", "1"))
+def q_amount_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the 15 symbols, thousands separators."""
+    return _amount_family(spark, sf_dir, lambda k, p: F.concat(_sym(k), _grouped(p)))
+
+
+@register("amount_accounting_negative", _sql_amount_family(
+    f"CASE WHEN o_orderkey % 2 = 0 THEN '(' || {_SYM} || {_GROUPED} || ')' ELSE '( ' || {_PLAIN} || ' )' END",
+    "-p", "CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END"))
+def q_amount_accounting_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G3: "(...)" is negative; the inner text is trimmed."""
+    return _amount_family(spark, sf_dir, lambda k, p: F.when(
+        k % 2 == 0, F.concat(F.lit("("), _sym(k), _grouped(p), F.lit(")"))).otherwise(
+        F.concat(F.lit("( "), _plain(p), F.lit(" )"))))
+
+
+@register("amount_minus", _sql_amount_family(
+    f"CASE WHEN o_orderkey % 2 = 0 THEN '-' || {_SYM} || {_PLAIN} ELSE {_SYM} || '-' || {_PLAIN} END",
+    "CASE WHEN o_orderkey % 2 = 0 THEN -p ELSE p END", "1"))
+def q_amount_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leading minus counts only before the symbol ("$-5" is +5)."""
+    return _amount_family(spark, sf_dir, lambda k, p: F.when(
+        k % 2 == 0, F.concat(F.lit("-"), _sym(k), _plain(p))).otherwise(
+        F.concat(_sym(k), F.lit("-"), _plain(p))))
+
+
+@register("amount_suffix_code", _sql_amount_family(
+    f"{_PLAIN} || ' ' || {_sql_list(CODES)}[o_orderkey % 3 + 1]", "p", "0"))
+def q_amount_suffix_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing currency codes are ignored."""
+    return _amount_family(spark, sf_dir, lambda k, p: F.concat(
+        _plain(p), F.lit(" "), F.element_at(_arr(CODES), (k % 3 + 1).cast("int"))))
+
+
+@register("amount_quirks", _sql_amount_family(
+    """CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(floor(p) AS BIGINT) AS VARCHAR) || 'abc'
+      WHEN 1 THEN '.' || lpad(CAST(CAST(round(p * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0')
+      WHEN 2 THEN printf('%.2f', p) || '%'
+      ELSE CAST(CAST(floor(p) AS BIGINT) AS VARCHAR) || 'e5' END""",
+    """CASE o_orderkey % 4 WHEN 1 THEN CAST(round(p * 100) AS BIGINT) % 100
+      WHEN 2 THEN p ELSE floor(p) END""", "0"))
+def q_amount_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First number only (".5" -> 5, "12abc" -> 12, "1e5" -> 1, "15%" -> 15)."""
+    def text(k, p):
+        whole = F.floor(p).cast("long").cast("string")
+        cents = F.lpad((F.round(p * 100).cast("long") % 100).cast("string"), 2, "0")
+        return (F.when(k % 4 == 0, F.concat(whole, F.lit("abc")))
+                .when(k % 4 == 1, F.concat(F.lit("."), cents))
+                .when(k % 4 == 2, F.concat(_plain(p), F.lit("%")))
+                .otherwise(F.concat(whole, F.lit("e5"))))
+    return _amount_family(spark, sf_dir, text)
+
+
+@register("currency_symbol_count", _sql_amount_family(
+    f"repeat({_SYM}, CAST(o_orderkey % 4 AS INTEGER)) || {_PLAIN}", "p", "CAST(o_orderkey % 4 AS INTEGER)"))
+def q_currency_symbol_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol occurrence is counted."""
+    def text(k, p):
+        s = _sym(k)
+        reps = (F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, s)
+                .when(k % 4 == 2, F.concat(s, s)).otherwise(F.concat(s, s, s)))
+        return F.concat(reps, _plain(p))
+    return _amount_family(spark, sf_dir, text)
+
+
+# ---------------------------------------------------------------- text, roles, projection
+
+# Memo texts by o_orderkey % 10 (the last slot takes the order text).
+MEMO_TEXTS = ["NULL", " none ", "NaN", "na", "", "N/A", "-", "?", "  Spaced  text  "]
+_DESC_SQL = ("o_orderstatus || ' order ' || lower(o_orderpriority) || ' cust ' || "
+             "CAST(o_custkey AS VARCHAR)")
+
+
+def _desc(o: DataFrame) -> Column:
+    return F.concat_ws(" ", F.col("o_orderstatus"), F.lit("order"), F.lower(F.col("o_orderpriority")),
+                       F.lit("cust"), F.col("o_custkey").cast("string"))
+
+
+@register("null_like", f"""
+SELECT o_orderkey, raw,
+  CASE WHEN lower(trim(raw)) IN ('', 'nan', 'na', 'null', 'none') THEN NULL ELSE trim(raw) END AS memo
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 9 THEN {_DESC_SQL}
+        ELSE {_sql_list(MEMO_TEXTS)}[o_orderkey % 10 + 1] END AS raw FROM orders)""")
+def q_null_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null-like text -> NULL; "N/A", "-", "?" are text; trim keeps inner spaces."""
+    from ..functions.text import clean_text
+    o = _orders(spark, sf_dir)
+    k = F.col("o_orderkey")
+    raw = F.when(k % 10 == 9, _desc(o)).otherwise(F.element_at(_arr(MEMO_TEXTS), (k % 10 + 1).cast("int")))
+    return o.select(k, raw.alias("raw")).select("o_orderkey", "raw", clean_text(F.col("raw")).alias("memo"))
+
+
+@register("roles_inferred", f"""
+SELECT o_orderkey, {_ISO} AS txn_date, {_DESC_SQL} AS memo, p AS net_amount,
+  {_ISO} AS trade_date, {_PLAIN} AS total_price, {_ISO} AS "Value Date", p AS "Debit"
+FROM (SELECT *, {_SQL_ORD} FROM orders)""")
+def q_roles_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles from header names; a `Value Date` column is a date;
+    `trade_date` and `total_price` stay text because a primary name matched."""
+    o = _orders(spark, sf_dir)
+    d, p = F.col("o_orderdate").cast("date"), F.col("o_totalprice")
+    y, m, dd = F.year(d), F.month(d), F.dayofmonth(d)
+    raw = o.select(
+        F.col("o_orderkey"),
+        F.concat_ws("/", _p2(dd), _p2(m), _s(y)).alias("txn_date"),
+        _desc(o).alias("memo"),
+        F.concat(F.lit("₹"), _grouped(p)).alias("net_amount"),
+        F.concat(F.lit("  "), F.concat_ws("-", _s(y), _p2(m), _p2(dd)), F.lit(" ")).alias("trade_date"),
+        _plain(p).alias("total_price"),
+        F.concat_ws(".", _s(y), _p2(m), _p2(dd)).alias("Value Date"),
+        F.concat(F.lit("$"), _plain(p)).alias("Debit"),
+    )
+    res = clean(with_order(raw, "o_orderkey").drop("o_orderkey"))
+    return res.audit.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"),
+                            *[F.col(f"`{c}`") for c in res.roles.output_columns])
+
+
+@register("project_ignore", _MESSY + """,
+k AS (SELECT *, coalesce(exp_date, '') AS k_date, coalesce(printf('%.2f', exp_amount), '') AS k_amount
+      FROM m WHERE exp_date IS NOT NULL OR exp_amount IS NOT NULL)
+SELECT copy, o_orderkey, exp_date AS date, CAST(NULL AS VARCHAR) AS description, exp_amount AS amount,
+       CAST(NULL AS VARCHAR) AS missing
+FROM k QUALIFY row_number() OVER (PARTITION BY k_date, k_amount ORDER BY copy, o_orderkey) = 1""")
+def q_project_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ignored column is empty and out of the dedupe key; an unknown
+    output column is NULL."""
+    from .roles import ColumnMapping
+    res = clean_messy(spark, sf_dir, mapping=ColumnMapping(
+        date_columns=["date"], amount_columns=["amount"], ignore_columns=["description"],
+        output_columns=["date", "description", "amount", "missing"]))
+    return res.cleaned.select(*_ids(res.cleaned), "date", "description", "amount", "missing")
+
+
+# ---------------------------------------------------------------- rows, dedupe, stats, audit
+
+@register("drop_empty_rows", _MESSY + "\nSELECT copy, o_orderkey FROM m WHERE empty_row")
+def q_drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows empty in every output column are dropped before dedupe."""
+    res = clean_messy(spark, sf_dir)
+    raw = _messy(spark, sf_dir).select(ORD)
+    gone = raw.join(res.audit.select(ORD), ORD, "left_anti")
+    return gone.select(*_ids(gone))
+
+
+@register("dedupe_first_wins", _KEYED + """
+SELECT copy, o_orderkey, exp_date AS date, exp_desc AS description, exp_amount AS amount,
+       count(*) OVER (PARTITION BY k_date, k_desc, k_amount) - 1 AS duplicates
+FROM k
+QUALIFY row_number() OVER (PARTITION BY k_date, k_desc, k_amount ORDER BY copy, o_orderkey) = 1""")
+def q_dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First row per normalised key, with the group's duplicate count."""
+    from ..operators.dedupe import GROUP_SIZE
+    from .clean_job import EMPTY
+    res = clean_messy(spark, sf_dir)
+    g = res.groups.where(~F.col(EMPTY))
+    return g.select(*_ids(g), "date", "description", "amount",
+                    (F.col(GROUP_SIZE) - 1).alias("duplicates"))
+
+
+_STATS_SQL = _KEYED + """,
+agg AS (
+  SELECT (SELECT count(*) FROM m) AS total_rows_input,
+         (SELECT count(*) FROM (SELECT DISTINCT k_date, k_desc, k_amount FROM k)) AS total_rows_cleaned,
+         (SELECT count(*) FROM k) - (SELECT count(*) FROM (SELECT DISTINCT k_date, k_desc, k_amount FROM k))
+           AS duplicates_removed,
+         0 AS ghost_transactions_removed,
+         (SELECT sum(exp_symbols) FROM m) AS currency_symbols_found,
+         (SELECT sum(exp_fixed) FROM m) AS invalid_dates_fixed,
+         (SELECT count(*) FROM m WHERE empty_row) AS all_empty)"""
+
+
+@register("clean_stats", _STATS_SQL + """
+SELECT total_rows_input, total_rows_cleaned, duplicates_removed, ghost_transactions_removed,
+       currency_symbols_found, invalid_dates_fixed FROM agg""")
+def q_clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the stats record."""
+    st = clean_messy(spark, sf_dir).stats()
+    return st.select("total_rows_input", "total_rows_cleaned", "duplicates_removed",
+                     "ghost_transactions_removed", "currency_symbols_found", "invalid_dates_fixed")
+
+
+@register("row_accounting", _STATS_SQL + """
+SELECT total_rows_input, all_empty, duplicates_removed, ghost_transactions_removed, total_rows_cleaned,
+       total_rows_input = all_empty + duplicates_removed + ghost_transactions_removed + total_rows_cleaned
+         AS balanced FROM agg""")
+def q_row_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """input = all-empty + duplicates + ghosts + cleaned."""
+    return clean_messy(spark, sf_dir).accounting()
+
+
+@register("row_audit", _MESSY + """
+SELECT copy, o_orderkey, exp_date AS date, exp_desc AS description, exp_amount AS amount,
+       exp_fixed AS date_fixed, exp_symbols AS currency_symbols_found
+FROM m WHERE NOT empty_row""")
+def q_row_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every non-empty row after cell cleaning, before dedupe, with its counters."""
+    a = clean_messy(spark, sf_dir).audit
+    return a.select(*_ids(a), "date", "description", "amount", "date_fixed", "currency_symbols_found")
+
+
+@register("audit_line", _MESSY + """,
+n AS (SELECT *, row_number() OVER (ORDER BY copy, o_orderkey) - 1 AS idx FROM m)
+SELECT copy, o_orderkey,
+  '[' || idx || '] ' || coalesce(exp_date, 'None') || ' | ' || coalesce(exp_desc, 'None') || ' | '
+  || coalesce(CAST(exp_amount AS VARCHAR), 'None') || ' (date_fixed=' || exp_fixed
+  || ', currency_found=' || exp_symbols || ')' AS line
+FROM n WHERE NOT empty_row""")
+def q_audit_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verbose per-row line, with the 0-based index among all input rows."""
+    res = clean_messy(spark, sf_dir)
+    lines = res.audit_lines()
+    return lines.select(*_ids(lines), "line")
+
+
+@register("preview", _DEDUPED + """
+SELECT copy, o_orderkey, exp_date AS date, exp_desc AS description, exp_amount AS amount
+FROM d ORDER BY copy, o_orderkey LIMIT 10""")
+def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 (E2 without the limit): the first cleaned rows in arrival order; the limit is
+    the feature."""
+    p = clean_messy(spark, sf_dir).preview(10)
+    return p.select(*_ids(p), "date", "description", "amount")
