@@ -41,9 +41,11 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
          table_name: str = "financial_records", truncate: bool = False,
          batch_size: int = 1000, postgres_schema: str = "public",
          jdbc_properties: Optional[dict] = None, num_partitions: Optional[int] = None,
-         log_dir: Optional[str] = None, source_path: Optional[str] = None) -> dict:
+         log_dir: Optional[str] = None, source_path: Optional[str] = None,
+         table_path: Optional[str] = None) -> dict:
     """J2 on a DataFrame of text columns with ``_ord`` (e.g. :func:`read_csv` output or
-    ``CleanResult.csv_frame()``). ``db_url_or_path=None`` writes a catalog table."""
+    ``CleanResult.csv_frame()``). ``db_url_or_path=None`` writes a catalog table
+    (``table_path`` places its files, e.g. in a shared folder)."""
     spark = df.sparkSession
     columns = [c for c in df.columns if c != ORD]
     if not columns:
@@ -59,7 +61,8 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
         if types[c] == "DATE" and prof["bad_date"][i]:
             raise ValueError(f"column {c!r}: {prof['bad_date'][i]} value(s) are not dates")
     out = df.select(*[convert(F.col(f"`{c}`"), types[c]).alias(c) for c in columns])
-    write_table(out, target, truncate=truncate, batch_size=batch_size, num_partitions=num_partitions)
+    write_table(out, target, truncate=truncate, batch_size=batch_size, num_partitions=num_partitions,
+                table_path=table_path)
     stats = {
         "cleaned_csv_path": source_path,
         "db_url_or_path": redact(db_url_or_path),

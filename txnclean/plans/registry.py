@@ -466,3 +466,270 @@ def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     the feature."""
     p = clean_messy(spark, sf_dir).preview(10)
     return p.select(*_ids(p), "date", "description", "amount")
+
+
+# ---------------------------------------------------------------- sinks read back
+
+def _shared_dir(spark: SparkSession, what: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/txnclean-{what}-{uuid.uuid4().hex[:12]}"
+
+
+def _h4_sql(x: str) -> str:
+    return f"regexp_replace(printf('%.2f', {x}), '\\.?0+$', '')"
+
+
+@register("csv_roundtrip", _DEDUPED + f"""
+SELECT exp_date AS date, exp_desc AS description, {_h4_sql('exp_amount')} AS amount FROM d""")
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, A2, A4, H4: write the cleaned CSV (ordered parts), read it back."""
+    from ..sources.csv_sink import write_csv
+    from ..sources.csv_source import read_csv
+    res = clean_messy(spark, sf_dir)
+    path = _shared_dir(spark, "csv")
+    write_csv(res.csv_frame(), path)
+    back = read_csv(spark, path)
+    return back.select("date", "description", "amount")
+
+
+def _report_sql() -> str:
+    nl = "' || chr(10) || '"
+    body = (f"'{{{nl}  \"total_rows_input\": ' || total_rows_input || ',{nl}  \"total_rows_cleaned\": ' || "
+            f"total_rows_cleaned || ',{nl}  \"duplicates_removed\": ' || duplicates_removed || ',{nl}"
+            f"  \"ghost_transactions_removed\": ' || ghost_transactions_removed || ',{nl}"
+            f"  \"currency_symbols_found\": ' || currency_symbols_found || ',{nl}"
+            f"  \"invalid_dates_fixed\": ' || invalid_dates_fixed || ',{nl}"
+            f"  \"date_columns\": [{nl}    \"date\"{nl}  ],{nl}"
+            f"  \"amount_columns\": [{nl}    \"amount\"{nl}  ],{nl}"
+            f"  \"output_columns\": [{nl}    \"date\",{nl}    \"description\",{nl}    \"amount\"{nl}  ],{nl}"
+            f"  \"input_csv_path\": null,{nl}  \"output_csv_path\": null{nl}}}'")
+    return _STATS_SQL + f"\nSELECT {body} AS report FROM agg"
+
+
+@register("report_json", _report_sql())
+def q_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: the stats record as indented JSON (keys in record order), read back."""
+    from ..sources.report import write_report
+    path = _shared_dir(spark, "report") + "/report.json"
+    write_report(spark, clean_messy(spark, sf_dir).stats(), path)
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.regexp_replace("value", "\n$", "").alias("report"))
+
+
+@register("report_csv", _STATS_SQL + """
+SELECT CAST(total_rows_input AS VARCHAR) AS total_rows_input,
+       CAST(total_rows_cleaned AS VARCHAR) AS total_rows_cleaned,
+       CAST(duplicates_removed AS VARCHAR) AS duplicates_removed,
+       CAST(ghost_transactions_removed AS VARCHAR) AS ghost_transactions_removed,
+       CAST(currency_symbols_found AS VARCHAR) AS currency_symbols_found,
+       CAST(invalid_dates_fixed AS VARCHAR) AS invalid_dates_fixed,
+       '["date"]' AS date_columns, '["amount"]' AS amount_columns,
+       '["date","description","amount"]' AS output_columns,
+       CAST(NULL AS VARCHAR) AS input_csv_path, CAST(NULL AS VARCHAR) AS output_csv_path
+FROM agg""")
+def q_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header row + value row, lists as JSON text, read back."""
+    from ..sources.report import write_report
+    path = _shared_dir(spark, "report") + "/report.csv"
+    write_report(spark, clean_messy(spark, sf_dir).stats(), path)
+    return spark.read.options(header="true", quote='"', escape='"').csv(path)
+
+
+@register("run_events", _STATS_SQL + """
+SELECT 'clean_start' AS message, CAST(NULL AS BIGINT) AS total_rows_input,
+       CAST(NULL AS BIGINT) AS total_rows_cleaned
+UNION ALL SELECT 'clean_complete', total_rows_input, total_rows_cleaned FROM agg""")
+def q_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run events appended as JSON lines, read back."""
+    from ..sources.events import log_event, read_events
+    from ..sources.report import stats_dict
+    logs = _shared_dir(spark, "events")
+    log_event(spark, logs, "clean_start", input_csv_path=f"{sf_dir}/orders.parquet")
+    stats = stats_dict(clean_messy(spark, sf_dir).stats())
+    log_event(spark, logs, "clean_complete", **stats)
+    ev = read_events(spark, logs)
+    return ev.select("message", F.col("total_rows_input").cast("bigint"),
+                     F.col("total_rows_cleaned").cast("bigint"))
+
+
+# ---------------------------------------------------------------- ghosts
+
+def _ghost_frame(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    """Orders plus near copies: within tolerance, with a NULL date or amount, a day
+    later, or (text variant) a one-letter longer / an unrelated description."""
+    o = _orders(spark, sf_dir)
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    d = F.col("o_orderdate").cast("date")
+    iso = F.date_format(d, "yyyy-MM-dd")
+    dmy = F.date_format(d, "dd/MM/yyyy")
+    plain, near = F.format_string("%.2f", p), F.format_string("%.3f", p + F.lit(0.004))
+    txt = F.concat(F.lit("payment to vendor "), F.col("o_custkey").cast("string"), F.lit(" ref "),
+                   k.cast("string"))
+    second = "description" if with_text else "note"
+
+    def rows(copy: int, date: Column, note: Column, amount: Column, keep: Column | None = None):
+        sel = o.select(F.lit(copy).alias("copy"), k, date.alias("date"), note.alias(second),
+                       amount.alias("amount"))
+        return sel if keep is None else sel.where(keep)
+
+    if with_text:
+        parts = [rows(0, iso, txt, plain),
+                 rows(1, iso, F.concat(txt, F.lit("s")), near),
+                 rows(2, dmy, F.concat(F.lit("refund "), k.cast("string")),
+                      F.format_string("%.3f", p + F.lit(0.003)))]
+    else:
+        parts = [rows(0, iso, F.lit("n0"), plain),
+                 rows(1, dmy, F.lit("n1"), near),
+                 rows(2, iso, F.lit("n2"), F.lit(""), k % 3 == 0),
+                 rows(3, F.lit(""), F.lit("n3"), plain, k % 3 == 1),
+                 rows(4, F.date_format(F.date_add(d, 1), "yyyy-MM-dd"), F.lit("n4"), plain, k % 3 == 2)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+from functools import reduce  # noqa: E402
+
+
+def _ghost_sql(with_text: bool) -> str:
+    """Greedy keep-first where every match chain has depth one: a row is kept iff no
+    earlier *root* row (one without an earlier match) matches it. Matching is split
+    into equi/range joins by which values are present."""
+    iso = "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')"
+    if with_text:
+        txt = "'payment to vendor ' || CAST(o_custkey AS VARCHAR) || ' ref ' || CAST(o_orderkey AS VARCHAR)"
+        raw = f"""
+  SELECT 0 AS copy, o_orderkey, {iso} AS date, {txt} AS t, round(o_totalprice, 2) AS am FROM orders
+  UNION ALL SELECT 1, o_orderkey, {iso}, {txt} || 's', CAST(printf('%.3f', o_totalprice + 0.004) AS DOUBLE) FROM orders
+  UNION ALL SELECT 2, o_orderkey, {iso}, 'refund ' || CAST(o_orderkey AS VARCHAR),
+                   CAST(printf('%.3f', o_totalprice + 0.003) AS DOUBLE) FROM orders"""
+    else:
+        raw = f"""
+  SELECT 0 AS copy, o_orderkey, {iso} AS date, 'n0' AS t, round(o_totalprice, 2) AS am FROM orders
+  UNION ALL SELECT 1, o_orderkey, {iso}, 'n1', CAST(printf('%.3f', o_totalprice + 0.004) AS DOUBLE) FROM orders
+  UNION ALL SELECT 2, o_orderkey, {iso}, 'n2', NULL FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT 3, o_orderkey, NULL, 'n3', round(o_totalprice, 2) FROM orders WHERE o_orderkey % 3 = 1
+  UNION ALL SELECT 4, o_orderkey, strftime(CAST(o_orderdate AS DATE) + 1, '%Y-%m-%d'), 'n4',
+                   round(o_totalprice, 2) FROM orders WHERE o_orderkey % 3 = 2"""
+    # text test: equal texts, or the later text is the earlier one plus 's' (ratio 2L/(2L+1))
+    tm = ("(i.t = j.t OR (i.t = j.t || 's' AND 2.0 * length(j.t) >= 0.9 * (2 * length(j.t) + 1)))"
+          if with_text else "TRUE")
+
+    def exists(src: str) -> str:
+        return f"""(
+      EXISTS (SELECT 1 FROM {src} j WHERE j.dn = i.dn AND j.am BETWEEN i.am - 0.011 AND i.am + 0.011
+              AND abs(i.am - j.am) <= 0.01 AND j.ord < i.ord AND {tm})
+   OR EXISTS (SELECT 1 FROM {src} j WHERE j.dn = i.dn AND (i.am IS NULL OR j.am IS NULL)
+              AND j.ord < i.ord AND {tm})
+   OR EXISTS (SELECT 1 FROM {src} j WHERE (i.dn IS NULL OR j.dn IS NULL)
+              AND j.am BETWEEN i.am - 0.011 AND i.am + 0.011 AND abs(i.am - j.am) <= 0.01
+              AND j.ord < i.ord AND {tm})
+   OR EXISTS (SELECT 1 FROM {src} j WHERE (i.dn IS NULL OR j.dn IS NULL) AND (i.am IS NULL OR j.am IS NULL)
+              AND j.ord < i.ord AND {tm}))"""
+
+    return f"""
+WITH raw AS ({raw}),
+r AS (
+  SELECT copy, o_orderkey, date, t, am, CAST(date AS DATE) AS dn, copy * 10000000000 + o_orderkey AS ord
+  FROM raw
+  QUALIFY row_number() OVER (PARTITION BY coalesce(date, ''), lower(t), coalesce(printf('%.2f', am), '')
+                             ORDER BY copy, o_orderkey) = 1),
+roots AS (SELECT * FROM r i WHERE NOT {exists('r')})
+SELECT copy, o_orderkey, date, t AS {'description' if with_text else 'note'}, am AS amount
+FROM r i WHERE NOT {exists('roots')}"""
+
+
+@register("ghosts_amount_date", _ghost_sql(False))
+def q_ghosts_amount_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amount band, date band, NULL wildcards, greedy keep-first
+    (no text column: the header is `note`)."""
+    from .clean_job import GhostOptions
+    df = with_order(_ghost_frame(spark, sf_dir, False), ["copy", "o_orderkey"]).drop("copy", "o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True))
+    return res.cleaned.select(*_ids(res.cleaned), "date", "note", "amount")
+
+
+@register("ghosts_text", _ghost_sql(True))
+def q_ghosts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`description` text similarity (ratio >= 0.9) on top of the bands."""
+    from .clean_job import GhostOptions
+    df = with_order(_ghost_frame(spark, sf_dir, True), ["copy", "o_orderkey"]).drop("copy", "o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True, threshold=0.9))
+    return res.cleaned.select(*_ids(res.cleaned), "date", "description", "amount")
+
+
+# ---------------------------------------------------------------- load
+
+@register("sql_types", """
+SELECT * FROM (VALUES ('txn_date', 'DATE'), ('memo_date', 'VARCHAR'), ('total', 'FLOAT'),
+  ('net_amount', 'VARCHAR'), ('debit', 'VARCHAR'), ('balance', 'FLOAT'), ('notes', 'VARCHAR'),
+  ('price_or_blank', 'FLOAT'), ('blank_total', 'VARCHAR')) AS t(column_name, sql_type)
+WHERE (SELECT count(*) FROM orders) > 0""")
+def q_sql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL types from the prefix sample of a text table derived from
+    orders (a never-filled column makes the sample read the whole table)."""
+    from ..operators.sample import infer_sql_types
+    o = _orders(spark, sf_dir)
+    k, p, d = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate").cast("date")
+    df = o.select(
+        F.struct(k).alias(ORD),
+        F.date_format(d, "yyyy-MM-dd").alias("txn_date"),
+        F.date_format(d, "dd/MM/yyyy").alias("memo_date"),
+        _plain(p).alias("total"),
+        F.concat(_plain(p), F.lit(" USD")).alias("net_amount"),
+        _plain(p).alias("debit"),
+        F.regexp_replace(_grouped(p), ",", "_").alias("balance"),
+        _desc(o).alias("notes"),
+        F.when(k % 2 == 0, F.lit("")).otherwise(_plain(p)).alias("price_or_blank"),
+        F.lit("").alias("blank_total"),
+    )
+    cols = [c for c in df.columns if c != ORD]
+    types = infer_sql_types(df, cols)
+    return spark.createDataFrame([(c, types[c]) for c in cols], "column_name string, sql_type string")
+
+
+def _load_twice(spark: SparkSession, sf_dir: str, truncate_second: bool) -> tuple[DataFrame, dict]:
+    import uuid
+    from .load_job import load
+    res = clean_messy(spark, sf_dir)
+    name = f"txnclean_load_{uuid.uuid4().hex[:10]}"
+    path = _shared_dir(spark, "table")
+    frame = res.csv_frame()
+    load(frame, None, table_name=name, table_path=path)
+    stats = load(frame, None, table_name=name, truncate=truncate_second, table_path=path)
+    return spark.table(name), stats
+
+
+_LOADED_ROW = ("SELECT CAST(exp_date AS DATE) AS date, exp_desc AS description, CAST("
+               + _h4_sql("exp_amount") + " AS DOUBLE) AS amount FROM d")
+_LOADED = _DEDUPED + "\n" + _LOADED_ROW
+
+
+@register("load_append", _DEDUPED + "\n" + _LOADED_ROW + "\nUNION ALL\n" + _LOADED_ROW)
+def q_load_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed load into a table, twice in append mode."""
+    t, _ = _load_twice(spark, sf_dir, truncate_second=False)
+    return t.select("date", "description", "amount")
+
+
+@register("load_truncate", _LOADED)
+def q_load_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncate-then-load keeps the table and leaves one copy of the rows."""
+    t, _ = _load_twice(spark, sf_dir, truncate_second=True)
+    return t.select("date", "description", "amount")
+
+
+@register("load_stats", _STATS_SQL + """
+SELECT total_rows_cleaned AS rows_in_csv, total_rows_cleaned AS rows_inserted, true AS truncate,
+       false AS postgres, 'DATE' AS date_type, 'VARCHAR' AS description_type, 'FLOAT' AS amount_type
+FROM agg""")
+def q_load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load summary record."""
+    _, st = _load_twice(spark, sf_dir, truncate_second=True)
+    ct = st["column_types"]
+    return spark.createDataFrame(
+        [(st["rows_in_csv"], st["rows_inserted"], st["truncate"], st["postgres"],
+          ct["date"], ct["description"], ct["amount"])],
+        "rows_in_csv bigint, rows_inserted bigint, truncate boolean, postgres boolean, "
+        "date_type string, description_type string, amount_type string")

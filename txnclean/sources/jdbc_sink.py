@@ -52,13 +52,17 @@ def resolve_target(db_url_or_path: Optional[str], table_name: str,
 
 
 def write_table(df: DataFrame, target: Target, *, truncate: bool = False,
-                batch_size: int = 1000, num_partitions: Optional[int] = None) -> None:
+                batch_size: int = 1000, num_partitions: Optional[int] = None,
+                table_path: Optional[str] = None) -> None:
     if target.kind == "catalog":
         spark = df.sparkSession
         if truncate and spark.catalog.tableExists(target.table):
             df.write.insertInto(target.table, overwrite=True)  # keeps the definition
         else:
-            df.write.mode("append").saveAsTable(target.table)
+            w = df.write.mode("append")
+            if table_path:
+                w = w.option("path", table_path)
+            w.saveAsTable(target.table)
         return
     w = df.write.format("jdbc").option("url", target.url).option("dbtable", target.table)
     w = w.option("batchsize", str(batch_size))
