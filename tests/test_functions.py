@@ -23,6 +23,8 @@ DATES = [
     ("0000/01/01", None, 0), ("1/2/202", "0202-02-01", 1), ("on 2026/4/5 at noon", "2026-04-05", 1),
     ("2026-4-18", "2026-04-18", 1), ("18/4/2026", "2026-04-18", 1), ("29/02/2024", "2024-02-29", 1),
     ("December 31, 1999", "1999-12-31", 1), ("32 Jan 2026", None, 0),
+    ("16\u00a0Apr\u3000 2026", "2026-04-16", 1), ("x\tApr 16 ,\t2026", None, 0),
+    ("Apr 16,\u00a02026", "2026-04-16", 1),
 ]
 
 AMOUNTS = [

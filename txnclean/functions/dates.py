@@ -14,19 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_CLASS, trim_unicode, NULL_LIKE_TEXTS
+from .text import NULL_LIKE_TEXTS, WS_CLASS, trim_unicode
 
 # Token patterns, tried in this order (first one found wins).
 ISO_TOKEN = r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})"
 NUMERIC_TOKEN = r"(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})"
 MONTH_TOKEN = r"(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}|\b[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{2,4}\b)"
 CANONICAL = r"^\d{4}-\d{2}-\d{2}$"
-
-# The parts of each token form.
-ISO_PARTS = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-NUMERIC_PARTS = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2,4})$"
-DAY_FIRST_PARTS = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$"
-MONTH_FIRST_PARTS = r"^([A-Za-z]{3,9}) (\d{1,2}) (\d{4})$"
+# The reference searches whitespace-collapsed text. Searching the trimmed text with
+# every whitespace run accepted where a single space would be finds the same tokens,
+# so the month pattern takes the full whitespace class and no collapse pass is needed.
+MONTH_TOKEN_RAW = MONTH_TOKEN.replace(r"\s+", WS_CLASS + "+")
+SEPARATORS = r"[-/.]"
 
 # English month names, short and full, in calendar order.
 MONTHS_SHORT = ("jan", "feb", "mar", "apr", "may", "jun",
@@ -50,68 +49,61 @@ def _int(c: Column) -> Column:
 def date_stages(src: str, out: str, fixed_out: str, tmp: str) -> list[dict[str, Column]]:
     """Stages turning raw text column ``src`` into ISO text ``out`` plus a 0/1 ``fixed_out``.
 
-    ``tmp`` prefixes the intermediate columns; the caller drops every column that
-    starts with it after the last stage.
+    Each token regex runs only when the earlier forms found nothing; token parts come
+    from one ``split``. ``tmp`` prefixes the intermediate columns.
     """
-    t, nl, canon, txt = f"{tmp}t", f"{tmp}nl", f"{tmp}canon", f"{tmp}txt"
-    iso, num, mon, kind = f"{tmp}iso", f"{tmp}num", f"{tmp}mon", f"{tmp}kind"
-    y, m, d, val = f"{tmp}y", f"{tmp}m", f"{tmp}d", f"{tmp}val"
-    a1, a2, b1, b2 = f"{tmp}a1", f"{tmp}a2", f"{tmp}b1", f"{tmp}b2"
-
+    t, nl, canon = f"{tmp}t", f"{tmp}nl", f"{tmp}canon"
+    iso, num, mon, kind, parts = f"{tmp}iso", f"{tmp}num", f"{tmp}mon", f"{tmp}kind", f"{tmp}parts"
+    y, m, d, val, iso_text = f"{tmp}y", f"{tmp}m", f"{tmp}d", f"{tmp}val", f"{tmp}isot"
+    p1, p2, p3 = f"{tmp}p1", f"{tmp}p2", f"{tmp}p3"
     col = F.col
+    empty = F.lit("")
+
     stage1 = {t: trim_unicode(col(src))}
     stage2 = {
         nl: col(t).isNull() | F.lower(col(t)).isin(*NULL_LIKE_TEXTS),
-        canon: col(t).rlike(CANONICAL),
-        txt: F.regexp_replace(col(t), f"{WS_CLASS}+", " "),
-    }
-    # The first token form found anywhere in the text.
-    stage3 = {
-        iso: F.regexp_extract(col(txt), ISO_TOKEN, 1),
-        num: F.regexp_extract(col(txt), NUMERIC_TOKEN, 1),
-        mon: F.regexp_extract(col(txt), MONTH_TOKEN, 1),
+        canon: (F.length(col(t)) == 10) & col(t).rlike(CANONICAL),
+        iso: F.regexp_extract(col(t), ISO_TOKEN, 1),          # F3
     }
-    stage4 = {
+    stage3 = {num: F.when(col(iso) == "", F.regexp_extract(col(t), NUMERIC_TOKEN, 1)).otherwise(empty)}
+    stage4 = {mon: F.when((col(iso) == "") & (col(num) == ""),
+                          F.regexp_extract(col(t), MONTH_TOKEN_RAW, 1)).otherwise(empty)}
+    stage5 = {
         kind: (F.when(col(iso) != "", 1).when(col(num) != "", 2)
                .when(col(mon) != "", 3).otherwise(0)),
-        # comma -> space, single spaces.
-        mon: F.regexp_replace(F.trim(F.regexp_replace(col(mon), "[,\\s]+", " ")), " +", " "),
-    }
-    # Numeric form parts (F7, F8): p1, p2 and the raw year.
-    stage5 = {
-        a1: _int(F.regexp_extract(col(num), NUMERIC_PARTS, 1)),
-        a2: _int(F.regexp_extract(col(num), NUMERIC_PARTS, 2)),
-        b1: _int(F.regexp_extract(col(num), NUMERIC_PARTS, 3)),
-        # Month-name form: day-first or month-first.
-        b2: F.when(F.col(mon).rlike(DAY_FIRST_PARTS), F.lit(1)).otherwise(F.lit(2)),
+        # comma -> space, single spaces; then the three parts of any token form.
+        parts: (F.when(col(iso) != "", F.split(col(iso), SEPARATORS))
+                .when(col(num) != "", F.split(col(num), SEPARATORS))
+                .when(col(mon) != "", F.split(F.trim(F.regexp_replace(col(mon), f"[,{WS_CLASS[1:-1]}]+", " ")), " "))),
     }
+    stage6 = {p1: F.element_at(col(parts), 1), p2: F.element_at(col(parts), 2),
+              p3: F.element_at(col(parts), 3)}
+    a1, a2, a3 = _int(col(p1)), _int(col(p2)), _int(col(p3))
+    swap = (a2 > 12) & (a1 <= 12)                             # F7
+    day_first = a1.isNotNull()                                # "16 Apr 2026" vs "Apr 16 2026"
     mmap = _month_map()
-    swap = (col(a2) > 12) & (col(a1) <= 12)
-    stage6 = {
-        y: (F.when(col(kind) == 1, _int(F.regexp_extract(col(iso), ISO_PARTS, 1)))
-            .when(col(kind) == 2, F.when(col(b1) < 100, col(b1) + 2000).otherwise(col(b1)))
-            .when(col(kind) == 3, _int(F.when(col(b2) == 1,
-                                              F.regexp_extract(col(mon), DAY_FIRST_PARTS, 3))
-                                       .otherwise(F.regexp_extract(col(mon), MONTH_FIRST_PARTS, 3))))),
-        m: (F.when(col(kind) == 1, _int(F.regexp_extract(col(iso), ISO_PARTS, 2)))
-            .when(col(kind) == 2, F.when(swap, col(a1)).otherwise(col(a2)))
-            .when(col(kind) == 3, F.element_at(mmap, F.lower(
-                F.when(col(b2) == 1, F.regexp_extract(col(mon), DAY_FIRST_PARTS, 2))
-                .otherwise(F.regexp_extract(col(mon), MONTH_FIRST_PARTS, 1)))))),
-        d: (F.when(col(kind) == 1, _int(F.regexp_extract(col(iso), ISO_PARTS, 3)))
-            .when(col(kind) == 2, F.when(swap, col(a2)).otherwise(col(a1)))
-            .when(col(kind) == 3, _int(F.when(col(b2) == 1,
-                                              F.regexp_extract(col(mon), DAY_FIRST_PARTS, 1))
-                                       .otherwise(F.regexp_extract(col(mon), MONTH_FIRST_PARTS, 2))))),
+    stage7 = {
+        y: (F.when(col(kind) == 1, a1)
+            .when(col(kind) == 2, F.when(a3 < 100, a3 + 2000).otherwise(a3))   # F8
+            .when(col(kind) == 3, F.when(F.length(col(p3)) == 4, a3))),       # 4-digit year only
+        m: (F.when(col(kind) == 1, a2)
+            .when(col(kind) == 2, F.when(swap, a1).otherwise(a2))
+            .when(col(kind) == 3, F.element_at(mmap, F.lower(F.when(day_first, col(p2)).otherwise(col(p1)))))),
+        d: (F.when(col(kind) == 1, a3)
+            .when(col(kind) == 2, F.when(swap, a2).otherwise(a1))
+            .when(col(kind) == 3, F.when(day_first, a1).otherwise(a2))),
     }
-    # build ISO text, keep it only when it names a real calendar day (years 1-9999).
-    iso_text = F.format_string("%04d-%02d-%02d", col(y), col(m), col(d))
-    ok = col(y).between(1, 9999) & col(m).isNotNull() & col(d).isNotNull()
-    stage7 = {val: F.when(ok & iso_text.try_cast("date").isNotNull(), iso_text)}
-    stage8 = {
+    # ISO text, kept only when it names a real calendar day (years 1-9999).
+    stage8 = {iso_text: F.when(
+        col(y).between(1, 9999) & col(m).isNotNull() & col(d).isNotNull(),
+        F.concat(F.lpad(col(y).cast("string"), 4, "0"), F.lit("-"),
+                 F.lpad(col(m).cast("string"), 2, "0"), F.lit("-"),
+                 F.lpad(col(d).cast("string"), 2, "0")))}
+    stage9 = {val: F.when(col(iso_text).try_cast("date").isNotNull(), col(iso_text))}
+    stage10 = {
         out: (F.when(col(nl), F.lit(None).cast("string"))
               .when(col(canon), col(t))
               .otherwise(col(val))),
         fixed_out: F.when(~col(nl) & ~col(canon) & col(val).isNotNull(), 1).otherwise(0),
     }
-    return [stage1, stage2, stage3, stage4, stage5, stage6, stage7, stage8]
+    return [stage1, stage2, stage3, stage4, stage5, stage6, stage7, stage8, stage9, stage10]

@@ -20,10 +20,16 @@ PY_FLOAT_TEXT = (
 
 
 def two_places(x: Column) -> Column:
-    """``f"{round(x, 2):.2f}"`` for a double: half-even rounding, sign of zero kept."""
+    """``f"{round(x, 2):.2f}"`` for a double: half-even rounding, sign of zero kept.
+
+    The text comes from a ``decimal(38,2)`` cast (no per-row formatter); values too
+    large for it fall back to ``format_string``."""
     r = F.bround(x, 2)
+    negative = (x < 0) | F.startswith(x.cast("string"), F.lit("-"))
+    as_dec = r.try_cast("decimal(38,2)").cast("string")
     return (F.when(x.isNull(), F.lit(None).cast("string"))
-            .when(r == 0, F.format_string("%.2f", x * F.lit(0.0)))
+            .when(r == 0, F.when(negative, F.lit("-0.00")).otherwise(F.lit("0.00")))
+            .when(as_dec.isNotNull(), as_dec)
             .otherwise(F.format_string("%.2f", r)))
 
 

@@ -101,6 +101,17 @@ def with_order(df: DataFrame, order_by: list[str] | str | None) -> DataFrame:
     return df.withColumn(ORD, F.struct(*[F.col(f"`{c}`") for c in cols]))
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a narrow input (fewer partitions than task slots) before the cell
+    rules, e.g. one small file or one multi-line CSV read as a single split. ``_ord``
+    is already fixed, so this does not change which row wins. Large inputs already
+    have more splits than slots and are left alone (no extra shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
           order_by: list[str] | str | None = None,
           ghosts: GhostOptions = GhostOptions(),
@@ -114,7 +125,7 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     the output write and the stats read it once; lost blocks are recomputed from
     lineage, so executor loss only costs time.
     """
-    df = with_order(df, order_by)
+    df = spread_small_input(with_order(df, order_by))
     header = [c for c in df.columns if c != ORD]
     roles = resolve_roles(header, mapping)
     cells = clean_cells(df, roles, ORD)
@@ -215,3 +226,39 @@ def audit_lines(all_rows: DataFrame) -> DataFrame:
         F.format_string("[%d] %s | %s | %s (date_fixed=%d, currency_found=%d)",
                         F.col("__tc_idx"), part("date"), part("description"), part("amount"),
                         F.col("date_fixed"), F.col("currency_symbols_found")).alias("line"))
+
+
+def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
+              mapping: Optional[ColumnMapping] = None, *,
+              ghosts: GhostOptions = GhostOptions(),
+              report_path: Optional[str] = None, log_dir: Optional[str] = None,
+              multi_line: bool = True, single_file: bool = False,
+              line_sep: str = "\r\n") -> dict:
+    """J1, path form: read CSV, clean, write the cleaned CSV (+ report), return stats.
+
+    Raises FileNotFoundError for a missing input and ValueError for a file without
+    a header. ``output_csv_path`` and ``report_path`` are folders (pinned P11).
+    """
+    from ..sources.csv_sink import write_csv
+    from ..sources.csv_source import read_csv
+    from ..sources.events import log_event
+    from ..sources.report import stats_dict, write_report
+
+    df = read_csv(spark, input_csv_path, multi_line)
+    log_event(spark, log_dir, "clean_start", input_csv_path=input_csv_path,
+              output_csv_path=output_csv_path)
+    res = clean(df, mapping, ghosts=ghosts, input_path=input_csv_path,
+                output_path=output_csv_path, persist=True)
+    try:
+        write_csv(res.csv_frame(), output_csv_path, line_sep=line_sep, single_file=single_file)
+        stats_df = res.stats()
+        stats = stats_dict(stats_df)
+        log_event(spark, log_dir, "clean_complete", **stats)
+        if report_path:
+            write_report(spark, stats_df, report_path)
+    except Exception as e:
+        log_event(spark, log_dir, "clean_csv_error", level="ERROR", error=str(e)[:2000])
+        raise
+    finally:
+        res.release()
+    return stats
