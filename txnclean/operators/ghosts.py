@@ -149,13 +149,16 @@ def _neighbours(reps: DataFrame, has_t: bool, threshold: float, tol: float, dtol
 FREE_PARTNERS = {NN: (DA, D_, _A, NN), D_: (_A, NN), _A: (D_, NN), DA: (NN,)}
 
 
-def _class_rule(state: DataFrame, wanted: Column) -> dict[int, Optional[int]]:
-    """Smallest rid per class among rows matching ``wanted`` (4 numbers, to the driver)."""
-    rows = state.where(wanted).groupBy("cls").agg(F.min(RID).alias("m")).collect()
-    return {r["cls"]: r["m"] for r in rows}
+def _class_mins(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Per class: smallest kept rid and smallest not-dropped rid (8 numbers, one job)."""
+    rows = state.groupBy("cls").agg(
+        F.min(F.when(F.col("st") == KEPT, F.col(RID))).alias("k"),
+        F.min(F.when(F.col("st") != DROPPED, F.col(RID))).alias("l")).collect()
+    return ({r["cls"]: r["k"] for r in rows if r["k"] is not None},
+            {r["cls"]: r["l"] for r in rows if r["l"] is not None})
 
 
-def _class_cond(mins: dict[int, Optional[int]]) -> Column:
+def _class_cond(mins: dict[int, int]) -> Column:
     cond = F.lit(False)
     for c, partners in FREE_PARTNERS.items():
         ms = [mins[p] for p in partners if mins.get(p) is not None]
@@ -166,37 +169,49 @@ def _class_cond(mins: dict[int, Optional[int]]) -> Column:
 
 def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
                       max_rounds: Optional[int] = None) -> DataFrame:
-    """Fixpoint over ``edges`` (i, j): returns (rid, st) with st KEPT or DROPPED."""
+    """Fixpoint over ``edges`` (i, j), j < i: returns (rid, st) with st KEPT or DROPPED.
+
+    One round: (1) an undecided row whose earlier neighbours are all dropped is kept;
+    (2) an undecided row with a kept earlier neighbour - kept before or in step (1) of
+    this round - is dropped. Both decisions are final, and the earliest undecided row
+    is always kept or dropped, so rounds strictly shrink the undecided set. For the
+    usual shape (copies of an earlier original) one round settles everything.
+    """
     state = cut_lineage(reps.select(RID, "cls", F.lit(UNDECIDED).alias("st")))
     edges = cut_lineage(edges)
     rounds = 0
     while True:
-        if state.where(F.col("st") == UNDECIDED).limit(1).count() == 0:
+        undecided = state.where(F.col("st") == UNDECIDED)
+        if undecided.limit(1).count() == 0:
             return state.select(RID, "st")
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"ghost removal did not settle in {max_rounds} rounds")
+        und_i = undecided.select(F.col(RID).alias("i"))
+        live_edges = edges.join(und_i, "i", "left_semi")
         sj = state.select(F.col(RID).alias("j"), F.col("st").alias("st_j"))
-        und = state.where(F.col("st") == UNDECIDED)
-        agg = (edges.join(und.select(F.col(RID).alias("i")), "i", "left_semi")
-               .join(sj, "j")
-               .groupBy("i")
-               .agg(F.max(F.col("st_j") == KEPT).alias("any_kept"),
-                    F.max(F.col("st_j") != DROPPED).alias("any_live")))
-        kept_nb = F.coalesce(F.col("any_kept"), F.lit(False))
+        prev = (live_edges.join(sj, "j")
+                .groupBy("i").agg(F.max(F.col("st_j") == KEPT).alias("any_kept"),
+                                  F.max(F.col("st_j") != DROPPED).alias("any_live")))
         live_nb = F.coalesce(F.col("any_live"), F.lit(False))
         if free_pairs:
-            kept_nb = kept_nb | _class_cond(_class_rule(state, F.col("st") == KEPT))
-            live_nb = live_nb | _class_cond(_class_rule(state, F.col("st") != DROPPED))
-        decided = (und.join(agg.withColumnRenamed("i", RID), RID, "left")
-                   .select(RID, "cls", F.when(kept_nb, DROPPED).when(~live_nb, KEPT)
-                           .otherwise(UNDECIDED).alias("st")))
-        state = cut_lineage(state.where(F.col("st") != UNDECIDED).unionByName(decided))
-        # edges from rows now decided, or to rows now dropped, no longer matter
-        live = state.where(F.col("st") != DROPPED)
-        edges = cut_lineage(
-            edges.join(state.where(F.col("st") == UNDECIDED).select(F.col(RID).alias("i")), "i", "left_semi")
-            .join(live.select(F.col(RID).alias("j")), "j", "left_semi"))
+            kept_min, live_min = _class_mins(state)
+            live_nb = live_nb | _class_cond(live_min)
+        step1 = (undecided.join(prev.withColumnRenamed("i", RID), RID, "left")
+                 .select(RID, "cls", F.when(~live_nb, KEPT).otherwise(UNDECIDED).alias("st")))
+        step1 = cut_lineage(state.where(F.col("st") != UNDECIDED).unionByName(step1))
+        # step 2: drop rows next to any kept row (earlier rounds or step 1)
+        kept_j = step1.where(F.col("st") == KEPT).select(F.col(RID).alias("j"))
+        hit = live_edges.join(kept_j, "j", "left_semi").select(F.col("i").alias(RID)).distinct()
+        hit = hit.withColumn("__tc_hit", F.lit(True))
+        kept_nb = F.coalesce(F.col("__tc_hit"), F.lit(False))
+        if free_pairs:
+            kept_min, _ = _class_mins(step1)
+            kept_nb = kept_nb | _class_cond(kept_min)
+        und2 = step1.where(F.col("st") == UNDECIDED)
+        step2 = (und2.join(hit, RID, "left")
+                 .select(RID, "cls", F.when(kept_nb, DROPPED).otherwise(UNDECIDED).alias("st")))
+        state = cut_lineage(step1.where(F.col("st") != UNDECIDED).unionByName(step2))
 
 
 def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opts,

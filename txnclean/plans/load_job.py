@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from typing import Optional
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +54,22 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
     target = resolve_target(db_url_or_path, table_name, postgres_schema, jdbc_properties)
     log_event(spark, log_dir, "sql_export_start", cleaned_csv_path=source_path,
               db_url_or_path=db_url_or_path, table_name=table_name)
-    prof = profile(df, columns)
-    types = infer_sql_types(df, columns, prof)
-    for i, c in enumerate(columns):
-        if types[c] == "FLOAT" and prof["bad_float"][i]:
-            raise ValueError(f"column {c!r}: {prof['bad_float'][i]} value(s) are not numbers")
-        if types[c] == "DATE" and prof["bad_date"][i]:
-            raise ValueError(f"column {c!r}: {prof['bad_date'][i]} value(s) are not dates")
-    out = df.select(*[convert(F.col(f"`{c}`"), types[c]).alias(c) for c in columns])
-    write_table(out, target, truncate=truncate, batch_size=batch_size, num_partitions=num_partitions,
-                table_path=table_path)
+    # The three passes read the same rows: keep them (memory, spilling to disk) so an
+    # upstream clean job runs once; lost blocks are recomputed from lineage.
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        prof = profile(df, columns)
+        types = infer_sql_types(df, columns, prof)
+        for i, c in enumerate(columns):
+            if types[c] == "FLOAT" and prof["bad_float"][i]:
+                raise ValueError(f"column {c!r}: {prof['bad_float'][i]} value(s) are not numbers")
+            if types[c] == "DATE" and prof["bad_date"][i]:
+                raise ValueError(f"column {c!r}: {prof['bad_date'][i]} value(s) are not dates")
+        out = df.select(*[convert(F.col(f"`{c}`"), types[c]).alias(c) for c in columns])
+        write_table(out, target, truncate=truncate, batch_size=batch_size,
+                    num_partitions=num_partitions, table_path=table_path)
+    finally:
+        df.unpersist()
     stats = {
         "cleaned_csv_path": source_path,
         "db_url_or_path": redact(db_url_or_path),

@@ -695,9 +695,13 @@ def _load_twice(spark: SparkSession, sf_dir: str, truncate_second: bool) -> tupl
     res = clean_messy(spark, sf_dir)
     name = f"txnclean_load_{uuid.uuid4().hex[:10]}"
     path = _shared_dir(spark, "table")
-    frame = res.csv_frame()
-    load(frame, None, table_name=name, table_path=path)
-    stats = load(frame, None, table_name=name, truncate=truncate_second, table_path=path)
+    from pyspark import StorageLevel
+    frame = res.csv_frame().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        load(frame, None, table_name=name, table_path=path)
+        stats = load(frame, None, table_name=name, truncate=truncate_second, table_path=path)
+    finally:
+        frame.unpersist()
     return spark.table(name), stats
 
 
