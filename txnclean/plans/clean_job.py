@@ -142,17 +142,20 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     # Its flag comes out of the aggregate, so filters on it stay above the shuffle.
     grouped = grouped.select(*value_cols, GROUP_SIZE, FIXED_SUM, SYM_SUM,
                              (~F.col(GROUP_LIVE)).alias(EMPTY))
-    if persist:
+    if persist or ghosts.enabled:
+        # read more than once (output + stats, or ghost input + the all-empty group)
         grouped = grouped.persist(StorageLevel.MEMORY_AND_DISK)
+        persist = True
 
     firsts = grouped.filter(~F.col(EMPTY))
     if ghosts.enabled:
         from ..operators.ghosts import flag_ghosts
         flagged = flag_ghosts(firsts, roles, ghost_columns(roles), ghosts, ORD)
+        groups = flagged.unionByName(
+            grouped.filter(F.col(EMPTY)).withColumn(GHOST, F.lit(False)))
     else:
         flagged = firsts.withColumn(GHOST, F.lit(False))
-    groups = flagged.unionByName(
-        grouped.filter(F.col(EMPTY)).withColumn(GHOST, F.lit(False)))
+        groups = grouped.withColumn(GHOST, F.lit(False))   # one scan, no union
     cleaned = flagged.filter(~F.col(GHOST)).select(*value_cols)
 
     audit = cells.filter(F.col(LIVE)).select(
