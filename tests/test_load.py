@@ -100,3 +100,16 @@ def test_redaction():
     from txnclean.sources.events import redact
     assert redact("postgresql://u:secret@h:5432/db") == "postgresql://u:***@h:5432/db"
     assert redact("jdbc:x://h/db?user=a&password=secret") == "jdbc:x://h/db?user=a&password=***"
+
+
+def test_summaries():
+    from txnclean.plans.clean_job import clean_summary
+    from txnclean.plans.load_job import load_summary
+    s = clean_summary({"total_rows_input": 6, "total_rows_cleaned": 4, "duplicates_removed": 2,
+                       "ghost_transactions_removed": 0, "currency_symbols_found": 2,
+                       "invalid_dates_fixed": 3, "date_columns": ["date"], "amount_columns": ["amount"],
+                       "output_csv_path": "out"})
+    assert "Cleaned rows: 4" in s and "Date columns: date" in s and s.endswith("Output CSV: out")
+    t = load_summary({"rows_in_csv": 3, "rows_inserted": 3, "table_name": "fr", "truncate": True,
+                      "postgres": False, "column_types": {"date": "DATE", "amount": "FLOAT"}})
+    assert "Truncate: true" in t and "Database: SQLite" in t and t.endswith("  - amount: FLOAT")
