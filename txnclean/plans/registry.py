@@ -409,9 +409,9 @@ agg AS (
          (SELECT count(*) FROM (SELECT DISTINCT k_date, k_desc, k_amount FROM k)) AS total_rows_cleaned,
          (SELECT count(*) FROM k) - (SELECT count(*) FROM (SELECT DISTINCT k_date, k_desc, k_amount FROM k))
            AS duplicates_removed,
-         0 AS ghost_transactions_removed,
-         (SELECT sum(exp_symbols) FROM m) AS currency_symbols_found,
-         (SELECT sum(exp_fixed) FROM m) AS invalid_dates_fixed,
+         CAST(0 AS BIGINT) AS ghost_transactions_removed,
+         CAST((SELECT sum(exp_symbols) FROM m) AS BIGINT) AS currency_symbols_found,
+         CAST((SELECT sum(exp_fixed) FROM m) AS BIGINT) AS invalid_dates_fixed,
          (SELECT count(*) FROM m WHERE empty_row) AS all_empty)"""
 
 

@@ -40,14 +40,16 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (tests, local runs) is ``fallback`` set.
+    Only when the session names none and runs in local mode (tests) is ``fallback`` used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    target = conf or fallback
+    # a machine-local fallback folder is only acceptable when everything runs locally
+    local = sc.master.startswith("local")
+    target = conf or (fallback if local else None)
     if not target:
         raise RuntimeError("spark.checkpoint.dir is not set; ghost removal needs a shared "
                            "checkpoint folder to cut lineage between rounds")
