@@ -128,3 +128,38 @@ def test_golden_large_with_ghosts(spark, scratch):
     assert removed == [["2026-04-16", "ELECTRICITY BILL", "800"], ["2026-04-20", "Book Store", ""],
                        ["2026-04-22", "random entry", ""], ["2026-04-25", "UNKNOWN", "350"],
                        ["2026-04-28", "Random Text", "250"]]
+
+
+def sparse_rows(seed, n):
+    """Many NULL dates / amounts and empty texts: exercises the class rule in text mode."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        d = None if rnd.random() < 0.4 else f"2026-04-{rnd.randint(10, 12):02d}"
+        a = None if rnd.random() < 0.4 else rnd.choice([5.0, 5.01, 7.0, 9.5])
+        t = rnd.choice(["", "", "", "coffee shop", "coffee shops", "taxi", None])
+        t = t if t is not None else ""
+        rows.append((d, t, a))
+    return rows
+
+
+@pytest.mark.parametrize("seed,dtol", [(11, 0), (12, 1)])
+def test_sparse_rows_with_text(spark, seed, dtol):
+    rows = sparse_rows(seed, 120)
+    keep = unique_rows(rows)
+    sub = [rows[i] for i in keep]
+    expected = sorted(keep[k] for k in brute_force(sub, 0.01, dtol, 0.9))
+    got, _ = run_spark(spark, rows, 0.01, dtol, 0.9)
+    assert got == expected
+
+
+def test_ignored_text_column_is_void(spark):
+    rows = [("2026-04-16", "coffee", 10.0), ("2026-04-16", "tea", None), ("2026-04-17", "tea", 3.0)]
+    df = spark.createDataFrame([(i, d, t, repr(a) if a is not None else None) for i, (d, t, a) in enumerate(rows)],
+                               "i long, date string, description string, amount string")
+    res = clean(df, ColumnMapping(date_columns=["date"], amount_columns=["amount"],
+                                  ignore_columns=["description"], output_columns=["date", "description", "amount"]),
+                order_by="i", ghosts=GhostOptions(True))
+    # description ignored -> every text is empty (ratio 1) -> row 1 (same day, no amount) is a ghost;
+    # with the text compared, "tea" vs "coffee" would keep it
+    assert sorted(r["_ord"]["i"] for r in res.cleaned.collect()) == [0, 2]

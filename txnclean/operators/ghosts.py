@@ -54,17 +54,19 @@ def _attrs(x: DataFrame, roles: ResolvedRoles, cols: GhostColumns) -> tuple[Data
     has_d = usable(cols.date_column, "date")
     has_a = usable(cols.amount_column, "amount")
     has_t = cols.text_column is not None
+    text_cleaned = (has_t and cols.text_column in roles.output_columns
+                    and roles.role(cols.text_column) != "ignore")
     day = (F.datediff(F.col(f"`{cols.date_column}`").try_cast("date"), F.lit("1970-01-01").cast("date"))
            if has_d else F.lit(None).cast("int"))
     amt = F.col(f"`{cols.amount_column}`").cast("double") if has_a else F.lit(None).cast("double")
-    if has_t and cols.text_column in roles.output_columns and roles.role(cols.text_column) != "ignore":
+    if text_cleaned:
         txt = F.lower(trim_unicode(F.coalesce(F.col(f"`{cols.text_column}`").cast("string"), F.lit(""))))
     else:
         txt = F.lit("")
     a = x.select(F.col(RID), day.alias("dn"), amt.alias("am"), txt.alias("tx"))
     a = a.withColumn("cls", F.when(F.col("dn").isNotNull(), 1).otherwise(0)
                      + F.when(F.col("am").isNotNull(), 2).otherwise(0))
-    return a, has_d, has_a, has_t
+    return a, has_d, has_a, has_t, text_cleaned
 
 
 def _buckets(df: DataFrame, tol: float, dtol: int, on_day: bool, on_amt: bool,
@@ -124,7 +126,8 @@ def _neighbours(reps: DataFrame, has_t: bool, threshold: float, tol: float, dtol
         parts.append(_pairs(R.where(F.col("cls") == _A), a_star, False, True, has_t, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == _A),
                             False, True, has_t, tol, dtol))
-    if has_t:  # neither test: text alone decides
+    if has_t:  # neither test: text alone decides; empty texts are left to the class rule
+        R = R.where(F.col("tx") != "")
         nn, anyc = R.where(F.col("cls") == NN), R
         parts.append(_pairs(nn, anyc, False, False, True, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == D_), R.where(F.col("cls").isin(_A, NN)),
@@ -150,8 +153,9 @@ FREE_PARTNERS = {NN: (DA, D_, _A, NN), D_: (_A, NN), _A: (D_, NN), DA: (NN,)}
 
 
 def _class_mins(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """Per class: smallest kept rid and smallest not-dropped rid (8 numbers, one job)."""
-    rows = state.groupBy("cls").agg(
+    """Per class, among rows under the class rule: smallest kept rid and smallest
+    not-dropped rid (8 numbers, one job)."""
+    rows = state.where(F.col("free")).groupBy("cls").agg(
         F.min(F.when(F.col("st") == KEPT, F.col(RID))).alias("k"),
         F.min(F.when(F.col("st") != DROPPED, F.col(RID))).alias("l")).collect()
     return ({r["cls"]: r["k"] for r in rows if r["k"] is not None},
@@ -164,11 +168,13 @@ def _class_cond(mins: dict[int, int]) -> Column:
         ms = [mins[p] for p in partners if mins.get(p) is not None]
         if ms:
             cond = cond | ((F.col("cls") == c) & (F.col(RID) > F.lit(min(ms))))
-    return cond
+    return F.col("free") & cond
 
 
 def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
                       max_rounds: Optional[int] = None) -> DataFrame:
+    # ``reps`` has a boolean ``free``: rows whose date/amount-free pairs always match
+    # (no text test, or an empty text) and are decided by the class rule, not by edges.
     """Fixpoint over ``edges`` (i, j), j < i: returns (rid, st) with st KEPT or DROPPED.
 
     One round: (1) an undecided row whose earlier neighbours are all dropped is kept;
@@ -177,7 +183,7 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
     is always kept or dropped, so rounds strictly shrink the undecided set. For the
     usual shape (copies of an earlier original) one round settles everything.
     """
-    state = cut_lineage(reps.select(RID, "cls", F.lit(UNDECIDED).alias("st")))
+    state = cut_lineage(reps.select(RID, "cls", "free", F.lit(UNDECIDED).alias("st")))
     edges = cut_lineage(edges)
     rounds = 0
     while True:
@@ -198,7 +204,7 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
             kept_min, live_min = _class_mins(state)
             live_nb = live_nb | _class_cond(live_min)
         step1 = (undecided.join(prev.withColumnRenamed("i", RID), RID, "left")
-                 .select(RID, "cls", F.when(~live_nb, KEPT).otherwise(UNDECIDED).alias("st")))
+                 .select(RID, "cls", "free", F.when(~live_nb, KEPT).otherwise(UNDECIDED).alias("st")))
         step1 = cut_lineage(state.where(F.col("st") != UNDECIDED).unionByName(step1))
         # step 2: drop rows next to any kept row (earlier rounds or step 1)
         kept_j = step1.where(F.col("st") == KEPT).select(F.col(RID).alias("j"))
@@ -210,7 +216,7 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
             kept_nb = kept_nb | _class_cond(kept_min)
         und2 = step1.where(F.col("st") == UNDECIDED)
         step2 = (und2.join(hit, RID, "left")
-                 .select(RID, "cls", F.when(kept_nb, DROPPED).otherwise(UNDECIDED).alias("st")))
+                 .select(RID, "cls", "free", F.when(kept_nb, DROPPED).otherwise(UNDECIDED).alias("st")))
         state = cut_lineage(step1.where(F.col("st") != UNDECIDED).unionByName(step2))
 
 
@@ -221,11 +227,11 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
     tol, dtol, thr = float(opts.amount_tol), int(opts.date_tol_days), float(opts.threshold)
     # 1. order-preserving ids: range-sorted partitions, then position
     x = cut_lineage(firsts.orderBy(ord_col).withColumn(RID, F.monotonically_increasing_id()))
-    attrs, has_d, has_a, has_t = _attrs(x, roles, cols)
+    attrs, has_d, has_a, has_t, text_cleaned = _attrs(x, roles, cols)
     if has_t and thr > 1.0:     # no ratio reaches the threshold: nothing is a ghost
         return x.withColumn(GHOST, F.lit(False)).drop(RID)
-    if has_t and thr <= 0.0:    # every ratio passes: the text test is void
-        has_t = False
+    if has_t and (thr <= 0.0 or not text_cleaned):
+        has_t = False           # every ratio passes (all texts empty, or threshold <= 0)
     if not has_d:
         dtol = 0
     if not has_a:
@@ -236,7 +242,8 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
         reps = attrs.join(reps_ids.select(RID), RID, "left_semi")
     else:
         reps = attrs
-    reps = cut_lineage(reps)
+    # rows decided by the class rule for their date/amount-free pairs (ratio('', '') = 1)
+    reps = cut_lineage(reps.withColumn("free", F.lit(True) if not has_t else F.col("tx") == ""))
     # 3. candidates
     if has_t:
         freq = (reps.select(F.explode(F.split("tx", "")).alias("ch")).where(F.col("ch") != "")
@@ -248,7 +255,7 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
         reps = cut_lineage(reps.withColumn("toks", make_prefix_tokens_udf(rank, thr)(F.col("tx"))))
     edges = _neighbours(reps, has_t, thr, tol, dtol)
     # 4. fixpoint
-    state = greedy_keep_first(reps, edges, free_pairs=not has_t)
+    state = greedy_keep_first(reps, edges, free_pairs=True, max_rounds=getattr(opts, "max_rounds", None))
     kept = state.where(F.col("st") == KEPT).select(RID, F.lit(True).alias("__tc_keep"))
     out = x.join(kept, RID, "left")
     return out.withColumn(GHOST, F.col("__tc_keep").isNull()).drop(RID, "__tc_keep")

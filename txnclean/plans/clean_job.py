@@ -36,6 +36,7 @@ class GhostOptions:
     threshold: float = 0.9
     amount_tol: float = 0.01
     date_tol_days: int = 0
+    max_rounds: Optional[int] = None   # fail loudly instead of looping longer
 
 
 @dataclass
