@@ -8,11 +8,13 @@ the expected answer from the original clean columns where it can.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.messy import messy_orders, messy_orders_sql
+from ..functions.amounts import CURRENCY_SYMBOLS
+from ..sources.messy import MON_FULL, MON_SHORT, messy_orders, messy_orders_sql
 from .clean_job import ORD, CleanResult, clean, with_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,10 +108,6 @@ def _p2(x) -> Column:
     return F.lpad(x.cast("string"), 2, "0")
 
 
-from pyspark.sql import Column  # noqa: E402
-from ..functions.amounts import CURRENCY_SYMBOLS  # noqa: E402
-from ..sources.messy import MON_FULL, MON_SHORT  # noqa: E402
-
 # Weekday names in Sunday-first order (Spark dayofweek 1 = Sunday).
 WEEKDAYS = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"]
 CODES = ["USD", "INR", "EUR"]
@@ -589,9 +587,6 @@ def _ghost_frame(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
-from functools import reduce  # noqa: E402
-
-
 def _ghost_sql(with_text: bool) -> str:
     """Greedy keep-first where every match chain has depth one: a row is kept iff no
     earlier *root* row (one without an earlier match) matches it. Matching is split
