@@ -255,7 +255,9 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
         reps = cut_lineage(reps.withColumn("toks", make_prefix_tokens_udf(rank, thr)(F.col("tx"))))
     edges = _neighbours(reps, has_t, thr, tol, dtol)
     # 4. fixpoint
-    state = greedy_keep_first(reps, edges, free_pairs=True, max_rounds=getattr(opts, "max_rounds", None))
+    free_rows = reps.where(F.col("free")).limit(1).count() > 0   # any row under the class rule?
+    state = greedy_keep_first(reps, edges, free_pairs=free_rows,
+                              max_rounds=getattr(opts, "max_rounds", None))
     kept = state.where(F.col("st") == KEPT).select(RID, F.lit(True).alias("__tc_keep"))
     out = x.join(kept, RID, "left")
     return out.withColumn(GHOST, F.col("__tc_keep").isNull()).drop(RID, "__tc_keep")
