@@ -29,6 +29,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Optional
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,8 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
             live_nb = live_nb | _class_cond(live_min)
         step1 = (undecided.join(prev.withColumnRenamed("i", RID), RID, "left")
                  .select(RID, "cls", "free", F.when(~live_nb, KEPT).otherwise(UNDECIDED).alias("st")))
-        step1 = cut_lineage(state.where(F.col("st") != UNDECIDED).unionByName(step1))
+        # short lineage (checkpointed state + edges): a cache is enough within the round
+        step1 = state.where(F.col("st") != UNDECIDED).unionByName(step1).persist(StorageLevel.MEMORY_AND_DISK)
         # step 2: drop rows next to any kept row (earlier rounds or step 1)
         kept_j = step1.where(F.col("st") == KEPT).select(F.col(RID).alias("j"))
         hit = live_edges.join(kept_j, "j", "left_semi").select(F.col("i").alias(RID)).distinct()
@@ -218,6 +220,7 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
         step2 = (und2.join(hit, RID, "left")
                  .select(RID, "cls", "free", F.when(kept_nb, DROPPED).otherwise(UNDECIDED).alias("st")))
         state = cut_lineage(step1.where(F.col("st") != UNDECIDED).unionByName(step2))
+        step1.unpersist()
 
 
 def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opts,
@@ -243,7 +246,8 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
     else:
         reps = attrs
     # rows decided by the class rule for their date/amount-free pairs (ratio('', '') = 1)
-    reps = cut_lineage(reps.withColumn("free", F.lit(True) if not has_t else F.col("tx") == ""))
+    reps = reps.withColumn("free", F.lit(True) if not has_t else F.col("tx") == "")
+    reps = reps.persist(StorageLevel.MEMORY_AND_DISK)   # lineage back to the checkpointed x
     # 3. candidates
     if has_t:
         freq = (reps.select(F.explode(F.split("tx", "")).alias("ch")).where(F.col("ch") != "")
@@ -252,12 +256,14 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
         rank: dict[str, int] = {}
         if n_chars <= MAX_RANK_TABLE:  # size checked before it goes to the tasks
             rank = {r.ch: i for i, r in enumerate(freq.orderBy("count", "ch").collect())}
-        reps = cut_lineage(reps.withColumn("toks", make_prefix_tokens_udf(rank, thr)(F.col("tx"))))
+        reps = reps.withColumn("toks", make_prefix_tokens_udf(rank, thr)(F.col("tx"))).persist(
+            StorageLevel.MEMORY_AND_DISK)
     edges = _neighbours(reps, has_t, thr, tol, dtol)
     # 4. fixpoint
     free_rows = reps.where(F.col("free")).limit(1).count() > 0   # any row under the class rule?
     state = greedy_keep_first(reps, edges, free_pairs=free_rows,
                               max_rounds=getattr(opts, "max_rounds", None))
+    reps.unpersist()          # state is checkpointed; the result reads only x and state
     kept = state.where(F.col("st") == KEPT).select(RID, F.lit(True).alias("__tc_keep"))
     out = x.join(kept, RID, "left")
     return out.withColumn(GHOST, F.col("__tc_keep").isNull()).drop(RID, "__tc_keep")
