@@ -732,3 +732,36 @@ def q_load_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
           ct["date"], ct["description"], ct["amount"])],
         "rows_in_csv bigint, rows_inserted bigint, truncate boolean, postgres boolean, "
         "date_type string, description_type string, amount_type string")
+
+
+# ---------------------------------------------------------------- hot key
+
+@register("dedupe_hot_key", f"""
+WITH r AS (
+  SELECT o_orderkey,
+    CASE WHEN o_orderkey % 3 = 0 THEN '2026-01-01' ELSE {_ISO} END AS date,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE {_DESC_SQL} END AS description,
+    CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE p END AS amount
+  FROM (SELECT *, {_SQL_ORD} FROM orders))
+SELECT o_orderkey, date, description, amount,
+       count(*) OVER (PARTITION BY date, lower(description), printf('%.2f', amount)) - 1 AS duplicates
+FROM r
+QUALIFY row_number() OVER (PARTITION BY date, lower(description), printf('%.2f', amount)
+                           ORDER BY o_orderkey) = 1""")
+def q_dedupe_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 with one key holding a third of all rows: the partial aggregate folds the hot
+    group map-side, and the first row in arrival order still wins."""
+    from ..operators.dedupe import GROUP_SIZE
+    from .clean_job import EMPTY
+    o = _orders(spark, sf_dir)
+    k, p, d = F.col("o_orderkey"), F.col("o_totalprice"), F.col("o_orderdate").cast("date")
+    hot = k % 3 == 0
+    raw = o.select(
+        k,
+        F.when(hot, F.lit("2026-01-01")).otherwise(F.date_format(d, "yyyy-MM-dd")).alias("date"),
+        F.when(hot, F.lit("hot")).otherwise(_desc(o)).alias("description"),
+        F.when(hot, F.lit("₹1.00")).otherwise(_plain(p)).alias("amount"))
+    res = clean(with_order(raw, "o_orderkey").drop("o_orderkey"))
+    g = res.groups.where(~F.col(EMPTY))
+    return g.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"), "date", "description", "amount",
+                    (F.col(GROUP_SIZE) - 1).alias("duplicates"))
