@@ -163,3 +163,16 @@ def test_ignored_text_column_is_void(spark):
     # description ignored -> every text is empty (ratio 1) -> row 1 (same day, no amount) is a ghost;
     # with the text compared, "tea" vs "coffee" would keep it
     assert sorted(r["_ord"]["i"] for r in res.cleaned.collect()) == [0, 2]
+
+
+def test_metrics_and_max_rounds(spark):
+    # a chain: each amount within tolerance of the previous one only (distinct 2-place keys)
+    rows = [("2026-04-16", "x", a) for a in (10.0, 10.01, 10.02, 10.03, 10.04, 10.05)]
+    got, res = run_spark(spark, rows, 0.015, 0, 0.9)
+    assert got == [0, 2, 4]
+    m = res.ghost_metrics
+    assert m["rows"] == 6 and m["collapsed_rows"] == 6 and m["candidate_edges"] == 5 and m["rounds"] >= 2
+    df = spark.createDataFrame([(i, d, t, repr(a)) for i, (d, t, a) in enumerate(rows)],
+                               "i long, date string, description string, amount string")
+    with pytest.raises(RuntimeError):
+        clean(df, order_by="i", ghosts=GhostOptions(True, amount_tol=0.015, max_rounds=1))

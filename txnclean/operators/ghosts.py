@@ -173,7 +173,7 @@ def _class_cond(mins: dict[int, int]) -> Column:
 
 
 def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
-                      max_rounds: Optional[int] = None) -> DataFrame:
+                      max_rounds: Optional[int] = None, metrics: Optional[dict] = None) -> DataFrame:
     # ``reps`` has a boolean ``free``: rows whose date/amount-free pairs always match
     # (no text test, or an empty text) and are decided by the class rule, not by edges.
     """Fixpoint over ``edges`` (i, j), j < i: returns (rid, st) with st KEPT or DROPPED.
@@ -186,10 +186,14 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
     """
     state = cut_lineage(reps.select(RID, "cls", "free", F.lit(UNDECIDED).alias("st")))
     edges = cut_lineage(edges)
+    if metrics is not None:
+        metrics["candidate_edges"] = edges.count()
     rounds = 0
     while True:
         undecided = state.where(F.col("st") == UNDECIDED)
         if undecided.limit(1).count() == 0:
+            if metrics is not None:
+                metrics["rounds"] = rounds
             return state.select(RID, "st")
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
@@ -224,8 +228,11 @@ def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
 
 
 def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opts,
-                ord_col: str = "_ord") -> DataFrame:
-    """``firsts`` plus a boolean ``GHOST`` column."""
+                ord_col: str = "_ord", metrics: Optional[dict] = None) -> DataFrame:
+    """``firsts`` plus a boolean ``GHOST`` column.
+
+    ``metrics`` (optional dict) receives ``rows``, ``collapsed_rows``, ``candidate_edges``
+    and ``rounds`` - the sizes that decide the cost of the run."""
     spark = firsts.sparkSession
     tol, dtol, thr = float(opts.amount_tol), int(opts.date_tol_days), float(opts.threshold)
     # 1. order-preserving ids: range-sorted partitions, then position
@@ -260,9 +267,12 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
             StorageLevel.MEMORY_AND_DISK)
     edges = _neighbours(reps, has_t, thr, tol, dtol)
     # 4. fixpoint
+    if metrics is not None:
+        metrics["rows"] = x.count()
+        metrics["collapsed_rows"] = reps.count()
     free_rows = reps.where(F.col("free")).limit(1).count() > 0   # any row under the class rule?
     state = greedy_keep_first(reps, edges, free_pairs=free_rows,
-                              max_rounds=getattr(opts, "max_rounds", None))
+                              max_rounds=getattr(opts, "max_rounds", None), metrics=metrics)
     reps.unpersist()          # state is checkpointed; the result reads only x and state
     kept = state.where(F.col("st") == KEPT).select(RID, F.lit(True).alias("__tc_keep"))
     out = x.join(kept, RID, "left")

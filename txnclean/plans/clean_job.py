@@ -8,7 +8,7 @@ from that one grouped table, so stats need no second pass over the input.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Optional
 
 from pyspark import StorageLevel
@@ -49,6 +49,7 @@ class CleanResult:
     output_path: Optional[str] = None
     cached: Optional[DataFrame] = None
     all_rows: Optional[DataFrame] = None   # every input row after cell cleaning
+    ghost_metrics: dict = field(default_factory=dict)   # filled when ghost removal runs
 
     def release(self) -> None:
         """Drop the cached grouped table (see ``clean(persist=True)``)."""
@@ -149,9 +150,10 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
         persist = True
 
     firsts = grouped.filter(~F.col(EMPTY))
+    ghost_metrics: dict = {}
     if ghosts.enabled:
         from ..operators.ghosts import flag_ghosts
-        flagged = flag_ghosts(firsts, roles, ghost_columns(roles), ghosts, ORD)
+        flagged = flag_ghosts(firsts, roles, ghost_columns(roles), ghosts, ORD, metrics=ghost_metrics)
         groups = flagged.unionByName(
             grouped.filter(F.col(EMPTY)).withColumn(GHOST, F.lit(False)))
     else:
@@ -165,7 +167,7 @@ def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
     all_rows = cells.select(*value_cols, F.col(DATE_FIXED).alias("date_fixed"),
                             F.col(SYMBOLS).alias("currency_symbols_found"), LIVE)
     return CleanResult(roles, groups, cleaned, audit, input_path, output_path,
-                       grouped if persist else None, all_rows)
+                       grouped if persist else None, all_rows, ghost_metrics)
 
 
 def stats_frame(groups: DataFrame, roles: ResolvedRoles, input_path: Optional[str],
