@@ -144,3 +144,17 @@ def test_result_independent_of_partitioning(spark, parts):
     a = clean(base).cleaned
     b = clean(base.repartition(parts)).cleaned
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_audit_lines_golden_small(spark):
+    """I2 on the small golden file, read as several partitions (dense index across them)."""
+    df = read_csv(spark, os.path.join(DATA, "messy_transactions.csv")).repartition(3)
+    lines = [r.line for r in clean(df).audit_lines().orderBy("_ord").collect()]
+    assert lines == [
+        "[0] 2026-04-16 | Coffee Shop | 1200.0 (date_fixed=1, currency_found=1)",
+        "[1] 2026-04-16 | coffee shop | 1200.0 (date_fixed=0, currency_found=0)",
+        "[2] 2026-04-17 | Groceries | 45.5 (date_fixed=1, currency_found=1)",
+        "[3] 2026-04-17 | Groceries | 45.5 (date_fixed=1, currency_found=0)",
+        "[4] None | Bad Date | 10.0 (date_fixed=0, currency_found=0)",
+        "[5] 2026-04-18 | Empty Amount | None (date_fixed=0, currency_found=0)",
+    ]
