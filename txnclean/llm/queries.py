@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnclean.llm.decontamination import op3_decontamination
 from txnclean.llm.jaccard_join import op5_jaccard_join
 from txnclean.llm.secrets import op10_secret_scans
 from txnclean.llm.substring_dedup import op8_substring_dedup
 from txnclean.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
     "op8_substring_dedup": op8_substring_dedup,
