@@ -11,13 +11,15 @@ from txnclean.llm.jaccard_join import op5_jaccard_join
 from txnclean.llm.secrets import op10_secret_scans
 from txnclean.llm.substring_dedup import op8_substring_dedup
 from txnclean.llm.token_counts import op9_token_counts
+from txnclean.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
-    "op10_secret_scans": op10_secret_scans,
+    "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
