@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from txnclean.llm.decontamination import op3_decontamination
 from txnclean.llm.jaccard_join import op5_jaccard_join
+from txnclean.llm.packing import op6_best_fit_packing
 from txnclean.llm.secrets import op10_secret_scans
 from txnclean.llm.substring_dedup import op8_substring_dedup
 from txnclean.llm.token_counts import op9_token_counts
@@ -16,6 +17,7 @@ from txnclean.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
