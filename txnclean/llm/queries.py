@@ -13,9 +13,11 @@ from txnclean.llm.secrets import op10_secret_scans
 from txnclean.llm.substring_dedup import op8_substring_dedup
 from txnclean.llm.token_counts import op9_token_counts
 from txnclean.llm.toxicity import op7_toxicity
+from txnclean.llm.warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
