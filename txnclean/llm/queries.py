@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from txnclean.llm.decontamination import op3_decontamination
+from txnclean.llm.edit_fingerprints import op2_edit_fingerprints
+from txnclean.llm.html_extraction import op1_html_extraction
 from txnclean.llm.jaccard_join import op5_jaccard_join
 from txnclean.llm.packing import op6_best_fit_packing
 from txnclean.llm.secrets import op10_secret_scans
@@ -16,6 +18,8 @@ from txnclean.llm.toxicity import op7_toxicity
 from txnclean.llm.warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_edit_fingerprints": op2_edit_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op4_warc": op4_warc,
     "op5_jaccard_join": op5_jaccard_join,
