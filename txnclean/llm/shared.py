@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnclean.session import ensure_checkpoint_dir
 
@@ -36,3 +36,14 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (long) and text (string) alone; columns that are so already are not renamed, so that equal scans stay equal plans."""
+    types = dict(docs.dtypes)
+
+    def one(have: str, want: str, kind: str):
+        col = F.col(f"`{have}`")
+        return col if have == want and types[have] == kind else col.cast(kind).alias(want)
+
+    return docs.select(one(id_col, "doc_id", "bigint"), one(text_col, "text", "string"))

@@ -6,7 +6,7 @@ in a document with a smaller id; windows are judged on the input. Steps, all key
 1. Every document's non-overlapping blocks of 7 words are indexed, and every rolling window of
    7 words probes the index. Any repeated run of 13 words holds one whole block of the document
    it repeats, so no repeat is missed. Only 32-bit hashes travel, dealt by the hash's range.
-2. Hits are extended: around a live anchor the 13-word windows are hashed (64 bits twice), and a
+2. Hits are extended: around a live anchor the 13-word windows are hashed (80 bits), and a
    window is covered if the smallest document that has it is smaller than its own.
 3. Covered words leave; overlapping covered windows make maximal repeats.
 
@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txnclean.llm.shared import table, written
+from txnclean.llm.shared import ids_and_texts, table
 from txnclean.llm.words import Words, mix, runs, space_table, valid_windows, word_batches
 
 WINDOW = 13
 BLOCK = 7
 #: Words whose anchors one range of hashes holds on average (sets the number of ranges by the size of the input).
-RANGE_WORDS = 4_000_000
+RANGE_WORDS = 1_500_000
 
 
 def n_ranges(docs: DataFrame, text_col: str) -> int:
@@ -70,7 +70,7 @@ def _anchors(text_at: int, n: int):
         table_ = space_table()
         for b in batches:
             ids = np.asarray(b.column(0))
-            for lo, hi, w in word_batches(b.column(text_at), table_, 16 << 20):
+            for lo, hi, w in word_batches(b.column(text_at), table_):
                 h, ok = _windows(w, BLOCK)
                 if not ok.any():
                     continue
@@ -84,12 +84,14 @@ def _anchors(text_at: int, n: int):
     return run
 
 
-def _extent(key: np.ndarray, doc: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _extent(key: np.ndarray, more: np.ndarray | None, doc: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry the smallest document among references and the largest among all with its key."""
-    order = np.lexsort((doc, key))
+    order = np.argsort(key, kind="stable") if more is None else np.lexsort((more, key))
     k, d, r = key[order], doc[order], ref[order]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    group = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]])) - 1
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    if more is not None:
+        new[1:] |= more[order][1:] != more[order][:-1]
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
     least = np.minimum.reduceat(np.where(r, d, np.iinfo(np.int64).max), head)
     most = np.maximum.reduceat(d, head)
     lo, hi = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
@@ -108,7 +110,7 @@ def _live(t: pa.Table) -> pa.Table:
     doc, _ = _unpack(t)
     low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("low")])
     block = (low & 1).astype(bool)
-    lo, hi = _extent(low >> np.uint32(1), doc, block)
+    lo, hi = _extent(low >> np.uint32(1), None, doc, block)
     keep = (lo < doc) | (block & (doc < hi))
     order = np.argsort(doc[keep], kind="stable")
     doc, low = doc[keep][order], low[keep][order]
@@ -135,7 +137,7 @@ def _extend(n: int, m: int):
         for b in batches:
             ids = np.asarray(b.column(0))
             hits = b.column(2)
-            for lo, hi, w in word_batches(b.column(1), table_, 16 << 20):
+            for lo, hi, w in word_batches(b.column(1), table_):
                 h7, ok7 = _windows(w, BLOCK)
                 h, ok = _windows(w, WINDOW)
                 doc = w.doc()
@@ -152,7 +154,7 @@ def _extend(n: int, m: int):
                     continue
                 second = runs(mix(w.hashes, 7), WINDOW)
                 rng = _range_of(h[take], m)
-                rows = list(_by_range(ids[lo:hi], doc[take], [h[take].astype("<u8"), second[take].astype("<u8")], rng, m))
+                rows = list(_by_range(ids[lo:hi], doc[take], [h[take].astype("<u8"), (second[take] >> np.uint64(48)).astype("<u2")], rng, m))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]],
                     names=["range", "ids", "each", "h", "h2"])
@@ -172,9 +174,9 @@ def _hits(hits) -> Iterator[tuple[int, np.ndarray]]:
 def _covered(t: pa.Table) -> pa.Table:
     """Per document the hashes of windows that a document with a smaller id has too."""
     doc, _ = _unpack(t)
-    h, h2 = (np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in t.column(c)]) for c in ("h", "h2"))
+    h, h2 = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)]) for c, kind in (("h", "<u8"), ("h2", "<u2")))
     # both hashes tell windows apart; the first finds them again in the document
-    lo, _ = _extent(h ^ mix(h2, 1), doc, np.ones(len(doc), bool))
+    lo, _ = _extent(h, h2, doc, np.ones(len(doc), bool))
     keep = lo < doc
     order = np.argsort(doc[keep], kind="stable")
     doc, h = doc[keep][order], h[keep][order]
@@ -189,7 +191,7 @@ def _remove(with_text: bool):
         table_ = space_table()
         for b in batches:
             n_words, n_removed, digests, texts = [], [], [], []
-            for lo, hi, w in word_batches(b.column(1), table_, 16 << 20):
+            for lo, hi, w in word_batches(b.column(1), table_):
                 h, ok = _windows(w, WINDOW)
                 doc, n = w.doc(), len(w.hashes)
                 found = [np.frombuffer(x, "<u8") for i in range(lo, hi) for x in b.column(2)[i].as_py() or []]
@@ -233,7 +235,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document may have several rows. Null ids and null texts have no windows.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
+    src = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
     n = n_ranges(src, "text")
     anchors = src.mapInArrow(_anchors(1, n), "range int, ids binary, each binary, low binary")
     live = anchors.groupBy("range").applyInArrow(_live, "doc_id long, range int, low binary")
@@ -249,13 +251,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null and empty texts have no words (hash of the empty string). Rows that repeat a doc_id never
     remove each other's words: neither id is smaller. Rows without an id keep all words. Other columns
-    are ignored. The covered windows are written to the shared folder, so that a lost executor does
-    not cost the search again.
+    are ignored. A lost executor costs its own map tasks only.
     """
-    found = written(covered_windows(docs, id_col, text_col), "repeats")
-    found = found.groupBy("doc_id").agg(F.collect_list("windows").alias("windows"))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    both = src.join(found, "doc_id", "left").select("doc_id", "text", "windows")
+    src = ids_and_texts(docs, id_col, text_col)
+    found = covered_windows(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list("windows").alias("windows"))
+    # joined by id like the search's texts, in one plan: the texts are shuffled once
+    both = src.where("doc_id is not null").join(found, "doc_id", "left").select("doc_id", "text", "windows")
+    both = both.union(src.where("doc_id is null").withColumn("windows", F.lit(None).cast("array<binary>")))
     return both.mapInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
