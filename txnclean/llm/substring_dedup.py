@@ -240,7 +240,7 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = src.mapInArrow(_anchors(1, n), "range int, ids binary, each binary, low binary")
     live = anchors.groupBy("range").applyInArrow(_live, "doc_id long, range int, low binary")
     live = live.groupBy("doc_id").agg(F.collect_list(F.struct("range", "low")).alias("hits"))
-    m = max(8, n // 4)
+    m = max(8, n // 8)
     near = src.join(live, "doc_id").select("doc_id", "text", "hits").mapInArrow(
         _extend(n, m), "range int, ids binary, each binary, h binary, h2 binary")
     return near.groupBy("range").applyInArrow(_covered, "doc_id long, windows binary")
