@@ -222,4 +222,4 @@ def read_records(members: DataFrame) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(normalise_archives(write_archives(table(spark, sf_dir, "pages")))).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset", "length")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
