@@ -26,4 +26,6 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_an_oracle():
     from __spark_entry__ import oracle_sql, queries
-    assert set(queries()) == set(oracle_sql())
+    from txnclean.plans.registry import ORACLES, QUERIES
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())

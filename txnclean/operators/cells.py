@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.amounts import amount_stages
 from ..functions.dates import date_stages
 from ..functions.keys import amount_key, date_key, text_key
+from ..functions.names import named
+from ..functions.numbers import finite, number_text
 from ..functions.text import clean_text
 from ..plans.roles import ResolvedRoles
 
@@ -23,18 +26,24 @@ BARRIER = "__tc_barrier"
 
 
 def _as_string(df: DataFrame, c: str) -> Column:
-    return F.col(f"`{c}`").cast("string") if c in df.columns else F.lit(None).cast("string")
+    return number_text(named(c), df.schema[c].dataType) if c in df.columns else F.lit(None).cast("string")
+
+
+def _is_number(df: DataFrame, c: str) -> bool:
+    return c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)
 
 
 def clean_cells(df: DataFrame, roles: ResolvedRoles, ord_col: str = "_ord") -> DataFrame:
     """Return ``ord_col``, the cleaned output columns, ``DATE_FIXED``, ``SYMBOLS``, ``LIVE``.
 
-    Raw cells are read as text (non-string input columns are cast to string first);
+    Raw cells are read as text (numbers in plain notation). Numeric columns in the amount
+    role are never read as text: they pass through as double (NaN and infinities NULL).
     output columns absent from ``df`` are NULL (B2); ignored columns are NULL (B3).
     """
     outs = roles.output_columns
     raw = {c: f"{TMP}raw{i}" for i, c in enumerate(outs)}
-    base = df.select(F.col(ord_col), *[_as_string(df, c).alias(raw[c]) for c in outs])
+    numbers = [c for c in outs if roles.role(c) == "amount" and _is_number(df, c)]
+    base = df.select(F.col(ord_col), *[(finite(named(c)) if c in numbers else _as_string(df, c)).alias(raw[c]) for c in outs])
 
     stages: list[dict[str, Column]] = []
     fixed_cols, count_cols = [], []
@@ -54,6 +63,8 @@ def clean_cells(df: DataFrame, roles: ResolvedRoles, ord_col: str = "_ord") -> D
             fx = f"{TMP}fx{i}"
             merge(date_stages(raw[c], res, fx, f"{TMP}d{i}_"))
             fixed_cols.append(fx)
+        elif c in numbers:
+            results[c] = raw[c]
         elif role == "amount":
             cnt = f"{TMP}cnt{i}"
             merge(amount_stages(raw[c], res, cnt, f"{TMP}a{i}_"))
@@ -91,9 +102,9 @@ def non_empty(roles: ResolvedRoles) -> Column:
     cols = [c for c in roles.output_columns if roles.role(c) != "ignore"]
     if not cols:
         return F.lit(False)
-    cond = F.col(f"`{cols[0]}`").isNotNull()
+    cond = named(cols[0]).isNotNull()
     for c in cols[1:]:
-        cond = cond | F.col(f"`{c}`").isNotNull()
+        cond = cond | named(c).isNotNull()
     return cond
 
 
@@ -102,7 +113,7 @@ def key_columns(roles: ResolvedRoles) -> list[Column]:
     parts = []
     for i, c in enumerate(roles.output_columns):
         role = roles.role(c)
-        col = F.col(f"`{c}`")
+        col = named(c)
         if role == "date":
             parts.append(date_key(col).alias(f"{TMP}k{i}"))
         elif role == "amount":

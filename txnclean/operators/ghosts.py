@@ -33,6 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..functions.similarity import make_prefix_tokens_udf, ratio_udf
 from ..functions.text import trim_unicode
 from ..plans.roles import GhostColumns, ResolvedRoles
@@ -57,11 +58,11 @@ def _attrs(x: DataFrame, roles: ResolvedRoles, cols: GhostColumns) -> tuple[Data
     has_t = cols.text_column is not None
     text_cleaned = (has_t and cols.text_column in roles.output_columns
                     and roles.role(cols.text_column) != "ignore")
-    day = (F.datediff(F.col(f"`{cols.date_column}`").try_cast("date"), F.lit("1970-01-01").cast("date"))
+    day = (F.datediff(named(cols.date_column).try_cast("date"), F.lit("1970-01-01").cast("date"))
            if has_d else F.lit(None).cast("int"))
-    amt = F.col(f"`{cols.amount_column}`").cast("double") if has_a else F.lit(None).cast("double")
+    amt = named(cols.amount_column).cast("double") if has_a else F.lit(None).cast("double")
     if text_cleaned:
-        txt = F.lower(trim_unicode(F.coalesce(F.col(f"`{cols.text_column}`").cast("string"), F.lit(""))))
+        txt = F.lower(trim_unicode(F.coalesce(named(cols.text_column).cast("string"), F.lit(""))))
     else:
         txt = F.lit("")
     a = x.select(F.col(RID), day.alias("dn"), amt.alias("am"), txt.alias("tx"))

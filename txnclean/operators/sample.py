@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import named
 from ..functions.keys import is_float_text, is_iso_date_text
 from ..functions.text import is_null_like, trim_unicode
 
@@ -32,7 +33,7 @@ def profile(df: DataFrame, columns: list[str]) -> dict:
     number of non-null-like values Python's float() would reject / that are not dates."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(columns):
-        col = F.col(f"`{c}`")
+        col = named(c)
         present = ~is_null_like(col)
         t = trim_unicode(col)
         aggs += [
@@ -57,7 +58,7 @@ def sample(df: DataFrame, columns: list[str], prefix_end) -> DataFrame:
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value string")
     stacked = pre.select(ORD, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("idx"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
+        F.struct(F.lit(i).alias("idx"), F.lit(c).alias("column"), named(c).alias("value"))
         for i, c in enumerate(columns)])).alias("s")).select(ORD, "s.*")
     stacked = stacked.where(non_blank(F.col("value")))
     rn = F.row_number().over(Window.partitionBy("idx").orderBy(ORD))

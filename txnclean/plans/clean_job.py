@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import amount_text
+from ..functions.names import named
+from ..functions.numbers import number_text
 from ..operators.cells import DATE_FIXED, LIVE, SYMBOLS, clean_cells, key_columns
 from ..operators.dedupe import GROUP_SIZE, first_per_key
 from .roles import ColumnMapping, ResolvedRoles, ghost_columns, resolve_roles
@@ -100,40 +102,33 @@ def with_order(df: DataFrame, order_by: list[str] | str | None) -> DataFrame:
     if order_by is None:
         raise ValueError("a DataFrame without _ord needs order_by= (first row wins by it)")
     cols = [order_by] if isinstance(order_by, str) else list(order_by)
-    return df.withColumn(ORD, F.struct(*[F.col(f"`{c}`") for c in cols]))
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a narrow input (fewer partitions than task slots) before the cell
-    rules, e.g. one small file or one multi-line CSV read as a single split. ``_ord``
-    is already fixed, so this does not change which row wins. Large inputs already
-    have more splits than slots and are left alone (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    return df.withColumn(ORD, F.struct(*[named(c) for c in cols]))
 
 
 def clean(df: DataFrame, mapping: Optional[ColumnMapping] = None, *,
           order_by: list[str] | str | None = None,
           ghosts: GhostOptions = GhostOptions(),
           input_path: Optional[str] = None, output_path: Optional[str] = None,
-          persist: bool = False) -> CleanResult:
+          persist: bool = False, repartition: Optional[int] = None) -> CleanResult:
     """Clean a DataFrame of raw cells.
 
-    ``df`` holds raw cells (any type, read as text) and either an ``_ord`` column
+    ``df`` holds raw cells (any type; numbers in amount columns stay numbers) and either an ``_ord`` column
     (as :func:`txnclean.sources.csv_source.read_csv` adds) or ``order_by`` columns.
     ``persist=True`` keeps the grouped table (after the one shuffle) in memory/disk so
     the output write and the stats read it once; lost blocks are recomputed from
-    lineage, so executor loss only costs time.
+    lineage, so executor loss only costs time. ``repartition=n`` deals the input out to n
+    partitions first (for one small file or a single multi-line split); the order column is
+    fixed before, so this does not change which row wins.
     """
-    df = spread_small_input(with_order(df, order_by))
+    df = with_order(df, order_by)
+    if repartition:
+        df = df.repartition(repartition)
     header = [c for c in df.columns if c != ORD]
     roles = resolve_roles(header, mapping)
     cells = clean_cells(df, roles, ORD)
 
     keys = key_columns(roles)
-    value_cols = [ORD, *roles.output_columns]
+    value_cols = [named(c) for c in (ORD, *roles.output_columns)]
     grouped = first_per_key(
         cells.select(*value_cols, DATE_FIXED, SYMBOLS, LIVE),
         keys, ORD,
@@ -203,15 +198,14 @@ def to_text_frame(cleaned: DataFrame, roles: ResolvedRoles) -> DataFrame:
     """Output columns as text: amounts in H4 short form; ``_ord`` kept for ordering."""
     cols = []
     for c in roles.output_columns:
-        col = F.col(f"`{c}`")
+        col = named(c)
         cols.append((amount_text(col) if roles.role(c) == "amount" else col.cast("string")).alias(c))
     return cleaned.select(ORD, *cols)
 
 
 def _py_str(c: Column) -> Column:
     """Python ``str()`` of a cleaned value for the verbose line (None -> 'None')."""
-    as_text = c.cast("string")
-    return F.coalesce(as_text, F.lit("None"))
+    return F.coalesce(c, F.lit("None"))
 
 
 def audit_lines(all_rows: DataFrame) -> DataFrame:
@@ -224,7 +218,7 @@ def audit_lines(all_rows: DataFrame) -> DataFrame:
     from ..operators.ordering import with_dense_index
 
     def part(name: str) -> Column:
-        return _py_str(F.col(name)) if name in all_rows.columns else F.lit("")
+        return _py_str(number_text(named(name), all_rows.schema[name].dataType)) if name in all_rows.columns else F.lit("")
 
     indexed = with_dense_index(all_rows, ORD, "__tc_idx")
     return indexed.where(F.col(LIVE)).select(
@@ -239,7 +233,7 @@ def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
               ghosts: GhostOptions = GhostOptions(),
               report_path: Optional[str] = None, log_dir: Optional[str] = None,
               multi_line: bool = True, single_file: bool = False,
-              line_sep: str = "\r\n") -> dict:
+              line_sep: str = "\r\n", repartition: Optional[int] = None) -> dict:
     """J1, path form: read CSV, clean, write the cleaned CSV (+ report), return stats.
 
     Raises FileNotFoundError for a missing input and ValueError for a file without
@@ -250,12 +244,13 @@ def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
     from ..sources.events import log_event
     from ..sources.report import stats_dict, write_report
 
-    df = read_csv(spark, input_csv_path, multi_line)
     log_event(spark, log_dir, "clean_start", input_csv_path=input_csv_path,
               output_csv_path=output_csv_path)
-    res = clean(df, mapping, ghosts=ghosts, input_path=input_csv_path,
-                output_path=output_csv_path, persist=True)
+    res: Optional[CleanResult] = None
     try:
+        df = read_csv(spark, input_csv_path, multi_line)
+        res = clean(df, mapping, ghosts=ghosts, input_path=input_csv_path,
+                    output_path=output_csv_path, persist=True, repartition=repartition)
         write_csv(res.csv_frame(), output_csv_path, line_sep=line_sep, single_file=single_file)
         stats_df = res.stats()
         stats = stats_dict(stats_df)
@@ -263,25 +258,27 @@ def clean_csv(spark: SparkSession, input_csv_path: str, output_csv_path: str,
         if report_path:
             write_report(spark, stats_df, report_path)
     except Exception as e:
-        log_event(spark, log_dir, "clean_csv_error", level="ERROR", error=str(e)[:2000])
+        log_event(spark, log_dir, "clean_csv_error", level="ERROR", error=str(e))
         raise
     finally:
-        res.release()
+        if res is not None:
+            res.release()
     return stats
 
 
+SUMMARY = [("Input rows", "total_rows_input"), ("Cleaned rows", "total_rows_cleaned"),
+           ("Duplicates removed", "duplicates_removed"), ("Ghost transactions removed", "ghost_transactions_removed"),
+           ("Currency symbols found", "currency_symbols_found"), ("Invalid dates fixed", "invalid_dates_fixed"),
+           ("Date columns", "date_columns"), ("Amount columns", "amount_columns"), ("Output CSV", "output_csv_path")]
+
+
+def summary(title: str, fields: list[tuple[str, str]], stats: dict) -> str:
+    """A stats record as text, a line per (label, field); empty lists are left out."""
+    def shown(value) -> str:
+        return ", ".join(value) if isinstance(value, list) else str(value)
+
+    return "\n".join(["", title] + [f"{label}: {shown(stats.get(f))}" for label, f in fields if stats.get(f) != []])
+
+
 def clean_summary(stats: dict) -> str:
-    """The clean job's text summary from the stats record."""
-    lines = ["", "Clean Summary",
-             f"Input rows: {stats.get('total_rows_input')}",
-             f"Cleaned rows: {stats.get('total_rows_cleaned')}",
-             f"Duplicates removed: {stats.get('duplicates_removed')}",
-             f"Ghost transactions removed: {stats.get('ghost_transactions_removed')}",
-             f"Currency symbols found: {stats.get('currency_symbols_found')}",
-             f"Invalid dates fixed: {stats.get('invalid_dates_fixed')}"]
-    if stats.get("date_columns"):
-        lines.append(f"Date columns: {', '.join(stats['date_columns'])}")
-    if stats.get("amount_columns"):
-        lines.append(f"Amount columns: {', '.join(stats['amount_columns'])}")
-    lines.append(f"Output CSV: {stats.get('output_csv_path')}")
-    return "\n".join(lines)
+    return summary("Clean Summary", SUMMARY, stats)

@@ -12,10 +12,11 @@ from __future__ import annotations
 from typing import Optional
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import float_from_text
+from ..functions.names import named
 from ..functions.text import is_null_like, trim_unicode
 from ..operators.sample import profile, infer_sql_types
 from ..sources.events import log_event, redact
@@ -56,7 +57,11 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
               db_url_or_path=db_url_or_path, table_name=table_name)
     # The three passes read the same rows: keep them (memory, spilling to disk) so an
     # upstream clean job runs once; lost blocks are recomputed from lineage.
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # A frame that the caller has cached stays the caller's.
+    own = df.storageLevel == StorageLevel.NONE
+    if own:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    inserted = Observation()
     try:
         prof = profile(df, columns)
         types = infer_sql_types(df, columns, prof)
@@ -65,17 +70,20 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
                 raise ValueError(f"column {c!r}: {prof['bad_float'][i]} value(s) are not numbers")
             if types[c] == "DATE" and prof["bad_date"][i]:
                 raise ValueError(f"column {c!r}: {prof['bad_date'][i]} value(s) are not dates")
-        out = df.select(*[convert(F.col(f"`{c}`"), types[c]).alias(c) for c in columns])
+        out = df.select(*[convert(named(c), types[c]).alias(c) for c in columns]).observe(
+            inserted, F.count(F.lit(1)).alias("rows"))
         write_table(out, target, truncate=truncate, batch_size=batch_size,
-                    num_partitions=num_partitions, table_path=table_path)
+                    num_partitions=num_partitions, table_path=table_path, column_types=types)
+        rows_inserted = inserted.get["rows"]
     finally:
-        df.unpersist()
+        if own:
+            df.unpersist()
     stats = {
         "cleaned_csv_path": source_path,
         "db_url_or_path": redact(db_url_or_path),
         "table_name": table_name,
         "rows_in_csv": prof["rows"],
-        "rows_inserted": prof["rows"],
+        "rows_inserted": rows_inserted,
         "truncate": truncate,
         "postgres": target.postgres,
         "column_types": types,
@@ -101,15 +109,11 @@ def load_stats_frame(spark: SparkSession, stats: dict) -> DataFrame:
 
 
 def load_summary(stats: dict) -> str:
-    """The load job's text summary from the load stats record."""
-    lines = ["", "Export Summary",
-             f"Rows in CSV: {stats.get('rows_in_csv')}",
-             f"Rows inserted: {stats.get('rows_inserted')}",
-             f"Table: {stats.get('table_name')}"]
-    if stats.get("truncate"):
-        lines.append("Truncate: true")
-    lines.append("Database: PostgreSQL" if stats.get("postgres") else "Database: SQLite")
-    if stats.get("column_types"):
-        lines.append("Inferred column types:")
-        lines += [f"  - {c}: {t}" for c, t in stats["column_types"].items()]
-    return "\n".join(lines)
+    """The load's stats record as text."""
+    from .clean_job import summary
+    shown = {**stats, "truncate": True if stats.get("truncate") else [],
+             "database": "PostgreSQL" if stats.get("postgres") else "SQLite"}
+    types = [f"  - {c}: {t}" for c, t in (stats.get("column_types") or {}).items()]
+    body = summary("Export Summary", [("Rows in CSV", "rows_in_csv"), ("Rows inserted", "rows_inserted"), ("Table", "table_name"),
+                                      ("Truncate", "truncate"), ("Database", "database")], shown)
+    return "\n".join([body.replace("Truncate: True", "Truncate: true"), *(["Inferred column types:", *types] if types else [])])

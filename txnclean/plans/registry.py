@@ -13,8 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import named, quote_name
 from ..functions.amounts import CURRENCY_SYMBOLS
 from ..sources.messy import MON_FULL, MON_SHORT, messy_orders, messy_orders_sql
+from ..operators.cells import LIVE
 from .clean_job import ORD, CleanResult, clean, with_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +32,15 @@ def register(name: str, oracle: str | None = None):
     return wrap
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Dealt out to as many partitions as the session's ``spark.txnclean.inputPartitions`` says (unset: left alone)."""
+    n = df.sparkSession.conf.get("spark.txnclean.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
+
+
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy orders with ``_ord`` = (copy, o_orderkey) and raw cells only."""
-    return with_order(messy_orders(spark, sf_dir), ["copy", "o_orderkey"]).drop("copy", "o_orderkey")
+    return _dealt(with_order(messy_orders(spark, sf_dir), ["copy", "o_orderkey"]).drop("copy", "o_orderkey"))
 
 
 def clean_messy(spark: SparkSession, sf_dir: str, **kw) -> CleanResult:
@@ -74,8 +82,8 @@ def q_clean_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- helpers
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return _dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
 
 def _staged(df: DataFrame, stages_fn, raw: str, out: str, extra: str) -> DataFrame:
@@ -356,7 +364,7 @@ def q_roles_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     res = clean(with_order(raw, "o_orderkey").drop("o_orderkey"))
     return res.audit.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"),
-                            *[F.col(f"`{c}`") for c in res.roles.output_columns])
+                            *[named(c) for c in res.roles.output_columns])
 
 
 @register("project_ignore", _MESSY + """,
@@ -381,8 +389,7 @@ def q_project_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_drop_empty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows empty in every output column are dropped before dedupe."""
     res = clean_messy(spark, sf_dir)
-    raw = _messy(spark, sf_dir).select(ORD)
-    gone = raw.join(res.audit.select(ORD), ORD, "left_anti")
+    gone = res.all_rows.where(~F.col(LIVE))
     return gone.select(*_ids(gone))
 
 
@@ -765,3 +772,106 @@ def q_dedupe_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = res.groups.where(~F.col(EMPTY))
     return g.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"), "date", "description", "amount",
                     (F.col(GROUP_SIZE) - 1).alias("duplicates"))
+
+
+# ---------------------------------------------------------------- typed input, odd headers, listings
+
+_TYPED_AMOUNT = ("CASE o_orderkey % 5 WHEN 0 THEN o_totalprice * CAST(100000 AS DOUBLE) WHEN 1 THEN o_totalprice "
+                 "WHEN 2 THEN o_totalprice / CAST(1000000000 AS DOUBLE) WHEN 3 THEN -o_totalprice END")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame with double amounts of 1e7 and above, below 1e-3, negative and missing (NaN)."""
+    o = _orders(spark, sf_dir).where("o_totalprice is not null")
+    amount = F.when(F.col("o_orderkey") % 10 == 4, F.lit(float("nan"))).otherwise(F.expr(_TYPED_AMOUNT))
+    df = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+                  F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"), amount.alias("amount"))
+    return with_order(df, "o_orderkey").drop("o_orderkey")
+
+
+_TYPED = ("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, 'order ' || o_orderkey AS description, "
+          f"{_TYPED_AMOUNT} AS amount FROM orders WHERE o_totalprice IS NOT NULL")
+
+
+def _key() -> Column:
+    return F.col(f"{ORD}.o_orderkey").alias("o_orderkey")
+
+
+@register("clean_typed_input", _TYPED)
+def q_clean_typed_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 on numbers, cleaned twice: amounts are never read through text."""
+    again = clean(clean(_typed(spark, sf_dir)).cleaned).cleaned
+    return again.select(_key(), "date", "description", "amount")
+
+
+@register("audit_line_amounts", f"""
+WITH t AS ({_TYPED}), i AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM t)
+SELECT o_orderkey, '[' || i || '] ' || date || ' | ' || description || ' | ' || coalesce(CAST(amount AS VARCHAR), 'None')
+       || ' (date_fixed=0, currency_found=0)' AS line FROM i""")
+def q_audit_line_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I2 with amounts of 1e7 and above and below 1e-4."""
+    lines = clean(_typed(spark, sf_dir)).audit_lines()
+    return lines.select(_key(), "line")
+
+
+@register("clean_dotted_headers", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date, 'ref ' || o_orderkey AS ref, o_totalprice AS amount,
+       true AS date_found FROM orders WHERE o_totalprice IS NOT NULL""")
+def q_clean_dotted_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with dots, blanks and backticks."""
+    o = _orders(spark, sf_dir).where("o_totalprice is not null")
+    df = o.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("Inv. Date"),
+                  F.concat(F.lit("  ref "), F.col("o_orderkey").cast("string")).alias("Ref`No."), F.col("o_totalprice").alias("net.amount"))
+    res = clean(with_order(df, "o_orderkey").drop("o_orderkey"))
+    found = "Inv. Date" in res.roles.date_columns
+    return res.cleaned.select(_key(), named("Inv. Date").alias("date"), named("Ref`No.").alias("ref"),
+                              named("net.amount").cast("double").alias("amount"), F.lit(found).alias("date_found"))
+
+
+@register("roles_fallback", """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS trade_date, 'm ' || o_orderkey AS memo, o_totalprice AS total_price,
+       'trade_date' AS date_columns, 'total_price' AS amount_columns FROM orders WHERE o_totalprice IS NOT NULL""")
+def q_roles_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that only the fallback patterns find."""
+    o = _orders(spark, sf_dir).where("o_totalprice is not null")
+    df = o.select("o_orderkey", F.date_format("o_orderdate", "yyyy/MM/dd").alias("trade_date"), F.concat(F.lit("m "), F.col("o_orderkey").cast("string")).alias("memo"),
+                  F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("total_price"))
+    res = clean(with_order(df, "o_orderkey").drop("o_orderkey"))
+    return res.cleaned.select(_key(), "trade_date", "memo", "total_price", F.lit(",".join(res.roles.date_columns)).alias("date_columns"),
+                              F.lit(",".join(res.roles.amount_columns)).alias("amount_columns"))
+
+
+@register("full_listing", _DEDUPED + """
+SELECT copy, o_orderkey, row_number() OVER (ORDER BY copy, o_orderkey) - 1 AS position, exp_date AS date, exp_desc AS description,
+       exp_amount AS amount FROM d""")
+def q_full_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaned rows in arrival order, with their positions."""
+    from ..operators.ordering import with_dense_index
+    p = with_dense_index(clean_messy(spark, sf_dir).ordered(), ORD, "position")
+    return p.select(*_ids(p), "position", "date", "description", "amount")
+
+
+@register("load_rescan", _LOADED)
+def q_load_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned CSV is written, scanned again and loaded."""
+    import uuid
+    from ..sources.csv_sink import write_csv
+    from .load_job import load_csv
+    path, name = _shared_dir(spark, "csv"), f"txnclean_load_{uuid.uuid4().hex[:10]}"
+    write_csv(clean_messy(spark, sf_dir).csv_frame(), path)
+    stats = load_csv(spark, path, None, table_name=name, table_path=_shared_dir(spark, "table"))
+    assert stats["rows_inserted"] == stats["rows_in_csv"]
+    return spark.table(name).select("date", "description", "amount")
+
+
+@register("text_summary", _STATS_SQL + """
+SELECT chr(10) || 'Clean Summary' || chr(10) || 'Input rows: ' || total_rows_input || chr(10) || 'Cleaned rows: ' || total_rows_cleaned || chr(10)
+       || 'Duplicates removed: ' || duplicates_removed || chr(10) || 'Ghost transactions removed: 0' || chr(10) || 'Currency symbols found: '
+       || currency_symbols_found || chr(10) || 'Invalid dates fixed: ' || invalid_dates_fixed || chr(10) || 'Date columns: date' || chr(10)
+       || 'Amount columns: amount' || chr(10) || 'Output CSV: None' AS summary FROM agg""")
+def q_text_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stats record as text."""
+    from ..sources.report import stats_dict
+    from .clean_job import clean_summary
+    text = clean_summary(stats_dict(clean_messy(spark, sf_dir).stats()))
+    return spark.createDataFrame([(text,)], "summary string")

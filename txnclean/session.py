@@ -28,6 +28,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         # Generated methods above 8000 bytes are never JIT-compiled by HotSpot; the
         # date and amount rules make large stages, so let Spark split those instead.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # the registered queries read single small files: deal them out over the cores
+        .config("spark.txnclean.inputPartitions", str(os.cpu_count() if cores == "*" else cores))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TXNCLEAN_DRIVER_MEMORY", "8g"))
         .getOrCreate()

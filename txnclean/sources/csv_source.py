@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import named
+
 ORD = "_ord"
 
 # RFC 4180 quoting: a doubled quote escapes a quote (Spark's default escape is a
@@ -51,5 +53,5 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         F.struct(F.col("_metadata.file_path").alias("file"),
                  F.col("_metadata.file_block_start").alias("start"),
                  F.monotonically_increasing_id().alias("pos")).alias(ORD),
-        *[F.col(f"`{c}`") for c in header],
+        *[named(c) for c in header],
     )

@@ -15,6 +15,8 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame
 
+from ..functions.names import quote_name
+
 
 @dataclass(frozen=True)
 class Target:
@@ -53,7 +55,9 @@ def resolve_target(db_url_or_path: Optional[str], table_name: str,
 
 def write_table(df: DataFrame, target: Target, *, truncate: bool = False,
                 batch_size: int = 1000, num_partitions: Optional[int] = None,
-                table_path: Optional[str] = None) -> None:
+                table_path: Optional[str] = None, column_types: Optional[dict[str, str]] = None) -> None:
+    """``column_types``: inferred SQL type per column; a created JDBC table gets DATE and DOUBLE
+    columns by them, text columns the dialect's own text type (no length limit)."""
     if target.kind == "catalog":
         spark = df.sparkSession
         if truncate and spark.catalog.tableExists(target.table):
@@ -66,6 +70,10 @@ def write_table(df: DataFrame, target: Target, *, truncate: bool = False,
         return
     w = df.write.format("jdbc").option("url", target.url).option("dbtable", target.table)
     w = w.option("batchsize", str(batch_size))
+    made = {"DATE": "DATE", "FLOAT": "DOUBLE"}
+    defined = [f"{quote_name(c)} {made[t]}" for c, t in (column_types or {}).items() if t in made]
+    if defined:
+        w = w.option("createTableColumnTypes", ", ".join(defined))
     if num_partitions:
         w = w.option("numPartitions", str(num_partitions))
     for k, v in target.properties.items():

@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import named
+
 
 def stats_dict(stats: DataFrame) -> dict[str, Any]:
     """The one-row stats DataFrame as an ordered dict (field order kept)."""
@@ -35,7 +37,7 @@ def report_csv_frame(stats: DataFrame) -> DataFrame:
     """The stats row with list fields as JSON text (pinned P10)."""
     cols = []
     for f in stats.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = named(f.name)
         cols.append((F.to_json(c) if f.dataType.typeName() == "array" else c.cast("string")).alias(f.name))
     return stats.select(*cols)
 

@@ -13,6 +13,7 @@ from typing import Optional
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import named
 from ..operators.cells import DATE_FIXED, LIVE, SYMBOLS, clean_cells
 from ..plans.roles import ColumnMapping, resolve_roles
 
@@ -27,10 +28,10 @@ def clean_stream(df: DataFrame, mapping: Optional[ColumnMapping] = None,
     ``_ord`` so a later batch dedupe can apply first-row-wins.
     """
     cols = [c for c in df.columns if c not in (order_by or [])]
-    ordered = df.withColumn(ORD, F.struct(*[F.col(f"`{c}`") for c in order_by])) if order_by \
+    ordered = df.withColumn(ORD, F.struct(*[named(c) for c in order_by])) if order_by \
         else df.withColumn(ORD, F.lit(None).cast("struct<pos:bigint>"))
     roles = resolve_roles(cols, mapping)
     cells = clean_cells(ordered, roles, ORD)
     return cells.where(F.col(LIVE)).select(
-        ORD, *[F.col(f"`{c}`") for c in roles.output_columns],
+        ORD, *[named(c) for c in roles.output_columns],
         F.col(DATE_FIXED).alias("date_fixed"), F.col(SYMBOLS).alias("currency_symbols_found"))
