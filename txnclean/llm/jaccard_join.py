@@ -83,7 +83,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table_ = alnum_table()
     for b in batches:
-        for lo, hi, w in word_batches(b.column(1), table_, 8 << 20):
+        for lo, hi, w in word_batches(b.column(1), table_):
             h, first = token_sets(*shingles(w, SHINGLE), hi - lo)
             size = np.diff(first)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, 31))])
@@ -340,7 +340,7 @@ def _sets_of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(node, component, copies, size, text) to whole shingle sets, without rows whose text is not the node's (repeated ids)."""
     table_ = alnum_table()
     for b in batches:
-        for lo, hi, w in word_batches(b.column(4), table_, 8 << 20):
+        for lo, hi, w in word_batches(b.column(4), table_):
             h, first = token_sets(*shingles(w, SHINGLE), hi - lo)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, 31))])
             node = mix(total[first[1:]] - total[first[:-1]], 33) ^ mix(np.diff(first).astype(np.uint64), 35)

@@ -23,10 +23,10 @@ _WHITE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _UNSAFE = rf"[{_WHITE}] | [{_WHITE}]|\A | \z"
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces in the younger half of a worker's memory; when full it becomes the older half (results do not change).
-MEMORY_PIECES = 500_000
+MEMORY_PIECES = 350_000
 #: New pieces are encoded in batches of so many characters; texts are cut up in slices of so many bytes.
 BATCH_CHARS = 1 << 18
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _loaded: dict[tuple[str, bool], "Pieces"] = {}
 

@@ -57,7 +57,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(toxic, text) to numbers of toxic and clean texts by feature."""
     for b in batches:
         toxic = np.asarray(b.column(0)).astype(bool)
-        for lo, hi, w in word_batches(b.column(1), alnum_table(), 8 << 20):
+        for lo, hi, w in word_batches(b.column(1), alnum_table()):
             doc, y = w.doc(), toxic[lo:hi]
             for kind, f in enumerate(_features(w)):
                 order = np.lexsort((doc, f))
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _present(features)
         for b in batches:
-            for lo, hi, w in word_batches(b.column(1), alnum_table(), 8 << 20):
+            for lo, hi, w in word_batches(b.column(1), alnum_table()):
                 d, f = find(w)
                 border = np.searchsorted(d, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +193,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
         find = _present(model.features)
         for b in batches:
             score = np.full(b.num_rows, model.bias, np.float64)
-            for lo, hi, w in word_batches(b.column(at), alnum_table(), 8 << 20):
+            for lo, hi, w in word_batches(b.column(at), alnum_table()):
                 d, f = find(w)
                 score[lo:hi] += np.bincount(d, model.weights[f], hi - lo)
             out = 1 / (1 + np.exp(-np.clip(score, -30, 30)))

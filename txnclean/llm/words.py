@@ -94,7 +94,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data[off[0]:off[-1]]
 
 
-def slices(off: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``most`` bytes (a longer document stands alone)."""
     lo, n = 0, len(off) - 1
     while lo < n:
@@ -125,7 +125,7 @@ def words_of(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> Words:
     return Words(h, starts, ends, np.searchsorted(starts, off), data, cum)
 
 
-def word_batches(col: pa.Array, table: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int, Words]]:
+def word_batches(col: pa.Array, table: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
     """(first document, end, words) over slices of a column."""
     off, data = buffers(col)
     for lo, hi in slices(off, most):
