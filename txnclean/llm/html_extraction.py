@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txnclean.llm.html_blocks import Block, blocks
-from txnclean.llm.shared import table
+from txnclean.llm.shared import sample_rows, table
 from txnclean.llm.words import space_table, word_batches
 
-#: Pages of the sample (those of the smallest hashed ids), and pages laid out from templates.
+#: Pages of the sample (those of the smallest hashes), and pages laid out from templates.
 TRAIN_PAGES = 100
 TRAIN_LAYOUTS = 480
 PATHS, WORDS, SHARES = 192, 32, 6
@@ -261,8 +261,8 @@ def layouts(words: list[str], n: int) -> Iterator[tuple[list[Block], np.ndarray]
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> Labeller:
     """A labeller from at most TRAIN_PAGES pages and TRAIN_LAYOUTS layouts (also of an empty table)."""
-    rows = (pages.select(F.col(id_col).cast("string").alias("id"), F.coalesce(html_col, F.lit("")).alias("html"))
-            .orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(TRAIN_PAGES).collect())
+    rows = sorted(sample_rows(pages.select(F.col(id_col).cast("string").alias("id"), F.coalesce(html_col, F.lit("")).alias("html")), TRAIN_PAGES).collect(),
+                  key=lambda r: (r["id"] or "", r["html"]))
     real = [blocks(r["html"]) for r in rows]
     words = [w for p in real for b in p for w in b.text.split(" ")][:50_000]
     pairs = [(p, y) for p in real if (y := _taught(p)) is not None] + list(layouts(words, TRAIN_LAYOUTS))

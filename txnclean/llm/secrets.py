@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from txnclean.llm.shared import table
+from txnclean.llm.shared import sample_rows, table
 
 # fixed values: the patterns of the base scan, in the listed order
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,7 +28,7 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 MIN_RATIO = 12.0
 #: Weight, in character pairs, of the single characters' frequencies in each row of a model.
 BACK_OFF = 20.0
-#: The models are fitted on so many documents, those of the smallest hashed ids.
+#: The models are fitted on so many documents, those of the smallest hashes.
 TRAIN_DOCS = 2000
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -77,8 +77,7 @@ def fit_markov(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The result has a fixed size. Of an empty table all ratios are 0 (no span is added).
     """
-    sample = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-              .orderBy(F.xxhash64(F.col("id").cast("string")), "id", F.xxhash64("text")).limit(train_docs))
+    sample = sample_rows(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), train_docs)
     secret = F.filter(F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(r"[0-9a-f]{16,}"), F.lit(0)),
                                F.regexp_extract_all("text", F.lit(r"AKIA[A-Z0-9]{14,}"), F.lit(0))), lambda t: F.length(t) >= 12)
     digest = F.sha2(F.coalesce(F.col("id").cast("string"), F.lit("")), 256)

@@ -47,3 +47,10 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return col if have == want and types[have] == kind else col.cast(kind).alias(want)
 
     return docs.select(one(id_col, "doc_id", "bigint"), one(text_col, "text", "string"))
+
+
+def sample_rows(df: DataFrame, n: int) -> DataFrame:
+    """At most n different rows, those of the smallest hashes. Only hashes are ranked, never whole rows in one task."""
+    keyed = df.withColumn("_key", F.xxhash64(*df.columns))
+    keys = keyed.select("_key").orderBy("_key").limit(n).distinct()         # n hashes at most: may be broadcast
+    return keyed.join(F.broadcast(keys), "_key").dropDuplicates(["_key"]).drop("_key")
