@@ -1,13 +1,17 @@
 """Ghost removal against a plain sequential greedy loop (brute force) on small fixtures."""
 
+import math
 import os
 import random
+from collections import Counter
 from datetime import date
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from txnclean import ColumnMapping, GhostOptions, clean
+from txnclean.functions.similarity import overlap, prefix_of, text_tokens
 from txnclean.plans.clean_job import clean_csv
 
 from conftest import DATA
@@ -176,3 +180,39 @@ def test_metrics_and_max_rounds(spark):
                                "i long, date string, description string, amount string")
     with pytest.raises(RuntimeError):
         clean(df, order_by="i", ghosts=GhostOptions(True, amount_tol=0.015, max_rounds=1))
+
+
+def test_rounds_carry_undecided_rows_only(spark):
+    rows = [("2026-04-16", "x", 10.0 + i / 100) for i in range(8)] + [("2026-05-01", "x", float(i)) for i in range(40)]
+    got, res = run_spark(spark, rows, 0.015, 0, 0.9)
+    assert got == [0, 2, 4, 6] + list(range(8, 48))
+    # every round settles a link; rows without a neighbour leave in the first
+    assert res.ghost_metrics["round_sizes"] == [(48, 7), (6, 5), (4, 3), (2, 1)]
+
+
+def test_text_tokens(spark):
+    texts = ["", "aab", "caf\u00e9 \U0001d4b3\U0001d4b3", "vendor 1221", "a" * 300]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("k", text_tokens(F.col("t")))
+    rows = df.withColumn("p", prefix_of(F.col("k"), 0.9)).collect()
+    for r in rows:
+        assert len(r["k"]) == len(set(r["k"])) == len(r["t"]) and r["k"] == sorted(r["k"])
+        need = math.ceil(0.9 * len(r["t"]) / 1.1 - 1e-9)
+        assert r["p"] == (r["k"][:len(r["t"]) - need + 1] if r["t"] else [0])
+    both = df.alias("a").crossJoin(df.alias("b")).select(
+        F.col("a.t").alias("x"), F.col("b.t").alias("y"), overlap("a.k", "b.k").alias("n"))
+    for r in both.collect():
+        assert r["n"] == sum((Counter(r["x"]) & Counter(r["y"])).values())
+
+
+def test_text_alone_tests_few_pairs(spark):
+    """Rows with neither date nor amount: what the ratio is computed for stays a small share of all pairs."""
+    from txnclean.operators.ghosts import NN, RID, _pairs
+    rnd = random.Random(5)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4))) for i in range(1000)]
+    rows += [(1000 + i, t + "s") for i, t in rows]
+    r = (spark.createDataFrame(rows, f"`{RID}` long, tx string")
+         .withColumn("cls", F.lit(NN)).withColumn("dn", F.lit(None).cast("int")).withColumn("am", F.lit(None).cast("double"))
+         .withColumn("toks", text_tokens(F.col("tx"))).withColumn("prefix", prefix_of(F.col("toks"), 0.9)))
+    pairs = [(p["i"], p["j"]) for p in _pairs(r, r, False, False, 0.9, 0.0, 0).select("i", "j").collect()]
+    assert len(pairs) == len(set(pairs)) and {(1000 + i, i) for i in range(1000)} <= set(pairs)
+    assert len(pairs) < 0.02 * 2000 * 1999 / 2

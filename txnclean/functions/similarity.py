@@ -5,23 +5,25 @@
 *later* row's text first because the ratio is asymmetric. It only ever sees
 candidate pairs that passed the exact native prefilters.
 
-``prefix_tokens_udf`` supports exact blocking: a ratio of at least ``t`` implies a
-character-multiset overlap of at least ``t*len/(2-t)``, so two such texts share a
-token in the first ``len - ceil(t*len/(2-t)) + 1`` tokens under any fixed global
-token order (prefix filtering). Tokens are (character, occurrence) pairs ordered by
-character rarity.
+``text_tokens`` and ``prefix_of`` support exact blocking with built-in functions: a ratio
+of at least ``t`` implies a character-multiset overlap of at least ``t*len/(2-t)``, so two
+such texts share a token in the first ``len - ceil(t*len/(2-t)) + 1`` tokens under any
+fixed global token order (prefix filtering). Tokens are (character, occurrence) pairs as
+longs; ``overlap`` of two token arrays is the multiset overlap itself.
 """
 
 from __future__ import annotations
 
-import math
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EMPTY_TOKEN = "\u0000"
+#: Order of characters in prefixes: any others first, then digits, then letters from rare to
+#: frequent in European text, the blank last. The order decides the cost alone, never the result.
+COMMON_CHARACTERS = "0123456789zqxjkvbpygfwmucldrhsnioate "
 
 
 @F.pandas_udf(T.DoubleType())
@@ -30,33 +32,24 @@ def ratio_udf(later: pd.Series, earlier: pd.Series) -> pd.Series:
                      dtype="float64")
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    """Prefix size for a text of ``n`` characters at ratio ``threshold`` (0 < t <= 1)."""
-    if n == 0:
-        return 0
-    need = threshold * n / (2.0 - threshold)
-    p = n - math.ceil(need - 1e-9) + 1
-    return max(1, min(n, p))
-
-
-def make_prefix_tokens_udf(rank: dict[str, int], threshold: float):
-    """Pandas UDF: text -> its prefix tokens (an empty text gets one shared token)."""
-    unknown = len(rank)
-
-    def tokens_of(text: str) -> list[str]:
-        if not text:
-            return [EMPTY_TOKEN]
-        seen: dict[str, int] = {}
-        toks = []
-        for ch in text:
-            k = seen.get(ch, 0)
-            seen[ch] = k + 1
-            toks.append((rank.get(ch, unknown), ord(ch), k, ch))
-        toks.sort()
-        return [f"{ch}{k}" for _, _, k, ch in toks[: prefix_length(len(text), threshold)]]
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def prefix_tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([tokens_of(t) for t in texts])
-
-    return prefix_tokens
+def text_tokens(text: Column) -> Column:
+    """All (character, occurrence) tokens of a text in the global order, as distinct longs.
+
+    Rank, code point and occurrence sit in separate bit ranges, so equal tokens are equal
+    numbers and the ascending order of numbers is the global order."""
+    chars = F.array_sort(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: (
+        F.shiftleft(F.instr(F.lit(COMMON_CHARACTERS), c).cast("long") * F.lit(1 << 21).cast("long") + F.ascii(c).cast("long"), 32))))
+    return F.transform(chars, lambda v, k: v + k - F.array_position(chars, v) + 1)
+
+
+def prefix_of(tokens: Column, threshold: float) -> Column:
+    """The prefix tokens at ratio ``threshold`` (0 < t <= 1); all empty texts share the token 0."""
+    n = F.size(tokens)
+    need = F.ceil(n * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9))
+    first = F.slice(tokens, F.lit(1), F.greatest(F.lit(1), F.least(n, n - need + 1)).cast("int"))
+    return F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(first)
+
+
+def overlap(tokens: str, others: str) -> Column:
+    """Characters that two texts have in common, by their full token arrays."""
+    return F.size(F.array_intersect(tokens, others))

@@ -14,14 +14,17 @@ Plan (every step is a Spark join / aggregate, nothing is gathered in one task):
 3. *Candidates* among the remaining rows: equi-joins on a day bucket (width tol+1), an
    amount bucket (width 2*tol) with the neighbouring buckets exploded on one side, and,
    with a text column, on a shared prefix token. Each key is a necessary condition, so
-   no true pair is lost; the exact residuals and then the ratio UDF run on the result.
+   no true pair is lost. Exact residuals, the length bound and the character-multiset
+   bound are part of the join condition, and a pair is emitted only at its smallest
+   shared token, so pairs are never shuffled; the ratio UDF runs on what is left.
    Pairs with neither a date nor an amount test and no text column match
    unconditionally; they are answered by per-class aggregates instead of pairs.
 4. *Fixpoint*: each round, an undecided row with a kept earlier neighbour is dropped;
    one whose earlier neighbours are all dropped is kept. The earliest undecided row is
    always decided, so it terminates, and the result equals the sequential greedy
-   loop. Each round is cut from its lineage with a reliable checkpoint in the
-   session's ``spark.checkpoint.dir``.
+   loop. Only undecided rows and the edges between them go on to the next round, each
+   cut from its lineage with a reliable checkpoint in the session's
+   ``spark.checkpoint.dir``; decided rows are not touched again.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named
-from ..functions.similarity import make_prefix_tokens_udf, ratio_udf
+from ..functions.similarity import overlap, prefix_of, ratio_udf, text_tokens
 from ..functions.text import trim_unicode
 from ..plans.roles import GhostColumns, ResolvedRoles
 from ..session import cut_lineage
@@ -43,9 +46,8 @@ RID = "__tc_rid"
 GHOST = "__tc_ghost"
 # classes by which ghost values are present: bit 1 = date, bit 2 = amount
 DA, D_, _A, NN = 3, 1, 2, 0
-UNDECIDED, KEPT, DROPPED = 0, 1, 2
-# Bound on the character-rank table shipped to the token UDF (distinct characters).
-MAX_RANK_TABLE = 200_000
+# Frames of kept rows that are merged into one when there are this many.
+MERGE_KEPT = 16
 
 
 def _attrs(x: DataFrame, roles: ResolvedRoles, cols: GhostColumns) -> tuple[DataFrame, bool, bool, bool]:
@@ -89,23 +91,34 @@ def _buckets(df: DataFrame, tol: float, dtol: int, on_day: bool, on_amt: bool,
     return out
 
 
-def _pairs(later: DataFrame, earlier: DataFrame, on_day: bool, on_amt: bool, on_tok: bool,
+def _pairs(later: DataFrame, earlier: DataFrame, on_day: bool, on_amt: bool, threshold: Optional[float],
            tol: float, dtol: int) -> DataFrame:
-    """Candidate (i, j) pairs, j earlier, blocked on the chosen keys, exact residuals applied."""
+    """(i, j, texts), j earlier, blocked on the chosen keys (and on prefix tokens where there is a
+    text threshold), each pair once, with all native conditions applied."""
+    on_tok = threshold is not None
     keys = (["db"] if on_day else []) + (["ab"] if on_amt else []) + (["tok"] if on_tok else [])
     li = _buckets(later, tol, dtol, on_day, on_amt, explode=False)
     ej = _buckets(earlier, tol, dtol, on_day, on_amt, explode=True)
+    texts, texts_j = [], []
     if on_tok:
-        li = li.withColumn("tok", F.explode("toks"))
-        ej = ej.withColumn("tok", F.explode("toks"))
-    li = li.select(F.col(RID).alias("i"), "dn", "am", "tx", *keys)
+        li = li.withColumn("tok", F.explode("prefix"))
+        ej = ej.withColumn("tok", F.explode("prefix"))
+        texts = ["toks", "prefix"]
+        texts_j = [F.col(c).alias(f"{c}_j") for c in texts]
+    li = li.select(F.col(RID).alias("i"), "dn", "am", "tx", *texts, *keys)
     ej = ej.select(F.col(RID).alias("j"), F.col("dn").alias("dn_j"), F.col("am").alias("am_j"),
-                   F.col("tx").alias("tx_j"), *keys)
+                   F.col("tx").alias("tx_j"), *texts_j, *keys)
     cond = F.col("j") < F.col("i")
     if on_day:
         cond = cond & (F.abs(F.col("dn") - F.col("dn_j")) <= dtol)
     if on_amt:
         cond = cond & (F.abs(F.col("am") - F.col("am_j")) <= F.lit(tol))
+    if on_tok:
+        la, lb = F.size("toks"), F.size("toks_j")
+        need = F.lit(threshold) * (la + lb) - F.lit(1e-9)
+        cond = (cond & (F.lit(2.0) * F.least(la, lb) >= need)
+                & (F.array_min(F.array_intersect("prefix", "prefix_j")) == F.col("tok"))
+                & (F.lit(2.0) * overlap("toks", "toks_j") >= need))
     p = li.join(ej, keys, "inner").where(cond)
     return p.select("i", "j", "tx", "tx_j")
 
@@ -114,38 +127,35 @@ def _neighbours(reps: DataFrame, has_t: bool, threshold: float, tol: float, dtol
     """Exact match edges (i, j), j < i, among collapsed rows (wildcard-free classes only
     when there is no text test)."""
     R = reps
+    thr = threshold if has_t else None
     d_star = R.where(F.col("cls").isin(DA, D_))
     a_star = R.where(F.col("cls").isin(DA, _A))
     parts = []
     if dtol >= 0 and tol >= 0:  # both tests
         parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == DA),
-                            True, True, has_t, tol, dtol))
+                            True, True, thr, tol, dtol))
     if dtol >= 0:  # date test only (an amount is missing on one side)
-        parts.append(_pairs(R.where(F.col("cls") == D_), d_star, True, False, has_t, tol, dtol))
+        parts.append(_pairs(R.where(F.col("cls") == D_), d_star, True, False, thr, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == D_),
-                            True, False, has_t, tol, dtol))
+                            True, False, thr, tol, dtol))
     if tol >= 0:  # amount test only
-        parts.append(_pairs(R.where(F.col("cls") == _A), a_star, False, True, has_t, tol, dtol))
+        parts.append(_pairs(R.where(F.col("cls") == _A), a_star, False, True, thr, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == _A),
-                            False, True, has_t, tol, dtol))
+                            False, True, thr, tol, dtol))
     if has_t:  # neither test: text alone decides; empty texts are left to the class rule
         R = R.where(F.col("tx") != "")
         nn, anyc = R.where(F.col("cls") == NN), R
-        parts.append(_pairs(nn, anyc, False, False, True, tol, dtol))
+        parts.append(_pairs(nn, anyc, False, False, thr, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == D_), R.where(F.col("cls").isin(_A, NN)),
-                            False, False, True, tol, dtol))
+                            False, False, thr, tol, dtol))
         parts.append(_pairs(R.where(F.col("cls") == _A), R.where(F.col("cls").isin(D_, NN)),
-                            False, False, True, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == DA), nn, False, False, True, tol, dtol))
+                            False, False, thr, tol, dtol))
+        parts.append(_pairs(R.where(F.col("cls") == DA), nn, False, False, thr, tol, dtol))
     if not parts:
         return reps.sparkSession.createDataFrame([], "i long, j long")
     cand = reduce(DataFrame.unionByName, parts)
     if not has_t:
         return cand.select("i", "j")
-    # one row per pair (several shared tokens), native length bound, then the exact ratio
-    la, lb = F.length("tx"), F.length("tx_j")
-    cand = (cand.dropDuplicates(["i", "j"])
-            .where(F.lit(2.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb)))
     return cand.where(ratio_udf(F.col("tx"), F.col("tx_j")) >= F.lit(threshold)).select("i", "j")
 
 
@@ -154,14 +164,10 @@ def _neighbours(reps: DataFrame, has_t: bool, threshold: float, tol: float, dtol
 FREE_PARTNERS = {NN: (DA, D_, _A, NN), D_: (_A, NN), _A: (D_, NN), DA: (NN,)}
 
 
-def _class_mins(state: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
-    """Per class, among rows under the class rule: smallest kept rid and smallest
-    not-dropped rid (8 numbers, one job)."""
-    rows = state.where(F.col("free")).groupBy("cls").agg(
-        F.min(F.when(F.col("st") == KEPT, F.col(RID))).alias("k"),
-        F.min(F.when(F.col("st") != DROPPED, F.col(RID))).alias("l")).collect()
-    return ({r["cls"]: r["k"] for r in rows if r["k"] is not None},
-            {r["cls"]: r["l"] for r in rows if r["l"] is not None})
+def _class_mins(rows: DataFrame, known: dict[int, int]) -> dict[int, int]:
+    """Per class, the smallest rid of ``rows`` under the class rule, or the known one (4 numbers, one job)."""
+    found = rows.where(F.col("free")).groupBy("cls").agg(F.min(RID).alias("m")).collect()
+    return {**known, **{r["cls"]: min(r["m"], known.get(r["cls"], r["m"])) for r in found}}
 
 
 def _class_cond(mins: dict[int, int]) -> Column:
@@ -175,65 +181,53 @@ def _class_cond(mins: dict[int, int]) -> Column:
 
 def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
                       max_rounds: Optional[int] = None, metrics: Optional[dict] = None) -> DataFrame:
-    # ``reps`` has a boolean ``free``: rows whose date/amount-free pairs always match
-    # (no text test, or an empty text) and are decided by the class rule, not by edges.
-    """Fixpoint over ``edges`` (i, j), j < i: returns (rid, st) with st KEPT or DROPPED.
+    """Fixpoint over ``edges`` (i, j), j < i: the rids of kept rows.
 
-    One round: (1) an undecided row whose earlier neighbours are all dropped is kept;
-    (2) an undecided row with a kept earlier neighbour - kept before or in step (1) of
-    this round - is dropped. Both decisions are final, and the earliest undecided row
-    is always kept or dropped, so rounds strictly shrink the undecided set. For the
-    usual shape (copies of an earlier original) one round settles everything.
+    ``reps`` has a boolean ``free``: rows whose date/amount-free pairs always match (no text
+    test, or an empty text) and are decided by the class rule, not by edges. One round:
+    (1) a row without an earlier undecided neighbour is kept; (2) a row with a neighbour
+    that was kept in (1) is dropped; (3) the rest and the edges among them are the next
+    round's whole input. Both decisions are final, and the earliest undecided row is
+    always decided. For the usual shape (copies of an earlier original) one round settles
+    everything. ``metrics`` gets the sizes of each round.
     """
-    state = cut_lineage(reps.select(RID, "cls", "free", F.lit(UNDECIDED).alias("st")))
+    rest = cut_lineage(reps.select(RID, "cls", "free"))
     edges = cut_lineage(edges)
-    if metrics is not None:
-        metrics["candidate_edges"] = edges.count()
-    rounds = 0
-    while True:
-        undecided = state.where(F.col("st") == UNDECIDED)
-        if undecided.limit(1).count() == 0:
-            if metrics is not None:
-                metrics["rounds"] = rounds
-            return state.select(RID, "st")
-        rounds += 1
-        if max_rounds is not None and rounds > max_rounds:
+    sizes: list[tuple[int, int]] = []
+    kept: list[DataFrame] = []
+    kept_min: dict[int, int] = {}
+    while (left := rest.count()) or not kept:
+        sizes.append((left, edges.count()))
+        if max_rounds is not None and len(sizes) > max_rounds:
             raise RuntimeError(f"ghost removal did not settle in {max_rounds} rounds")
-        und_i = undecided.select(F.col(RID).alias("i"))
-        live_edges = edges.join(und_i, "i", "left_semi")
-        sj = state.select(F.col(RID).alias("j"), F.col("st").alias("st_j"))
-        prev = (live_edges.join(sj, "j")
-                .groupBy("i").agg(F.max(F.col("st_j") == KEPT).alias("any_kept"),
-                                  F.max(F.col("st_j") != DROPPED).alias("any_live")))
-        live_nb = F.coalesce(F.col("any_live"), F.lit(False))
+        keep = rest.join(edges.select(F.col("i").alias(RID)), RID, "left_anti")
         if free_pairs:
-            kept_min, live_min = _class_mins(state)
-            live_nb = live_nb | _class_cond(live_min)
-        step1 = (undecided.join(prev.withColumnRenamed("i", RID), RID, "left")
-                 .select(RID, "cls", "free", F.when(~live_nb, KEPT).otherwise(UNDECIDED).alias("st")))
-        # short lineage (checkpointed state + edges): a cache is enough within the round
-        step1 = state.where(F.col("st") != UNDECIDED).unionByName(step1).persist(StorageLevel.MEMORY_AND_DISK)
-        # step 2: drop rows next to any kept row (earlier rounds or step 1)
-        kept_j = step1.where(F.col("st") == KEPT).select(F.col(RID).alias("j"))
-        hit = live_edges.join(kept_j, "j", "left_semi").select(F.col("i").alias(RID)).distinct()
-        hit = hit.withColumn("__tc_hit", F.lit(True))
-        kept_nb = F.coalesce(F.col("__tc_hit"), F.lit(False))
+            keep = keep.where(~_class_cond(_class_mins(rest, kept_min)))
+        keep = cut_lineage(keep)
+        kept.append(keep.select(RID))
+        hit = edges.join(keep.select(F.col(RID).alias("j")), "j", "left_semi").select(F.col("i").alias(RID))
+        rest = rest.join(keep.select(RID).unionByName(hit), RID, "left_anti")
         if free_pairs:
-            kept_min, _ = _class_mins(step1)
-            kept_nb = kept_nb | _class_cond(kept_min)
-        und2 = step1.where(F.col("st") == UNDECIDED)
-        step2 = (und2.join(hit, RID, "left")
-                 .select(RID, "cls", "free", F.when(kept_nb, DROPPED).otherwise(UNDECIDED).alias("st")))
-        state = cut_lineage(step1.where(F.col("st") != UNDECIDED).unionByName(step2))
-        step1.unpersist()
+            kept_min = _class_mins(keep, kept_min)
+            rest = rest.where(~_class_cond(kept_min))
+        rest = cut_lineage(rest)
+        ids = rest.select(RID)
+        edges = cut_lineage(edges.join(ids.withColumnRenamed(RID, "i"), "i", "left_semi")
+                            .join(ids.withColumnRenamed(RID, "j"), "j", "left_semi").select("i", "j"))
+        if len(kept) == MERGE_KEPT:
+            kept = [cut_lineage(reduce(DataFrame.unionByName, kept))]
+    if metrics is not None:
+        metrics.update(candidate_edges=sizes[0][1], rounds=len(sizes), round_sizes=sizes)
+    return reduce(DataFrame.unionByName, kept)
 
 
 def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opts,
                 ord_col: str = "_ord", metrics: Optional[dict] = None) -> DataFrame:
     """``firsts`` plus a boolean ``GHOST`` column.
 
-    ``metrics`` (optional dict) receives ``rows``, ``collapsed_rows``, ``candidate_edges``
-    and ``rounds`` - the sizes that decide the cost of the run."""
+    ``metrics`` (optional dict) receives ``rows``, ``collapsed_rows``, ``candidate_edges``,
+    ``rounds`` and ``round_sizes`` (undecided rows and edges of each round) - the sizes
+    that decide the cost of the run."""
     spark = firsts.sparkSession
     tol, dtol, thr = float(opts.amount_tol), int(opts.date_tol_days), float(opts.threshold)
     # 1. order-preserving ids: range-sorted partitions, then position
@@ -258,23 +252,17 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
     reps = reps.persist(StorageLevel.MEMORY_AND_DISK)   # lineage back to the checkpointed x
     # 3. candidates
     if has_t:
-        freq = (reps.select(F.explode(F.split("tx", "")).alias("ch")).where(F.col("ch") != "")
-                .groupBy("ch").count())
-        n_chars = freq.count()
-        rank: dict[str, int] = {}
-        if n_chars <= MAX_RANK_TABLE:  # size checked before it goes to the tasks
-            rank = {r.ch: i for i, r in enumerate(freq.orderBy("count", "ch").collect())}
-        reps = reps.withColumn("toks", make_prefix_tokens_udf(rank, thr)(F.col("tx"))).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        reps = (reps.withColumn("toks", text_tokens(F.col("tx")))
+                .withColumn("prefix", prefix_of(F.col("toks"), thr)).persist(StorageLevel.MEMORY_AND_DISK))
     edges = _neighbours(reps, has_t, thr, tol, dtol)
     # 4. fixpoint
     if metrics is not None:
         metrics["rows"] = x.count()
         metrics["collapsed_rows"] = reps.count()
     free_rows = reps.where(F.col("free")).limit(1).count() > 0   # any row under the class rule?
-    state = greedy_keep_first(reps, edges, free_pairs=free_rows,
-                              max_rounds=getattr(opts, "max_rounds", None), metrics=metrics)
-    reps.unpersist()          # state is checkpointed; the result reads only x and state
-    kept = state.where(F.col("st") == KEPT).select(RID, F.lit(True).alias("__tc_keep"))
+    kept = greedy_keep_first(reps, edges, free_pairs=free_rows,
+                             max_rounds=getattr(opts, "max_rounds", None), metrics=metrics)
+    reps.unpersist()          # kept rows are checkpointed; the result reads only x and those
+    kept = kept.withColumn("__tc_keep", F.lit(True))
     out = x.join(kept, RID, "left")
     return out.withColumn(GHOST, F.col("__tc_keep").isNull()).drop(RID, "__tc_keep")
