@@ -661,6 +661,27 @@ def q_ghosts_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.cleaned.select(*_ids(res.cleaned), "date", "description", "amount")
 
 
+@register("ghosts_chain", """
+SELECT copy, o_orderkey, strftime(CAST(o_orderdate AS DATE) + shift, '%Y-%m-%d') AS date, 'n' || copy AS note,
+       CAST(printf('%.2f', o_orderkey * 10 + cents / 100.0) AS DOUBLE) AS amount
+FROM orders, (VALUES (0, 0, 0), (2, 2, 0), (4, 4, 0), (5, 500, 0), (6, 500, 2)) v(copy, cents, shift)""")
+def q_ghosts_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2, C3, C6, C8 at tolerances of their own: chains in which each row matches the one before only
+    (every second stays), and a pair two days apart at a tolerance of one (both stay)."""
+    from .clean_job import GhostOptions
+    o = _orders(spark, sf_dir)
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    # amount in cents above ten times the key, and days after the order's date
+    shape = [(0, 0, 0), (1, 1, 1), (2, 2, 0), (3, 3, 1), (4, 4, 0), (5, 500, 0), (6, 500, 2)]
+    rows = reduce(DataFrame.unionByName, [
+        o.select(F.lit(copy).alias("copy"), k, F.date_format(F.date_add(d, shift), "yyyy-MM-dd").alias("date"),
+                 F.lit(f"n{copy}").alias("note"), F.format_string("%.2f", k * 10 + F.lit(cents / 100)).alias("amount"))
+        for copy, cents, shift in shape])
+    df = with_order(rows, ["copy", "o_orderkey"]).drop("copy", "o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True, amount_tol=0.015, date_tol_days=1))
+    return res.cleaned.select(*_ids(res.cleaned), "date", "note", "amount")
+
+
 # ---------------------------------------------------------------- load
 
 @register("sql_types", """
