@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from txnclean.llm import jaccard_join
 from txnclean.llm.jaccard_join import jaccard_classes
 
@@ -84,3 +87,44 @@ def test_recursion_and_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def nested(seed, n):
+    """n triples (P, X, Y): X is 100 of P's 106 shingles, Y 81 of X's; Y links X, and P is too large for Y."""
+    rnd = random.Random(seed)
+    docs = []
+    for k in range(n):
+        w = [f"v{k}x{rnd.randrange(10 ** 9)}" for _ in range(110)]
+        docs += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(w[:104])), (10 * k + 2, " ".join(w[:85]))]
+    return docs
+
+
+def bucket(docs, key=7):
+    """One bucket's batch (key, node, n, sig) of all texts, in order of node (the document's place)."""
+    got = pa.Table.from_batches(jaccard_join._nodes([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs]})]))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), key)), pa.array(np.arange(len(docs))),
+                                       got["n"].combine_chunks(), got["sig"].combine_chunks()], names=["key", "node", "n", "sig"])
+
+
+def linked(edges, n):
+    at = list(range(n))
+    for a, b in edges:
+        at = [at[a] if x == at[b] else x for x in at]
+    return at
+
+
+def test_nodes_alike_to_a_pivot_lose_no_links():
+    for seed in range(12):
+        docs = nested(seed, 1)
+        out = [r for b in jaccard_join._split(False, 2)([bucket(docs)]) for r in b.to_pylist()]
+        on = {}
+        for r in out:
+            if r["kind"] == 1:
+                on.setdefault(r["key"], set()).add(r["node"])
+        at = linked([(r["node"], r["other"]) for r in out if r["kind"] == 0], len(docs))
+        assert at[1] == at[2] or any({1, 2} <= s for s in on.values())
+
+
+def test_nested_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 2)
+    check(spark, nested(20, 60))
