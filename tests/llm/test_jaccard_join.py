@@ -128,3 +128,42 @@ def test_nodes_alike_to_a_pivot_lose_no_links():
 def test_nested_copies_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BUCKET", 2)
     check(spark, nested(20, 60))
+
+
+def test_recall_by_depth():
+    """The stated recall against paths drawn one by one, and the runs a target takes."""
+    rnd = random.Random(5)
+
+    def survives(m, depth):
+        return rnd.random() < m and (depth == 1 or any(survives(m, depth - 1) for _ in range(2 if rnd.random() < 0.25 else 1)))
+
+    for depth in (1, 4, 8):
+        hits = 0
+        for _ in range(4000):
+            m = sum(rnd.random() < 0.8 for _ in range(64)) / 64
+            hits += any(survives(m, depth) for _ in range(4))
+        assert abs(hits / 4000 - jaccard_join.recall(4, depth)) < 0.025
+        need = jaccard_join.runs_needed(0.999, depth)
+        assert jaccard_join.recall(need, depth) >= 0.999 > jaccard_join.recall(need - 1, depth)
+
+
+def test_runs_are_added_until_the_target_holds(spark, monkeypatch):
+    """Pairs at 0.8 among texts that share a third: deep buckets, and no other path to a pair's link."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 2)
+    made, inner = [], jaccard_join._run_edges
+
+    def noted(nodes, first, stop, depth):
+        found, reached = inner(nodes, first, stop, depth)
+        made.append((first, stop, reached))
+        return found, reached
+
+    monkeypatch.setattr(jaccard_join, "_run_edges", noted)
+    rnd = random.Random(8)
+    word = lambda: f"u{rnd.randrange(10 ** 9)}"
+    shared, docs = [word() for _ in range(124)], []
+    for k in range(120):
+        own = [word() for _ in range(120)]
+        for side in (0, 1):
+            docs.append((2 * k + side, " ".join(shared + own + [word() for _ in range(26)])))
+    check(spark, docs)
+    assert max(r for _, _, r in made) >= 5 and made[-1][1] >= jaccard_join.runs_needed(0.999, max(r for _, _, r in made)) > 10

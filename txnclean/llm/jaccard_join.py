@@ -5,7 +5,7 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
 
 1. Each set becomes PLACES sampled tokens (one-permutation min-hashes): two sets share each place
    with a chance equal to their similarity.
-2. Each of RUNS runs splits all nodes by one place's token; buckets over BUCKET nodes are split
+2. Each run splits all nodes by one place's token; buckets over BUCKET nodes are split
    again by one or two places that the path chooses (1.25 on average: one shared child is expected
    at similarity 0.8), level by level, as one shuffle a level. Small buckets are compared by brute
    force on the sampled tokens; likely pairs (0.55 or more) give edges, of which a bucket keeps a
@@ -13,7 +13,9 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
    sampled tokens) are linked to it and go no further. So that no pair of theirs is lost, all nodes
    are linked to each pivot they share NEAR = LIKELY + ALIKE - 1 with, whatever their sizes: two nodes
    that share LIKELY, one of them ALIKE with a pivot, both share as much with that pivot. A pair of similarity 0.8 survives a
-   run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4; ten runs find it with 0.999 at depth 4.
+   run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4 and 0.35 at depth 8. RUNS runs are
+   made first; then, as long as the deepest level that had rows leaves the recall of such a pair
+   below the target, as many more as it takes (10 runs for 0.999 at depth 3, 13 at 4, 29 at 8).
 3. Every true link lies inside a component of these edges. There, whole shingle sets are compared
    exactly; components over BLOCK nodes are cut in blocks, and pairs of blocks are compared apart.
    Tasks return numbers of links and spanning forests, never all pairs of a group.
@@ -21,6 +23,7 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,9 @@ SHINGLE = 5
 #: Least similarity of a link, as a fraction in whole numbers.
 THRESHOLD = (4, 5)
 PLACES = 64
+#: Runs made at once; more follow until the recall of a pair at the threshold reaches the target.
 RUNS = 10
+RECALL = 0.999
 BUCKET = 1024
 BLOCK = 1024
 PIVOTS = 16
@@ -225,18 +230,54 @@ def _split(last: bool, most: int):
     return run
 
 
-def _likely_edges(nodes: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) that span all pairs the runs find."""
+def recall(runs: int, depth: int) -> float:
+    """The chance that a pair at the threshold is found by so many runs whose buckets are compared at this depth.
+
+    The pair shares a binomial number of the places, the same for all runs; a path splits by a shared
+    place with that share, and has two children for one path in four.
+    """
+    s = THRESHOLD[0] / THRESHOLD[1]
+    out = 0.0
+    for m in range(math.ceil(LIKELY * PLACES), PLACES + 1):
+        kept = 1.0
+        for _ in range(depth - 1):
+            kept = 0.75 * m / PLACES * kept + 0.25 * (1 - (1 - m / PLACES * kept) ** 2)
+        out += math.comb(PLACES, m) * s ** m * (1 - s) ** (PLACES - m) * (1 - (1 - m / PLACES * kept) ** runs)
+    return out
+
+
+def runs_needed(target: float, depth: int, most: int = 1024) -> int:
+    """The least number of runs whose recall at this depth reaches the target."""
+    for runs in range(1, most + 1):
+        if recall(runs, depth) >= target:
+            return runs
+    raise ValueError(f"a recall of {target} is out of reach at depth {depth}: {most} runs give {recall(most, depth):.6f}")
+
+
+def _likely_edges(nodes: DataFrame, depth: int, target: float) -> DataFrame:
+    """Edges (a, b) that span all pairs the runs find; runs are added until the target recall holds at the depth reached."""
+    edges, done, deepest, todo = None, 0, 1, RUNS
+    while done < todo:
+        found, reached = _run_edges(nodes, done, todo, depth)
+        edges = found if edges is None else edges.union(found)
+        done, deepest = todo, max(deepest, reached)
+        todo = max(done, runs_needed(target, deepest))
+    return edges
+
+
+def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[DataFrame, int]:
+    """Edges (a, b) of the runs from first to before stop, and the deepest level that had rows."""
     spark = nodes.sparkSession
     parts = partitions(spark)
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(mix(np.arange(PLACES, dtype=np.uint64), 51))[:RUNS]
+        places = np.argsort(mix(np.arange(PLACES, dtype=np.uint64), 51))
+        order = [(r, places[r % PLACES]) for r in range(first, stop)]      # a place used again starts other paths
         for b in batches:
             if not b.num_rows:
                 continue
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, PLACES)
-            for r, place in enumerate(order):
+            for r, place in order:
                 key = mix(mix(np.array([r], np.uint64), 53) + sig[:, place].astype(np.uint64), 57).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", "n", "sig"])
 
@@ -251,7 +292,7 @@ def _likely_edges(nodes: DataFrame, depth: int) -> DataFrame:
         rows = got.where("kind = 1").select("key", "node", "n", "sig")
         if level < depth and not rows.take(1):
             break
-    return edges
+    return edges, level
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -313,20 +354,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 8) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 8,
+                    target: float = RECALL) -> DataFrame:
     """doc_id, class_id, n_links for every row: documents linked by similarities of 0.8 or more.
 
     class_id is the smallest doc_id of the connected class, n_links the number of other rows with a
     similarity of 0.8 or more (copies count as links). Texts without words are copies of each other.
     Repeated rows count as copies. A row without an id has no class (null) and 0 links. Other columns
-    are ignored. Levels, edges and sets are written to the shared folder.
+    are ignored. Runs are added until a pair of similarity 0.8 is found with the chance ``target``,
+    reckoned for the deepest level that had rows (``depth`` at most). Levels, edges and sets are written to the shared folder.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = partitions(docs.sparkSession)
     mine = written(src.where("doc_id is not null").mapInArrow(_nodes, _NODE), "nodes")
     reps = mine.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
                                     F.first("n").alias("n"), F.first("sig").alias("sig"))
-    comps = connected_components(_likely_edges(reps, depth))
+    comps = connected_components(_likely_edges(reps, depth, target))
     sized = comps.join(comps.groupBy("component").agg(F.count("*").alias("size")), "component")
     todo = sized.join(reps.select("node", "rep", "copies"), "node")
     # a repeated id may stand for several texts: the node tells which row is meant
