@@ -167,3 +167,49 @@ def test_runs_are_added_until_the_target_holds(spark, monkeypatch):
             docs.append((2 * k + side, " ".join(shared + own + [word() for _ in range(26)])))
     check(spark, docs)
     assert max(r for _, _, r in made) >= 5 and made[-1][1] >= jaccard_join.runs_needed(0.999, max(r for _, _, r in made)) > 10
+
+
+def like_group(seed, n):
+    """Texts some 0.85 alike: too far apart to leave with a pivot, too near to be split."""
+    rnd = random.Random(seed)
+    base = [f"b{k}" for k in range(400)]
+    docs = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(6):
+            t[rnd.randrange(len(t))] = f"z{rnd.randrange(10 ** 9)}"
+        docs.append((i, " ".join(t)))
+    return docs
+
+
+def test_last_level_holds_blocks_only(monkeypatch):
+    most = []
+    inner = jaccard_join._compare
+    monkeypatch.setattr(jaccard_join, "_compare", lambda node, n, sig: most.append(len(node)) or inner(node, n, sig))
+    rows = bucket(like_group(9, 300))
+    pieces = [rows.slice(k, 10) for k in range(0, 300, 10)]
+    out = [r for b in jaccard_join._split(True, 16)(iter(pieces)) for r in b.to_pylist()]
+    on = [r for r in out if r["kind"] == 1]
+    assert max(most, default=0) <= 32 and len(on) > 100 and {r["key"] for r in on} == {7}
+    sizes = np.bincount([r["other"] for r in on])
+    assert sizes.max() == 16 and (sizes[:-1] == 16).all()
+
+
+def test_last_level_in_blocks_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET", 8)
+    docs = like_group(10, 60) + docs_of(11, n=20, group=10)[:-9]
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_classes(df.repartition(4), depth=1).collect()]
+    assert sorted(got) == sorted(brute(docs))
+
+
+def test_blocks_of_a_large_bucket_span_its_pairs(spark):
+    docs = like_group(12, 60)
+    rows = [(7, k // 8, r["node"], r["n"], r["sig"]) for k, r in enumerate(bucket(docs).to_pylist())]
+    df = spark.createDataFrame(rows, "key long, block long, node long, n int, sig binary")
+    got = linked([(r["a"], r["b"]) for r in jaccard_join._block_edges(df).collect()], len(docs))
+    r = bucket(docs)
+    sig = np.frombuffer(b"".join(r["sig"].to_pylist()), "<u2").reshape(-1, jaccard_join.PLACES)
+    want = linked(list(zip(*(x.tolist() for x in jaccard_join._compare(np.asarray(r["node"]), np.asarray(r["n"]), sig)))), len(docs))
+    assert [[a == b for b in got] for a in got] == [[a == b for b in want] for a in want]

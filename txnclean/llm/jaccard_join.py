@@ -16,6 +16,8 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
    run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4 and 0.35 at depth 8. RUNS runs are
    made first; then, as long as the deepest level that had rows leaves the recall of such a pair
    below the target, as many more as it takes (10 runs for 0.999 at depth 3, 13 at 4, 29 at 8).
+   What is left of a large bucket at the last level is cut in blocks of BUCKET nodes, and pairs of
+   blocks are compared apart.
 3. Every true link lies inside a component of these edges. There, whole shingle sets are compared
    exactly; components over BLOCK nodes are cut in blocks, and pairs of blocks are compared apart.
    Tasks return numbers of links and spanning forests, never all pairs of a group.
@@ -153,11 +155,15 @@ def _bucket_rows(kind: int, key, node, other=None, n=None, sig=None) -> pa.Recor
 
 
 def _split(last: bool, most: int):
-    """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of large ones."""
+    """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of large ones.
+
+    At the last level the next rows keep their key, and ``other`` is the number of their block.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []          # the open bucket's rows, BUCKET and a batch at most
         open_key: int | None = None
         pivots: tuple | None = None     # set once the open bucket is large
+        gone = 0                        # rows of the open bucket that went on
 
         def settle(node, sig):
             """Edges to the pivots, and which rows go on."""
@@ -175,21 +181,28 @@ def _split(last: bool, most: int):
             return np.concatenate(a), np.concatenate(b), go
 
         def pass_on(key, node, n, sig):
+            nonlocal gone
             a, b, go = settle(node, sig)
             if len(a):
                 yield _bucket_rows(0, None, a, b)
-            if go.any():
+            if not go.any():
+                return
+            if last:
+                block = (gone + np.arange(int(go.sum()))) // most
+                yield _bucket_rows(1, np.full(len(block), key, np.int64), node[go], block, n[go], sig[go])
+            else:
                 for child in _children(key, sig[go]):
                     yield _bucket_rows(1, child, node[go], None, n[go], sig[go])
+            gone += int(go.sum())
 
         def close():
-            nonlocal held, pivots
+            nonlocal held, pivots, gone
             if pivots is None and len(held) and sum(len(h[0]) for h in held) > 1:
                 node, n, sig = (np.concatenate(x) for x in zip(*held))
                 a, b = _compare(node, n, sig)
                 if len(a):
                     yield _bucket_rows(0, None, a, b)
-            held, pivots = [], None
+            held, pivots, gone = [], None, 0
 
         for batch in batches:
             key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -212,7 +225,7 @@ def _split(last: bool, most: int):
                     yield from pass_on(open_key, *part)
                     continue
                 held.append(part)
-                if not last and sum(len(h[0]) for h in held) > most:
+                if sum(len(h[0]) for h in held) > most:
                     hn, hz, hs = (np.concatenate(x) for x in zip(*held))
                     pick, left = [], np.arange(len(hn))
                     while len(pick) < PIVOTS and len(left):
@@ -230,6 +243,45 @@ def _split(last: bool, most: int):
     return run
 
 
+def _block_edges(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the likely pairs of large buckets (key, block, node, n, sig): a task's unit is a pair of blocks."""
+    parts = partitions(rows.sparkSession)
+    cut = rows.join(rows.groupBy("key").agg((F.max("block") + 1).alias("blocks")), "key")
+    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "n", "sig")
+    return dealt.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "node").mapInArrow(_compare_blocks, "a long, b long")
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, x, y, block, node, n, sig) in order of (key, x, y): edges of each pair of blocks."""
+    held: list[tuple] = []              # a pair of blocks
+    at = None
+
+    def close():
+        if not held:
+            return
+        block, node, n, sig = (np.concatenate(x) for x in zip(*held))
+        if at[1] != at[2] and len(np.unique(block)) < 2 or len(node) < 2:
+            return
+        a, b = _compare(node, n, sig)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, x, y, block, node, n = (np.asarray(batch.column(i)) for i in range(6))
+        sig = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(-1, PLACES)
+        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist()):
+            here = (int(key[i]), int(x[i]), int(y[i]))
+            if here != at:
+                yield from close()
+                held, at = [], here
+            held.append((block[i:j], node[i:j], n[i:j], sig[i:j]))
+    yield from close()
+
+
 def recall(runs: int, depth: int) -> float:
     """The chance that a pair at the threshold is found by so many runs whose buckets are compared at this depth.
 
@@ -290,8 +342,11 @@ def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[Dat
         found = got.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
         edges = found if edges is None else edges.union(found)
         rows = got.where("kind = 1").select("key", "node", "n", "sig")
-        if level < depth and not rows.take(1):
+        if not rows.take(1):
             break
+    else:
+        left = got.where("kind = 1").select("key", F.col("other").alias("block"), "node", "n", "sig")
+        edges = edges.union(written(_block_edges(left), "blocks"))
     return edges, level
 
 
