@@ -24,20 +24,36 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.with_score(docs, model, score_col="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_row``, a hash of id and text: what is decided for a row holds for rows that equal it in both, and no others."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))))
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of 5-word shingle similarity 0.8 or more: that of the smallest id.
+    """Keeps one row of each class of 5-word shingle similarity 0.8 or more: that of the smallest id.
 
-    Of rows that repeat the smallest id one stays, that with the smallest text.
+    Rows that share an id are told apart by their texts. Of rows of a class that repeat its smallest id
+    one stays, that with the smallest text. Rows without an id come last, so one of them stays only if
+    all of its class have none. Texts without words are copies of each other, apart for rows with and
+    without an id.
     """
-    classes = jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat an id: rare, found by counting ids alone
-    again = written(kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    keyed = _keyed(docs)
+    classes = jaccard_classes(keyed, id_col="_row").where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("class_id").alias("_class")).distinct()
+    words = F.coalesce(F.col("text").rlike(r"[A-Za-z0-9]|[^\x00-\x7f]"), F.lit(False))
+    rows = keyed.select("_row", "doc_id", (~words & F.col("doc_id").isNull()).alias("_bare"))
+    rows = written(rows.join(classes, "_row").groupBy("_row", "doc_id", "_class", "_bare").count(), "classes")
+    least = rows.groupBy("_class", "_bare").agg(F.min("doc_id").alias("_least"))
+    judged = rows.join(least, ["_class", "_bare"]).withColumn("_stays", F.col("doc_id").eqNullSafe(F.col("_least")))
+    kept = keyed.join(judged.where("not _stays").select("_row"), "_row", "left_anti")
+    # more rows than one of the smallest id (or none): found without texts
+    stay = judged.where("_stays")
+    many = stay.groupBy("_class", "_bare").agg(F.sum("count").alias("n")).where("n > 1").drop("n")
+    again = written(stay.join(many, ["_class", "_bare"]).select("_row", "_class", "_bare"), "repeated")
     if not again.take(1):
-        return kept
-    some = kept.join(again, "doc_id", "left_semi")
-    one = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r")).select("r.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+        return kept.select(*docs.columns)
+    order = F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))
+    one = kept.join(again, "_row").groupBy("_class", "_bare").agg(F.min_by(F.struct(*docs.columns), order).alias("r")).select("r.*")
+    return kept.join(again, "_row", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

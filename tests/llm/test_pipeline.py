@@ -67,3 +67,23 @@ def test_run_equals_the_stages(spark, scratch):
     tables(spark, scratch)
     a = P.run(spark, scratch)
     assert a.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and a.count() > 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def some_text(rnd, n=60):
+    return " ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(n))
+
+
+def test_near_duplicates_are_judged_by_row(spark, scratch):
+    rnd = random.Random(7)
+    a, b, c, d, e, f, g = (some_text(rnd) for _ in range(7))
+    rows = [(3, a), (7, a + " more"), (7, b), (8, c), (8, d), (9, e), (9, e), (9, e + " more"),
+            (None, a), (None, f), (None, f), (None, f + " more"), (None, g), (None, None), (None, ""), (20, ""), (21, None)]
+    docs = spark.createDataFrame([(i, t, "en", str(k), k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = P.near_duplicates_stage(spark, docs.repartition(3), scratch)
+    assert got.schema == docs.schema
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    want = [(3, a), (7, b), (8, c), (8, d), (9, e), (None, f), (None, g), (None, ""), (20, "")]
+    assert sorted([(r["doc_id"], r["text"] or "") for r in got.collect()], key=key) == sorted(want, key=key)
