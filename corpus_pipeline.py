@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet to the shared folder and
 reread as the next one's docs. All but the last return the columns of documents. Null texts count as
-empty; rows without an id are clean, linked to nothing, and stay.
+empty; rows without an id are judged as all others are.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item to 0.8 or more of its shingles."""
-    found = contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drops rows, with or without an id, that contain a benchmark item to 0.8 or more of its shingles."""
+    keyed = _keyed(docs)
+    found = contained_items(keyed, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,14 @@ def test_near_duplicates_are_judged_by_row(spark, scratch):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = [(3, a), (7, b), (8, c), (8, d), (9, e), (None, f), (None, g), (None, ""), (20, "")]
     assert sorted([(r["doc_id"], r["text"] or "") for r in got.collect()], key=key) == sorted(want, key=key)
+
+
+def test_decontamination_is_judged_by_row(spark, scratch):
+    rnd = random.Random(8)
+    item, a, b, c = (some_text(rnd, 40) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{scratch}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, f"{a} {item}"), (None, b), (None, None), (5, f"{item} {c}"), (5, c), (6, a)]
+    docs = spark.createDataFrame([(i, t, "en", str(k), k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = P.decontamination_stage(spark, docs.repartition(3), scratch)
+    assert got.schema == docs.schema
+    assert sorted(r["n_chars"] for r in got.collect()) == [2, 3, 5, 6]
