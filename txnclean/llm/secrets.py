@@ -4,7 +4,7 @@ Base patterns give spans by kind. The Markov models are tables of character-pair
 random strings and of ordinary identifiers, both from labelled samples: values that the base
 patterns found (and digests of document ids) are random, the other words of the same sample are
 ordinary. A run of key characters is added as a span of kind ``markov`` if the log-likelihood
-ratio of its character pairs reaches MIN_RATIO and it overlaps no base span.
+ratio of its character pairs reaches MIN_RATIO, unless base spans cover all of it.
 """
 
 from __future__ import annotations
@@ -129,7 +129,9 @@ def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFra
     df = docs.withColumn("_a", base_spans(text)[0]).withColumn("_b", base_spans(text)[1]).withColumn("_c", base_spans(text)[2])
     df = df.withColumn("_base", F.array_sort(F.concat("_a", "_b", "_c"))).drop("_a", "_b", "_c")
     df = df.withColumn("_m", _spans(text, RUN, RUN, 3, lambda x: log_ratio(x["hit"], model) >= MIN_RATIO))
-    free = F.filter("_m", lambda m: ~F.exists("_base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    # _base is in order of start: how far its spans cover m without a gap
+    reach = lambda m: F.aggregate("_base", m["start"], lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at))
+    free = F.filter("_m", lambda m: reach(m) < m["end"])
     return df.withColumn("_spans", F.array_sort(F.concat("_base", free))).drop("_m")
 
 
