@@ -96,3 +96,51 @@ def test_classes(spark):
     # a walk may stay out of step for long after an edit; different texts must never meet
     assert set(got) == set(want) and sum(got[i] != want[i] for i in got) <= 0.1 * len(want)
     assert all(got[i] // 10 == i // 10 for i in got if i < 900) and (got[900], got[901], got[902]) == (900, 900, 902)
+
+
+def chain(rnd, n, links):
+    """Texts of which each replaces a like share of the one before, at the end of what is left."""
+    t, out = text(rnd, n), []
+    for k in range(links):
+        out.append(t)
+        at, size = n - (k + 1) * n // 7, n // 7
+        t = t[:at] + text(rnd, size) + t[at + size:]
+    return out
+
+
+def test_chains_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 3)
+    rnd = random.Random(9)
+    texts = [t for _ in range(12) for t in chain(rnd, 900, 6)]
+    rnd.shuffle(texts)
+    prints = E.fingerprints(texts)
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if E.likeness(prints[i], prints[j]) >= 0.8:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i: root(i) for i in range(len(texts))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in E.edit_classes(df).collect()} == want
+    assert 12 <= len(set(want.values())) < 40
+
+
+def test_alike_members_that_share_no_leader():
+    """d joins leader x; e is alike to d and not to x: the three are one class, though e comes last."""
+    rnd = random.Random(10)
+    for _ in range(200):
+        texts = chain(rnd, 900, 3)
+        x, d, e = E.fingerprints(texts)
+        if E.likeness(x, d) >= 0.8 and E.likeness(d, e) >= 0.8 and E.likeness(x, e) < 0.8:
+            break
+    else:
+        raise AssertionError("no such chain")
+    rows = E.pa.RecordBatch.from_pydict({"band": [5] * 3, "x": [0] * 3, "y": [0] * 3, "mine": [0] * 3, "doc_id": [0, 1, 2], "fingerprint": [x, d, e]})
+    out = [(r["a"], r["b"]) for b in E._verify(0.8)([rows]) for r in b.to_pylist()]
+    assert sorted(out) == [(0, 1), (1, 2)]

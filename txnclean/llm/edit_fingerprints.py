@@ -33,6 +33,8 @@ KINDS, PERIOD = 64, 4096
 #: A step of a walk past so many times the text's length is not used (walks take about twice it).
 STEPS = 2
 BANDS, BAND = 24, 4
+#: Texts of a band that are compared with each other, or with as many of another block, by one task.
+BLOCK = 256
 
 _bits = mix(np.arange(KINDS * PERIOD, dtype=np.uint64), 71) & np.uint64(1)
 
@@ -266,20 +268,38 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "fingerprint", "band"])
 
 
-def _to_leaders(least: float):
-    """Rows in order of band: each is compared with the band's leaders, and leads itself if none is alike."""
+def _verify(least: float):
+    """Rows (band, x, y, mine, doc_id, fingerprint) in order of (band, x, y): links that span the alike pairs of two blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, leaders = None, []
-        for b in batches:
+        held: list[tuple] = []          # a pair of blocks
+        at = None
+
+        def close():
+            root = list(range(len(held)))
+
+            def find(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
             out = []
-            for d, f, k in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if k != band:
-                    band, leaders = k, []
-                near = [x for x, g in leaders if likeness(f, g) >= least]
-                out += [(x, d) for x in near]
-                if not near:
-                    leaders.append((d, f))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+            for i, (m, d, f) in enumerate(held):
+                for j in range(i):
+                    n, e, g = held[j]
+                    if (at[1] == at[2] or m != n) and find(i) != find(j) and likeness(f, g) >= least:
+                        root[find(i)] = find(j)
+                        out.append((e, d))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if r[:3] != at:
+                    yield from close()
+                    held, at = [], r[:3]
+                held.append(r[3:])
+        yield from close()
     return run
 
 
@@ -287,8 +307,8 @@ def edit_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     """(doc_id, class_id) for every row with an id: banding by bit samples, verified by whole fingerprints.
 
     Texts whose fingerprints have a likeness of ``least`` or more and share a band (BAND equal places,
-    BANDS times) are linked through the leaders of their bands; linked texts make a class, named by its
-    smallest id. Equal fingerprints are one text. Rows without an id are left out.
+    BANDS times) are linked; linked texts make a class, named by its smallest id. All pairs of a band are
+    compared, those of a band over BLOCK texts in pairs of blocks, each a task's unit. Equal fingerprints are one text. Rows without an id are left out.
     """
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,8 +319,13 @@ def edit_classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
     mine = written(src.mapInArrow(prints, "doc_id long, fingerprint string"), "fingerprints")
     first = mine.groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     cut = first.select(F.col("node").alias("doc_id"), "fingerprint").mapInArrow(_bands, "doc_id long, fingerprint string, band long")
-    dealt = cut.repartition(partitions(docs.sparkSession), "band").sortWithinPartitions("band", "doc_id")
-    found = connected_components(dealt.mapInArrow(_to_leaders(least), "a long, b long"))
+    cut = written(cut, "bands")
+    blocks = cut.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    cut = cut.join(blocks, "band").withColumn("mine", F.pmod(F.xxhash64("doc_id", "fingerprint"), F.col("blocks")).cast("int"))
+    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("mine", "o").alias("x"), F.greatest("mine", "o").alias("y"), "mine", "doc_id", "fingerprint")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y", "doc_id", "fingerprint")
+    found = connected_components(dealt.mapInArrow(_verify(least), "a long, b long"))
     named = first.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("class_id"))
     return mine.join(named, "fingerprint").select("doc_id", "class_id")
 
