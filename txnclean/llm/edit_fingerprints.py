@@ -14,6 +14,7 @@ by the likeness of their whole fingerprints.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -30,7 +31,7 @@ from txnclean.llm.words import mix
 PLACES = 256
 #: Kinds of characters for the random bits, and steps after which the bits come round again.
 KINDS, PERIOD = 64, 4096
-#: A step of a walk past so many times the text's length is not used (walks take about twice it).
+#: Steps of a walk to a character, on average.
 STEPS = 2
 BANDS, BAND = 24, 4
 #: Texts of a band that are compared with each other, or with as many of another block, by one task.
@@ -70,6 +71,11 @@ def sampled_places(steps: int) -> np.ndarray:
     return got
 
 
+def reach(n: int) -> int:
+    """Steps that places are drawn from: a walk of n characters takes 2n, spread about sqrt(2n), and passes this with negligible chance."""
+    return STEPS * n + 6 * (math.isqrt(STEPS * n) + 1) if n else 0
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -114,7 +120,7 @@ def fingerprints(texts: list[str]) -> list[str]:
     out = []
     for c, at in zip(codes, _walk(codes)):
         n = len(c)
-        j = sampled_places(STEPS * n)
+        j = sampled_places(reach(n))
         i = np.searchsorted(at, j, "right") - 1
         on = i < n
         value = np.zeros(len(j), np.uint8)
@@ -135,11 +141,11 @@ def likeness(a: str, b: str) -> float:
         a, b, n, m = b, a, m, n
     if not m:
         return 0.0
-    places = sampled_places(STEPS * n)
+    places = sampled_places(reach(n))
     x = np.frombuffer(a[8:].encode(), np.uint8)
-    both = places < STEPS * m
+    both = places < reach(m)
     # the shorter's places hold all of the longer's that lie within it, in the same order
-    own = sampled_places(STEPS * m)
+    own = sampled_places(reach(m))
     where = np.argsort(own, kind="stable")
     y = np.frombuffer(b[8:].encode(), np.uint8)
     at = where[np.searchsorted(own[where], places[both])]
@@ -258,7 +264,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            place = sampled_places(STEPS * int(f[:8], 16))
+            place = sampled_places(reach(int(f[:8], 16)))
             h = mix(place.astype(np.uint64), 79)
             for k in range(BANDS):
                 pick = [int(np.argmin(h ^ g)) for g in grid[k]] if len(place) >= BAND else []
