@@ -213,3 +213,17 @@ def test_blocks_of_a_large_bucket_span_its_pairs(spark):
     sig = np.frombuffer(b"".join(r["sig"].to_pylist()), "<u2").reshape(-1, jaccard_join.PLACES)
     want = linked(list(zip(*(x.tolist() for x in jaccard_join._compare(np.asarray(r["node"]), np.asarray(r["n"]), sig)))), len(docs))
     assert [[a == b for b in got] for a in got] == [[a == b for b in want] for a in want]
+
+
+def test_every_likely_pair_of_a_large_bucket_is_linked_or_goes_on():
+    docs = docs_of(13, n=40, group=20)[:-9] + nested(13, 10) + like_group(13, 30)
+    random.Random(13).shuffle(docs)
+    rows = bucket(docs)
+    out = [r for b in jaccard_join._split(True, 16)(iter([rows.slice(k, 9) for k in range(0, len(docs), 9)])) for r in b.to_pylist()]
+    at = linked([(r["node"], r["other"]) for r in out if r["kind"] == 0], len(docs))
+    on = {r["node"] for r in out if r["kind"] == 1}
+    sig, n = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(-1, jaccard_join.PLACES), np.asarray(rows["n"])
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i)
+             if (sig[i] == sig[j]).mean() >= jaccard_join.LIKELY and jaccard_join._sizes_fit(n[[i]], n[[j]])[0]]
+    assert len(pairs) > 100 and all(at[i] == at[j] or {i, j} <= on for i, j in pairs)
+    assert sum(r["kind"] == 0 for r in out) < len(docs) + jaccard_join.PIVOTS

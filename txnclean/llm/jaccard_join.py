@@ -172,13 +172,21 @@ def _split(last: bool, most: int):
             near = alike >= NEAR * PLACES - 1e-9
             near[pn[None, :] == node[:, None]] = False
             a, b = [], []
-            for g in np.unique(group):          # pivots of a group are linked already: one edge to it will do
-                mine = np.flatnonzero(group == g)
-                some = np.flatnonzero(near[:, mine].any(1))
-                a.append(pn[mine[near[some][:, mine].argmax(1)]])
-                b.append(node[some])
+            while True:                         # a node of several groups joins them: they are one from here on
+                first = np.where(near, group[None, :], len(group)).min(1)
+                more = np.flatnonzero((near & (group[None, :] != first[:, None])).any(1))
+                if not len(more):
+                    break
+                mine = near[more[0]]
+                own = np.unique(group[mine])
+                a += [pn[np.flatnonzero(mine & (group == g))[0]] for g in own]
+                b += [node[more[0]]] * len(own)
+                group[np.isin(group, own)] = own[0]
+            some = np.flatnonzero(near.any(1))  # pivots of a group are linked already: one edge to it will do
+            a = np.concatenate([np.array(a, np.int64), pn[near[some].argmax(1)]])
+            b = np.concatenate([np.array(b, np.int64), node[some]])
             go = (alike < ALIKE * PLACES).all(1) | np.isin(node, pn)
-            return np.concatenate(a), np.concatenate(b), go
+            return a, b, go
 
         def pass_on(key, node, n, sig):
             nonlocal gone
