@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from txnclean.llm.byte_bpe import op13_byte_bpe
 from txnclean.llm.decontamination import op3_decontamination
 from txnclean.llm.edit_fingerprints import op2_edit_fingerprints
 from txnclean.llm.html_extraction import op1_html_extraction
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\x00-\x7f])+')"
