@@ -14,9 +14,11 @@ from txnclean.llm.jaccard_join import op5_jaccard_join
 from txnclean.llm.packing import op6_best_fit_packing
 from txnclean.llm.secrets import op10_secret_scans
 from txnclean.llm.substring_dedup import op8_substring_dedup
+from txnclean.llm.token_alignment import op12_token_alignment
 from txnclean.llm.token_counts import op9_token_counts
 from txnclean.llm.toxicity import op7_toxicity
 from txnclean.llm.warc import op4_warc
+from txnclean.llm.whitening import op11_embedding_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
@@ -29,6 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_secret_scans": op10_secret_scans,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_token_alignment": op12_token_alignment,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
