@@ -34,8 +34,8 @@ from txnclean.llm.words import buffers, slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: States of the transducer, and answers about neighbours, that a worker holds at most.
-STATES = 200_000
-NEIGHBOURS = 1_000_000
+STATES = 100_000
+NEIGHBOURS = 300_000
 #: Texts are encoded in slices of so many bytes (a longer text stands alone).
 SLICE_BYTES = 2 << 20
 
@@ -349,8 +349,9 @@ def _once(kind: type, *key):
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None,
-                     pat: str | None = None) -> DataFrame:
+                     pat: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id, ids (array of int) for every row, as merging each match of the pattern by rank gives them.
+    ``decoded`` adds what the ids give back (binary), by the same worker.
 
     No special tokens. Null and empty texts have no ids; a null id stays null; repeated rows give
     repeated results; other columns are ignored; an empty table gives no rows. Matches of any length
@@ -364,12 +365,21 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             off, _ = buffers(b.column(1))
             for lo, hi in slices(off, SLICE_BYTES):
                 ids, first = encoder.batch(b.column(1).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))],
-                    names=["doc_id", "ids"])
+                cols = [b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))]
+                if decoded:
+                    cols.append(_decoded(_once(Vocabulary, path), ids, first))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][:len(cols)])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>")
+    return src.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+
+
+def _decoded(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """What rows of ids give, each a stream of its own."""
+    stream, out = StreamDecoder(vocabulary), []
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        out.append(stream.feed(ids[a:z]) + stream.finish())
+    return pa.array(out, pa.binary())
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -379,22 +389,17 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _once(Vocabulary, path)
         for b in batches:
-            col = b.column(1)
-            first, ids = np.asarray(col.offsets).astype(np.int64), np.asarray(col.values)
-            missing = np.asarray(col.is_null())
-            for lo in range(0, len(col), 256):            # rows of one result
-                out = []
-                for k in range(lo, min(lo + 256, len(col))):
-                    stream = StreamDecoder(vocabulary)
-                    out.append(b"" if missing[k] else stream.feed(ids[first[k]:first[k + 1]]) + stream.finish())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(out)), col.slice(lo, len(out)), pa.array(out, pa.binary())],
-                                                 names=["doc_id", "ids", "decoded"])
+            for lo in range(0, b.num_rows, 256):            # rows of one result
+                col = b.column(1).slice(lo, 256).fill_null([])
+                first = np.asarray(col.offsets).astype(np.int64)
+                out = _decoded(vocabulary, np.asarray(col.values), first)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), b.column(1).slice(lo, 256), out], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    both = encode_documents(table(spark, sf_dir, "documents"), decoded=True)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
