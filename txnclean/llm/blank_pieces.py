@@ -18,7 +18,7 @@ from txnclean.llm.tokens import _UNSAFE
 
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of pieces and results in the younger half of a worker's memory; when it is full it becomes the older half.
-MEMORY_BYTES = 48 << 20
+MEMORY_BYTES = 80 << 20
 #: About what a remembered piece takes besides its bytes.
 ENTRY_BYTES = 200
 

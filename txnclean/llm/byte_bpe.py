@@ -4,10 +4,12 @@ Encoding. Merges by rank leave a row of tokens in which each two neighbours stan
 merged alone, and a text has just one such row. So the encoding of each prefix of a match is that of a
 shorter prefix and one token more, and a non-deterministic machine reads a match byte by byte: at each
 place it may begin a token, walks its bytes, and accepts it if it stands apart from the token before.
-The transducer is its subset construction, made as states are met: a state is the set of tokens begun
+The transducer is its subset construction, made lazily: a state is the set of tokens begun
 and not yet ended (bytes read, token before, tokens not yet sent out). What all of them have sent in
-common is sent out: the lookahead is bounded by the longest token. States are dropped and made anew
-when there are many (results do not change). Each byte read is one step, whatever the match's length.
+common is sent out: the lookahead is bounded by the longest token. A step is made when it is met for the
+second time; what follows one met for the first time is read by the non-deterministic machine, 64 bytes
+at most, as most ends of words never come again. States are dropped and made anew when there are many
+(results do not change). Each byte read is one step, whatever the match's length.
 
 Decoding. Tokens are bytes; a machine of 11 states reads UTF-8 and holds back the bytes of a character
 that has begun, so that what is fed token by token comes out in whole characters. Its steps over whole
@@ -37,7 +39,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 STATES = 100_000
 NEIGHBOURS = 300_000
 #: Texts are encoded in slices of so many bytes (a longer text stands alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,17 +82,13 @@ def merged(data: bytes, ranks: dict[bytes, int], below: float = math.inf) -> lis
 
 
 class State(dict):
-    """Steps made so far: byte -> (state, tokens sent). ``items``: (place in the trie, token before, tokens not yet sent)
-    of each token begun, the longest first; the last has read nothing yet."""
+    """Steps met so far: byte -> (state, tokens sent), or False if it was met once. ``items``: (place in the trie, token
+    before, tokens not yet sent) of each token begun, the longest first; the last has read nothing yet."""
 
-    __slots__ = ("items", "machine")
+    __slots__ = ("items",)
 
-    def __init__(self, items: tuple, machine: "Transducer"):
-        self.items, self.machine = items, machine
-
-    def __missing__(self, byte: int) -> tuple["State | None", tuple]:
-        hop = self[byte] = self.machine.step(self.items, byte)
-        return hop
+    def __init__(self, items: tuple):
+        self.items = items
 
 
 class Transducer:
@@ -136,7 +134,7 @@ class Transducer:
     def _state(self, items: tuple) -> State:
         got = self.states.get(items)
         if got is None:
-            got = self.states[items] = State(items, self)
+            got = self.states[items] = State(items)
         return got
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, float]]:
@@ -181,22 +179,28 @@ class Transducer:
             got = self.apart[key] = self._neighbours(before, token)
         return got
 
-    def step(self, begun: tuple, byte: int) -> tuple[State | None, tuple]:
+    def _read(self, begun, byte: int) -> list | None:
+        """What is begun after one byte more; None if no row of neighbours explains the ranks."""
         items, last = [], None
+        child, tokens, inner = self.child, self.token, self.inner
         for node, before, sent in begun:
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
             if last is None:
-                token = self.token[node]
+                token = tokens[node]
                 if token is not None and self._stands(before, token):
                     last = (0, token, sent + (token,))
-            if self.inner[node]:
+            if inner[node]:
                 items.append((node, before, sent))
-        if last is None:                               # ranks that no row of neighbours explains
-            return None, ()
+        if last is None:
+            return None
         items.append(last)
-        out = last[2]
+        return items
+
+    def _settled(self, items: list) -> tuple[State, tuple]:
+        """The state of what is begun, and the tokens that all of it has in common."""
+        out = items[-1][2]
         n = len(out)
         for item in items:
             sent = item[2]
@@ -212,18 +216,37 @@ class Transducer:
         if match in self.odd:
             return [self.odd[match]]
         ids: list[int] = []
-        state = self.start
-        for lo in range(0, len(match), 1 << 16):
-            if len(self.states) > STATES:
-                held = state.items
-                self.reset()
-                state = self._state(held)
-            for b in match[lo:lo + (1 << 16)]:
-                state, out = state[b]
-                if out:
+        k, n, state = 0, len(match), self.start
+        while k < n:
+            b = match[k]
+            hop = state.get(b)
+            if not hop:
+                if hop is None:                 # met for the first time: most such rows of bytes never come again
+                    state[b] = False
+                    items = state.items
+                    for b in match[k:k + 64]:
+                        items = self._read(items, b)
+                        if items is None:
+                            return merged(match, self.ranks)
+                    k += 64
+                    if k >= n:
+                        ids += items[-1][2]
+                        return ids
+                    state, out = self._settled(items)
                     ids += out
-                elif state is None:
+                    continue
+                items = self._read(state.items, b)
+                if items is None:
                     return merged(match, self.ranks)
+                if len(self.states) > STATES:
+                    held = state.items
+                    self.reset()
+                    state = self._state(held)
+                hop = state[b] = self._settled(items)
+            state, out = hop
+            if out:
+                ids += out
+            k += 1
         ids += state.items[-1][2]
         return ids
 
@@ -237,8 +260,14 @@ class Encoder:
         self.memory = Memory(self._pieces)
 
     def _pieces(self, parts: list[str]) -> list[bytes]:
-        encode, find = self.transducer.encode, self.pattern.findall
-        return [np.array([i for m in find(p) for i in encode(m.encode())], "<i4").tobytes() for p in parts]
+        found = list(map(self.pattern.findall, parts))
+        encode = self.transducer.encode
+        # in order, each match walks mostly the states of the one before
+        ids = {m: encode(m.encode()) for m in sorted({m for own in found for m in own})}
+        flat = [[i for m in own for i in ids[m]] for own in found]
+        end = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat))) * 4
+        data = np.fromiter((i for own in flat for i in own), "<i4", int(end[-1]) // 4 if len(end) else 0).tobytes()
+        return [data[a:z] for a, z in zip([0, *end[:-1].tolist()], end.tolist())]
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): text k (null: empty) has ids[first[k]:first[k + 1]]."""
