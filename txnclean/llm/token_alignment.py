@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from txnclean.llm.words import buffers, mix, slices
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Texts are cut up in slices of so many bytes (a longer text stands alone) and aligned in chunks of so many.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: A block's texts have about so many bytes.
 BLOCK_BYTES = 8 << 20
 #: An id pair is a * PAIR + b.
@@ -62,18 +63,26 @@ def align_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
         raise ValueError("the two rows of tokens do not end at the same place")
     runs, sizes_a, sizes_b = [], [], []
     i = j = 0
-    while i < len(a):
-        n = run_length(a, b, i, j)
-        i, j = i + n, j + n
-        runs.append(n)
-        if i == len(a):
-            break
+    most = len(a)
+    while i < most:
+        p, q = a[i], b[j]
+        if p == q:
+            n = run_length(a, b, i, j)
+            i, j = i + n, j + n
+            runs.append(n)
+            if i == most:
+                break
+            p, q = a[i], b[j]
+        else:
+            runs.append(0)
         x, y = i, j
-        while a[x] != b[y]:
-            if a[x] < b[y]:
+        while p != q:
+            if p < q:
                 x += 1
+                p = a[x]
             else:
                 y += 1
+                q = b[y]
         sizes_a.append(x + 1 - i)
         sizes_b.append(y + 1 - j)
         i, j = x + 1, y + 1
@@ -153,13 +162,21 @@ class Aligner:
 
     def _pieces(self, parts: list[str]) -> list[tuple[bytes, bytes, bytes]]:
         """For each piece (a blank before it): ids of A, ids of B, and a byte if both give back its bytes."""
-        out = []
-        coded = self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)
-        for p, a, b in zip(parts, coded, self.b.encode(parts, num_threads=1)):
-            want, ids = b" " + p.encode(), a.ids
-            same = (b"".join([self.bytes_a[i] for i in ids]) == want and b"".join([self.bytes_b[i] for i in b]) == want)
-            out.append((np.array(ids, "<i4").tobytes(), np.array(b, "<i4").tobytes(), b"1" * same))
-        return out
+        want = [b" " + p.encode() for p in parts]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        ids_b = self.b.encode(parts, num_threads=1)
+        out, same = [], np.ones(len(parts), bool)
+        size, whole = np.fromiter(map(len, want), np.int64, len(want)), b"".join(want)
+        for ids, tokens, sizes in ((ids_a, self.bytes_a, self.size_a), (ids_b, self.bytes_b, self.size_b)):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), "<i4", int(n.sum()))
+            end = np.cumsum(n)
+            given = np.concatenate([[0], np.cumsum(sizes[flat])])
+            if (given[end] != np.cumsum(size)).any() or b"".join([tokens[i] for i in flat.tolist()]) != whole:
+                same &= np.array([b"".join([tokens[i] for i in own]) == w for own, w in zip(ids, want)])
+            data, cuts = flat.tobytes(), (end * 4).tolist()
+            out.append([data[lo:hi] for lo, hi in zip([0, *cuts[:-1]], cuts)])
+        return list(zip(*out, [b"1" * s for s in same.tolist()]))
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple]:
         """(row of each A token, ids of A, ids of B, sizes of A, sizes of B) of parts of texts that have tokens, in order of rows.
@@ -182,8 +199,11 @@ class Aligner:
                 same = np.array([bool(v[2]) for v in self.memory.get([parts[c] for c in own])])
                 fit[row[lo:hi][~same[back]]] = False
         for lo, hi in spans:
-            own, back = np.unique(codes[lo:hi], return_inverse=True)
-            got = self.memory.get([parts[c] for c in own])
+            if len(spans) == 1:
+                got, back = self.memory.get(parts), codes
+            else:
+                own, back = np.unique(codes[lo:hi], return_inverse=True)
+                got = self.memory.get([parts[c] for c in own])
             here = row[lo:hi]
             if len(spans) == 1:
                 fit[here[~np.array([bool(v[2]) for v in got])[back]]] = False
