@@ -216,3 +216,75 @@ def test_text_alone_tests_few_pairs(spark):
     pairs = [(p["i"], p["j"]) for p in _pairs(r, r, False, False, 0.9, 0.0, 0).select("i", "j").collect()]
     assert len(pairs) == len(set(pairs)) and {(1000 + i, i) for i in range(1000)} <= set(pairs)
     assert len(pairs) < 0.02 * 2000 * 1999 / 2
+
+
+def greedy_amounts(rows, tol, dtol):
+    """The sequential rule for rows (day, amount), fast: kept amounts by day in a sorted list."""
+    import bisect
+    kept, out = {}, []
+    for i, (d, a) in enumerate(rows):
+        hit = False
+        for x in range(d - dtol, d + dtol + 1):
+            line = kept.get(x, [])
+            at = bisect.bisect_left(line, a)
+            hit = hit or any(abs(line[k] - a) <= tol for k in (at - 1, at, at + 1) if 0 <= k < len(line))
+        if not hit:
+            bisect.insort(kept.setdefault(d, []), a)
+            out.append(i)
+    return out
+
+
+def run_amounts(spark, rows, tol, dtol, **opts):
+    from txnclean.operators.ghosts import GHOST, flag_ghosts
+    from txnclean.plans.clean_job import ghost_columns
+    from txnclean.plans.roles import resolve_roles
+
+    df = spark.createDataFrame([(i, str(date.fromordinal(738000 + d)), a) for i, (d, a) in enumerate(rows)], "_ord long, date string, amount double")
+    roles, metrics = resolve_roles(["date", "amount"], None), {}
+    out = flag_ghosts(df, roles, ghost_columns(roles), GhostOptions(True, 0.9, tol, dtol, **opts), metrics=metrics)
+    return sorted(r["_ord"] for r in out.where(~F.col(GHOST)).select("_ord").collect()), metrics
+
+
+def test_long_chain_settles_in_few_rounds(spark):
+    rows = [(1, 10.0 + 0.008 * i) for i in range(2000)]
+    got, metrics = run_amounts(spark, rows, 0.01, 0)
+    assert got == greedy_amounts(rows, 0.01, 0) and metrics["rounds"] <= 3
+
+
+def test_long_chain_of_texts_settles_in_few_rounds(spark):
+    """Explicit edges: each text is like the one before alone."""
+    texts, t = [], list("abcdefghijklmnopqrst" * 3)
+    for k in range(300):
+        t[k % 60] = chr(0x4E00 + k)
+        if k % 4 == 3:
+            texts.append("".join(t))
+    rows = [("2026-04-16", x, 10.0) for x in texts]
+    got, res = run_spark(spark, rows, 0.01, 0, 0.9)
+    assert got == brute_force(rows, 0.01, 0, 0.9) and res.ghost_metrics["rounds"] <= 3
+
+
+def test_one_hot_bucket_needs_no_pairs(spark):
+    rnd = random.Random(3)
+    rows = [(1, round(100 + rnd.random() * 0.05, 7)) for _ in range(100_000)]
+    got, metrics = run_amounts(spark, rows, 0.01, 0)
+    assert got == greedy_amounts(rows, 0.01, 0) and metrics["candidate_edges"] == 0
+
+
+@pytest.mark.parametrize("seed,tol,dtol", [(1, 0.01, 0), (2, 0.0, 1), (3, 0.5, 2), (4, 1e-9, 0)])
+def test_cells_equal_the_greedy_loop(spark, seed, tol, dtol, monkeypatch):
+    import txnclean.operators.ghosts as ghosts
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(4), rnd.choice([-3.0, 0.0, 5.0, 1e6, 1e15]) + rnd.randrange(60) * (tol / 3 or 0.25)) for _ in range(1500)]
+    want = greedy_amounts(rows, tol, dtol)
+    assert run_amounts(spark, rows, tol, dtol)[0] == want
+    monkeypatch.setattr(ghosts, "COMPONENT", 40)          # most components are too large for one task
+    assert run_amounts(spark, rows, tol, dtol)[0] == want
+
+
+def test_missing_values_beside_cells(spark):
+    """Rows without a date or an amount tie cells together, and the class rule decides some of them."""
+    rows = sparse_rows(21, 150) + [("2026-04-11", "x", 5.0 + 0.004 * k) for k in range(60)]
+    keep = unique_rows(rows)
+    expected = sorted(keep[k] for k in brute_force([rows[i] for i in keep], 0.01, 1, 0.9, text=False))
+    got, _ = run_spark(spark, rows, 0.01, 1, 0.9, header=("date", "note", "amount"))
+    assert got == expected

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,26 @@ def ratio_udf(later: pd.Series, earlier: pd.Series) -> pd.Series:
                      dtype="float64")
 
 
+def similar_udf(threshold: float):
+    """Whether ``ratio_udf`` reaches a threshold: the characters that two texts have in common (by the last six
+    bits of their code points, a whole batch at once) are an upper bound, and few pairs need the ratio itself."""
+    @F.pandas_udf(T.BooleanType())
+    def similar(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        both = [np.zeros((len(later), 64), np.int64)] * 2
+        for k, texts in enumerate((later, earlier)):
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            cells = np.repeat(np.arange(len(texts)), size) * 64 + (points & 63)
+            both[k] = np.bincount(cells, minlength=64 * len(texts)).reshape(-1, 64)
+        total = both[0].sum(1) + both[1].sum(1)
+        may = 2.0 * np.minimum(both[0], both[1]).sum(1) >= threshold * total - 1e-9
+        out = np.zeros(len(later), bool)
+        for i in np.flatnonzero(may):
+            out[i] = SequenceMatcher(None, later.iloc[i], earlier.iloc[i]).ratio() >= threshold
+        return pd.Series(out)
+    return similar
+
+
 def text_tokens(text: Column) -> Column:
     """All (character, occurrence) tokens of a text in the global order, as distinct longs.
 

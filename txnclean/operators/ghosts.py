@@ -5,42 +5,55 @@ Row ``i`` matches earlier row ``j`` when (C2) both amounts present -> |a_i - a_j
 (C3) both dates present -> |d_i - d_j| <= date tol days, (C4) a text column exists ->
 ratio(text_i, text_j) >= threshold. A missing value skips its test (C5).
 
-Plan (every step is a Spark join / aggregate, nothing is gathered in one task):
+Plan (every step is a Spark join / aggregate; what one task holds is bounded):
 
 1. Rows get an order-preserving long ``rid`` (range sort + id) and are checkpointed.
 2. *Collapse*: rows with identical (date, amount, text) match each other, so only the
    first of each such group can be kept and the rest are ghosts (the later ones match
    whatever the first matches). A hot group of copies becomes one row here.
-3. *Candidates* among the remaining rows: equi-joins on a day bucket (width tol+1), an
-   amount bucket (width 2*tol) with the neighbouring buckets exploded on one side, and,
-   with a text column, on a shared prefix token. Each key is a necessary condition, so
-   no true pair is lost. Exact residuals, the length bound and the character-multiset
-   bound are part of the join condition, and a pair is emitted only at its smallest
-   shared token, so pairs are never shuffled; the ratio UDF runs on what is left.
+3. *Candidates* among the remaining rows, for the classes of rows that occur:
+   - With a text test: equi-joins on a day bucket (width tol+1) and an amount bucket
+     (width 2*tol), the neighbouring buckets exploded on one side. Blocks of more than
+     ``HOT_BLOCK`` rows, and pairs with neither a date nor an amount test, are met by
+     segments of their texts instead (``functions/segments.py``). Each key is a necessary
+     condition, so no true pair is lost. The ratio UDF runs on what is left.
+   - Without a text test, rows with both a date and an amount need no pairs: they lie in
+     cells narrower than the tolerances, so all rows of a cell match each other, at most one
+     of them is kept, and a row is held against the kept rows of the cells around its own.
+     Pairs with a missing value are edges (one row per value is left after the collapse).
    Pairs with neither a date nor an amount test and no text column match
    unconditionally; they are answered by per-class aggregates instead of pairs.
-4. *Fixpoint*: each round, an undecided row with a kept earlier neighbour is dropped;
-   one whose earlier neighbours are all dropped is kept. The earliest undecided row is
-   always decided, so it terminates, and the result equals the sequential greedy
-   loop. Only undecided rows and the edges between them go on to the next round, each
+4. *Rounds*: an undecided row with a kept earlier neighbour is dropped; one whose earlier
+   neighbours are all dropped (and that comes first in the cells around it) is kept. The
+   earliest undecided row is always decided, so it terminates, and the result equals the
+   sequential greedy loop. Only undecided rows and the edges between them go on, each
    cut from its lineage with a reliable checkpoint in the session's
    ``spark.checkpoint.dir``; decided rows are not touched again.
+5. *Chains*: a round that settles less than a quarter of what was undecided is followed by the
+   connected components of the rest. Those of at most ``COMPONENT`` rows and edges are streamed
+   through the sequential rule itself, one component after the other in a task; larger
+   ones go on in rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import Optional
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import named
-from ..functions.similarity import overlap, prefix_of, ratio_udf, text_tokens
+from ..functions.segments import frequent_segments, in_place, index_rows, probe_rows
+from ..functions.similarity import overlap, prefix_of, similar_udf, text_tokens
 from ..functions.text import trim_unicode
 from ..plans.roles import GhostColumns, ResolvedRoles
 from ..session import cut_lineage
+from .components import components
 
 RID = "__tc_rid"
 GHOST = "__tc_ghost"
@@ -48,6 +61,15 @@ GHOST = "__tc_ghost"
 DA, D_, _A, NN = 3, 1, 2, 0
 # Frames of kept rows that are merged into one when there are this many.
 MERGE_KEPT = 16
+#: Rows of one day and amount bucket above which pairs are met by segments of their texts.
+HOT_BLOCK = 256
+#: Rows and edges of a component that one task settles by the sequential rule.
+COMPONENT = 500_000
+#: A cell's amounts span this share of the tolerance; rows within the tolerance lie at most REACH cells apart
+#: (one more than exact arithmetic needs).
+CELL, REACH = 0.5, 3
+#: Cells are taken together in blocks of so many along the amounts to find components (which may join some that are apart).
+COARSE = 64
 
 
 def _attrs(x: DataFrame, roles: ResolvedRoles, cols: GhostColumns) -> tuple[DataFrame, bool, bool, bool]:
@@ -123,40 +145,164 @@ def _pairs(later: DataFrame, earlier: DataFrame, on_day: bool, on_amt: bool, thr
     return p.select("i", "j", "tx", "tx_j")
 
 
-def _neighbours(reps: DataFrame, has_t: bool, threshold: float, tol: float, dtol: int) -> DataFrame:
-    """Exact match edges (i, j), j < i, among collapsed rows (wildcard-free classes only
-    when there is no text test)."""
+def _bands(on_day: bool, on_amt: bool, tol: float, dtol: int) -> Column:
+    """The exact date and amount tests between a row and another one (``_j``)."""
+    cond = F.lit(True)
+    if on_day:
+        cond = cond & (F.abs(F.col("dn") - F.col("dn_j")) <= dtol)
+    if on_amt:
+        cond = cond & (F.abs(F.col("am") - F.col("am_j")) <= F.lit(tol))
+    return cond
+
+
+def _segment_pairs(later: DataFrame, earlier: DataFrame, keys: list[str], bands: Column,
+                   threshold: float, frequent) -> DataFrame:
+    """(i, j, texts) of pairs that may be similar, equal on ``keys``: the longer text's segments are
+    looked up among the shorter one's substrings, ids alone are joined, and texts are fetched at the end."""
+    slim = [RID, "tx", "dn", "am", *keys]
+    found = []
+    for longer, shorter, later_is_longer in ((later, earlier, True), (earlier, later, False)):
+        x = index_rows(longer.select(*slim), "tx", threshold, frequent)
+        y = probe_rows(shorter.select(*slim), "tx", threshold)
+        y = y.select(*[F.col(c).alias(f"{c}_j") for c in (RID, "dn", "am")],
+                     F.col("len").alias("len_p"), F.col("pos").alias("pos_p"), "gram", *keys)
+        order = (F.col("len") >= F.col("len_p")) if later_is_longer else (F.col("len") > F.col("len_p"))
+        i, j = (RID, f"{RID}_j") if later_is_longer else (f"{RID}_j", RID)
+        met = x.join(y, ["gram", *keys]).where(order & (F.col(j) < F.col(i)) & bands & in_place(threshold))
+        met = met.groupBy(F.col(i).alias("i"), F.col(j).alias("j")).agg(
+            F.collect_set("pos").alias("found"), F.max("least").alias("least"))
+        found.append(met.where(F.size("found") >= F.col("least")).select("i", "j"))
+    ids = found[0].unionByName(found[1])
+    if later is not earlier:          # a pair may stand in both exploded buckets of a side
+        ids = ids.distinct()
+    return (ids.join(later.select(F.col(RID).alias("i"), "tx").distinct(), "i")
+            .join(earlier.select(F.col(RID).alias("j"), F.col("tx").alias("tx_j")).distinct(), "j")
+            .select("i", "j", "tx", "tx_j"))
+
+
+def _text_pairs(later: DataFrame, earlier: DataFrame, on_day: bool, on_amt: bool, threshold: float,
+                tol: float, dtol: int, frequent) -> DataFrame:
+    """(i, j, texts), j earlier: blocked by day and amount where a block is small, by segments elsewhere."""
+    bands = _bands(on_day, on_amt, tol, dtol)
+    if not (on_day or on_amt):
+        return _segment_pairs(later, earlier, [], bands, threshold, frequent())
+    keys = (["db"] if on_day else []) + (["ab"] if on_amt else [])
+    li = _buckets(later, tol, dtol, on_day, on_amt, explode=False)
+    ej = _buckets(earlier, tol, dtol, on_day, on_amt, explode=True)
+    hot = ej.groupBy(*keys).count().where(F.col("count") > HOT_BLOCK).select(*keys)
+    any_hot = bool(hot.take(1))
+    small_i, small_j = (li.join(hot, keys, "left_anti"), ej.join(hot, keys, "left_anti")) if any_hot else (li, ej)
+    row = small_j.select(F.col(RID).alias("j"), *[F.col(c).alias(f"{c}_j") for c in ("dn", "am", "tx")], *keys)
+    la, lb = F.length("tx"), F.length("tx_j")
+    pairs = small_i.join(row, keys).where(
+        (F.col("j") < F.col(RID)) & bands & (F.lit(2.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb) - F.lit(1e-9)))
+    pairs = pairs.select(F.col(RID).alias("i"), "j", "tx", "tx_j")
+    if any_hot:
+        pairs = pairs.unionByName(_segment_pairs(li.join(hot, keys, "left_semi"), ej.join(hot, keys, "left_semi"),
+                                                 keys, bands, threshold, frequent()))
+    return pairs
+
+
+def _neighbours(reps: DataFrame, present: set[int], has_t: bool, threshold: float, tol: float, dtol: int,
+                cells: bool) -> DataFrame:
+    """Exact match edges (i, j), j < i, among collapsed rows of the classes that occur (without the
+    pairs that the class rule or, with ``cells``, the cells of rows with both values answer)."""
     R = reps
     thr = threshold if has_t else None
-    d_star = R.where(F.col("cls").isin(DA, D_))
-    a_star = R.where(F.col("cls").isin(DA, _A))
+    # a ratio of one half or less leaves too few whole segments: blocked by characters there
+    segments = has_t and threshold > 0.5
+    if has_t and not segments:
+        R = (R.withColumn("toks", text_tokens(F.col("tx"))).withColumn("prefix", prefix_of(F.col("toks"), threshold))
+             .persist(StorageLevel.MEMORY_AND_DISK))
+    known: list = []
+
+    def frequent():
+        if not known:
+            known.append(frequent_segments(reps, "tx", threshold))
+        return known[0]
+
     parts = []
-    if dtol >= 0 and tol >= 0:  # both tests
-        parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == DA),
-                            True, True, thr, tol, dtol))
+
+    def add(later: tuple[int, ...], earlier: tuple[int, ...], on_day: bool, on_amt: bool) -> None:
+        if not present & set(later) or not present & set(earlier):
+            return
+        rows = R.where(F.col("tx") != "") if has_t and not (on_day or on_amt) else R
+        a, b = rows.where(F.col("cls").isin(*later)), rows.where(F.col("cls").isin(*earlier))
+        parts.append(_text_pairs(a, b, on_day, on_amt, thr, tol, dtol, frequent) if segments
+                     else _pairs(a, b, on_day, on_amt, thr, tol, dtol))
+
+    if dtol >= 0 and tol >= 0 and not cells:  # both tests
+        add((DA,), (DA,), True, True)
     if dtol >= 0:  # date test only (an amount is missing on one side)
-        parts.append(_pairs(R.where(F.col("cls") == D_), d_star, True, False, thr, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == D_),
-                            True, False, thr, tol, dtol))
+        add((D_,), (DA, D_), True, False)
+        add((DA,), (D_,), True, False)
     if tol >= 0:  # amount test only
-        parts.append(_pairs(R.where(F.col("cls") == _A), a_star, False, True, thr, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == DA), R.where(F.col("cls") == _A),
-                            False, True, thr, tol, dtol))
+        add((_A,), (DA, _A), False, True)
+        add((DA,), (_A,), False, True)
     if has_t:  # neither test: text alone decides; empty texts are left to the class rule
-        R = R.where(F.col("tx") != "")
-        nn, anyc = R.where(F.col("cls") == NN), R
-        parts.append(_pairs(nn, anyc, False, False, thr, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == D_), R.where(F.col("cls").isin(_A, NN)),
-                            False, False, thr, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == _A), R.where(F.col("cls").isin(D_, NN)),
-                            False, False, thr, tol, dtol))
-        parts.append(_pairs(R.where(F.col("cls") == DA), nn, False, False, thr, tol, dtol))
+        add((NN,), (DA, D_, _A, NN), False, False)
+        add((D_,), (_A, NN), False, False)
+        add((_A,), (D_, NN), False, False)
+        add((DA,), (NN,), False, False)
     if not parts:
         return reps.sparkSession.createDataFrame([], "i long, j long")
     cand = reduce(DataFrame.unionByName, parts)
     if not has_t:
         return cand.select("i", "j")
-    return cand.where(ratio_udf(F.col("tx"), F.col("tx_j")) >= F.lit(threshold)).select("i", "j")
+    return cand.where(similar_udf(threshold)(F.col("tx"), F.col("tx_j"))).select("i", "j")
+
+
+# ---------------------------------------------------------------- cells (no text test)
+
+def _with_cells(reps: DataFrame, tol: float, dtol: int) -> DataFrame:
+    """``cd`` and ``ca`` of rows with both values: equal for rows that surely match."""
+    both = F.col("cls") == DA
+    ca = F.col("am") + F.lit(0.0) if tol == 0 else F.floor(F.col("am") / F.lit(CELL * tol)).cast("double")
+    cd = F.col("dn") if dtol == 0 else F.floor(F.col("dn") / F.lit(dtol + 1))
+    return reps.withColumn("cd", F.when(both, cd.cast("long"))).withColumn("ca", F.when(both, ca))
+
+
+def _around(df: DataFrame, tol: float, dtol: int, reach: int = REACH) -> DataFrame:
+    """Each row once for every cell that may hold rows within its tolerances."""
+    days = [-1, 0, 1] if dtol > 0 else [0]
+    amounts = [float(k) for k in range(-reach, reach + 1)] if tol > 0 else [0.0]
+    at = F.explode(F.array(*[F.struct((F.col("cd") + d).alias("cd"), (F.col("ca") + a).alias("ca")) for d in days for a in amounts]))
+    return df.withColumn("at", at).withColumn("cd", F.col("at.cd")).withColumn("ca", F.col("at.ca")).drop("at")
+
+
+def _cell_mins(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("cd").isNotNull()).groupBy("cd", "ca").agg(F.min(RID).alias("m"))
+
+
+def _sweep(tol: float, dtol: int):
+    """The sequential rule over rows in order of (component, rid, kind): a row's edges (kind 0) come before the row (kind 1)."""
+    days = (-1, 0, 1) if dtol > 0 else (0,)
+    amounts = [float(k) for k in range(-REACH, REACH + 1)] if tol > 0 else [0.0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, held, hit_row = None, set(), {}, None
+        for b in batches:
+            out = []
+            for comp, rid, kind, j, cd, ca, dn, am in zip(*[b.column(k).to_pylist() for k in range(8)]):
+                if comp != at:
+                    at, kept, held, hit_row = comp, set(), {}, None
+                if kind == 0:
+                    if j in kept:
+                        hit_row = rid
+                    continue
+                if hit_row == rid:
+                    continue
+                if cd is not None and any(
+                        abs(dn - d) <= dtol and abs(am - a) <= tol
+                        for x in days for y in amounts for d, a in held.get((cd + x, ca + y), ())):
+                    continue
+                kept.add(rid)
+                if cd is not None:
+                    held.setdefault((cd, ca), []).append((dn, am))
+                out.append(rid)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=[RID])
+    return run
 
 
 # Without a text test, pairs that have neither a date nor an amount test always match.
@@ -179,34 +325,93 @@ def _class_cond(mins: dict[int, int]) -> Column:
     return F.col("free") & cond
 
 
+def _settle_components(rest: DataFrame, edges: DataFrame, cells: Optional[tuple[float, int]],
+                       blocked: Optional[Column]) -> tuple[DataFrame, DataFrame]:
+    """(kept rids, rows settled) of the small components of undecided rows. Rows that ``blocked`` marks may
+    yet be decided by the class rule: their components wait."""
+    spark = rest.sparkSession
+    links = [edges.select(F.col("i").alias("u"), F.col("j").alias("v"))]
+    if cells:
+        wide = rest if cells[0] == 0 else rest.withColumn("ca", F.floor(F.col("ca") / COARSE).cast("double"))
+        mins = cut_lineage(_cell_mins(wide))       # a block of cells is stood for by its first row
+        links.append(wide.join(mins, ["cd", "ca"]).select(F.col(RID).alias("u"), F.col("m").alias("v")))
+        links.append(_around(mins, *cells, reach=1).join(mins.withColumnRenamed("m", "o"), ["cd", "ca"])
+                     .select(F.col("m").alias("u"), F.col("o").alias("v")))
+    comps = components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", RID)
+    rows = rest.join(comps, RID, "left").withColumn("component", F.coalesce("component", F.col(RID)))
+    mine = edges.join(comps.withColumnRenamed(RID, "i"), "i")
+    sizes = (rows.select("component", (blocked if blocked is not None else F.lit(False)).alias("waits"))
+             .unionByName(mine.select("component", F.lit(False).alias("waits")))
+             .groupBy("component").agg(F.count("*").alias("n"), F.max("waits").alias("waits")))
+    small = cut_lineage(sizes.where((F.col("n") <= COMPONENT) & ~F.col("waits")).select("component"))
+    settled = cut_lineage(rows.join(small, "component", "left_semi"))
+    tol, dtol = cells or (0.0, 0)
+    value = [F.col(c) if cells else F.lit(None).cast(t).alias(c) for c, t in (("cd", "long"), ("ca", "double"), ("dn", "int"), ("am", "double"))]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("cd", "long"), ("ca", "double"), ("dn", "int"), ("am", "double"))]
+    stream = settled.select("component", RID, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("j"), *value).unionByName(
+        mine.join(small, "component", "left_semi").select("component", F.col("i").alias(RID), F.lit(0).alias("kind"), "j", *none))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = (stream.repartition(parts, "component").sortWithinPartitions("component", RID, "kind")
+            .mapInArrow(_sweep(tol, dtol), f"`{RID}` long"))
+    return cut_lineage(kept), settled.select(RID)
+
+
 def greedy_keep_first(reps: DataFrame, edges: DataFrame, free_pairs: bool,
-                      max_rounds: Optional[int] = None, metrics: Optional[dict] = None) -> DataFrame:
-    """Fixpoint over ``edges`` (i, j), j < i: the rids of kept rows.
+                      max_rounds: Optional[int] = None, metrics: Optional[dict] = None,
+                      cells: Optional[tuple[float, int]] = None) -> DataFrame:
+    """Rounds over ``edges`` (i, j), j < i: the rids of kept rows.
 
     ``reps`` has a boolean ``free``: rows whose date/amount-free pairs always match (no text
-    test, or an empty text) and are decided by the class rule, not by edges. One round:
-    (1) a row without an earlier undecided neighbour is kept; (2) a row with a neighbour
+    test, or an empty text) and are decided by the class rule, not by edges. ``cells``
+    (amount and day tolerance): rows with both values match within the tolerances, without edges.
+    One round: (1) a row without an earlier undecided neighbour is kept; (2) a row with a neighbour
     that was kept in (1) is dropped; (3) the rest and the edges among them are the next
     round's whole input. Both decisions are final, and the earliest undecided row is
     always decided. For the usual shape (copies of an earlier original) one round settles
-    everything. ``metrics`` gets the sizes of each round.
+    everything; after one that settles little, small components are settled at once.
+    ``metrics`` gets the sizes of each round.
     """
-    rest = cut_lineage(reps.select(RID, "cls", "free"))
+    columns = [RID, "cls", "free"]
+    if cells:
+        reps = _with_cells(reps, *cells)
+        columns += ["cd", "ca", "dn", "am"]
+    rest = cut_lineage(reps.select(*columns))
     edges = cut_lineage(edges)
     sizes: list[tuple[int, int]] = []
     kept: list[DataFrame] = []
     kept_min: dict[int, int] = {}
+    chains, wait = False, 0
     while (left := rest.count()) or not kept:
+        # a round that settled less than a quarter: chains; then again only after some rounds
+        chains = wait <= 0 and bool(sizes) and 4 * (sizes[-1][0] - left) < sizes[-1][0]
+        wait -= 1
         sizes.append((left, edges.count()))
         if max_rounds is not None and len(sizes) > max_rounds:
             raise RuntimeError(f"ghost removal did not settle in {max_rounds} rounds")
-        keep = rest.join(edges.select(F.col("i").alias(RID)), RID, "left_anti")
-        if free_pairs:
-            keep = keep.where(~_class_cond(_class_mins(rest, kept_min)))
+        if chains:
+            wait = 8
+            mins = _class_mins(rest, kept_min) if free_pairs else {}
+            keep, done = _settle_components(rest, edges, cells, _class_cond(mins) if free_pairs else None)
+            keep = rest.join(keep, RID, "left_semi")
+        else:
+            keep = rest.join(edges.select(F.col("i").alias(RID)), RID, "left_anti")
+            if cells:       # first in all cells around its own
+                near = _around(_cell_mins(rest), *cells).groupBy("cd", "ca").agg(F.min("m").alias("first"))
+                keep = keep.join(near, ["cd", "ca"], "left").where(
+                    F.col("cd").isNull() | (F.col(RID) == F.col("first"))).select(*columns)
+            if free_pairs:
+                keep = keep.where(~_class_cond(_class_mins(rest, kept_min)))
+            done = None
         keep = cut_lineage(keep)
         kept.append(keep.select(RID))
-        hit = edges.join(keep.select(F.col(RID).alias("j")), "j", "left_semi").select(F.col("i").alias(RID))
-        rest = rest.join(keep.select(RID).unionByName(hit), RID, "left_anti")
+        gone = [keep.select(RID) if done is None else done,
+                edges.join(keep.select(F.col(RID).alias("j")), "j", "left_semi").select(F.col("i").alias(RID))]
+        if cells:
+            by = _around(keep.where(F.col("cd").isNotNull()).select(
+                F.col(RID).alias("j"), "cd", "ca", F.col("dn").alias("dn_j"), F.col("am").alias("am_j")), *cells)
+            tol, dtol = cells
+            gone.append(rest.join(by, ["cd", "ca"]).where((F.col("j") < F.col(RID)) & _bands(True, True, tol, dtol)).select(RID))
+        rest = rest.join(reduce(DataFrame.unionByName, gone), RID, "left_anti")
         if free_pairs:
             kept_min = _class_mins(keep, kept_min)
             rest = rest.where(~_class_cond(kept_min))
@@ -250,17 +455,18 @@ def flag_ghosts(firsts: DataFrame, roles: ResolvedRoles, cols: GhostColumns, opt
     # rows decided by the class rule for their date/amount-free pairs (ratio('', '') = 1)
     reps = reps.withColumn("free", F.lit(True) if not has_t else F.col("tx") == "")
     reps = reps.persist(StorageLevel.MEMORY_AND_DISK)   # lineage back to the checkpointed x
+    counts = {(r["cls"], r["free"]): r["count"] for r in reps.groupBy("cls", "free").count().collect()}
+    present, free = {c for c, _ in counts}, {c for c, f in counts if f}
     # 3. candidates
-    if has_t:
-        reps = (reps.withColumn("toks", text_tokens(F.col("tx")))
-                .withColumn("prefix", prefix_of(F.col("toks"), thr)).persist(StorageLevel.MEMORY_AND_DISK))
-    edges = _neighbours(reps, has_t, thr, tol, dtol)
-    # 4. fixpoint
+    cells = (tol, dtol) if not has_t and DA in present and tol >= 0 and dtol >= 0 else None
+    edges = _neighbours(reps, present, has_t, thr, tol, dtol, cells is not None)
+    # 4. rounds
     if metrics is not None:
         metrics["rows"] = x.count()
-        metrics["collapsed_rows"] = reps.count()
-    free_rows = reps.where(F.col("free")).limit(1).count() > 0   # any row under the class rule?
-    kept = greedy_keep_first(reps, edges, free_pairs=free_rows,
+        metrics["collapsed_rows"] = sum(counts.values())
+    # any two rows that the class rule decides?
+    free_rows = any(free & set(FREE_PARTNERS[c]) for c in free)
+    kept = greedy_keep_first(reps, edges, free_pairs=free_rows, cells=cells,
                              max_rounds=getattr(opts, "max_rounds", None), metrics=metrics)
     reps.unpersist()          # kept rows are checkpointed; the result reads only x and those
     kept = kept.withColumn("__tc_keep", F.lit(True))

@@ -682,6 +682,63 @@ def q_ghosts_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.cleaned.select(*_ids(res.cleaned), "date", "note", "amount")
 
 
+@register("ghosts_long_chain", """
+SELECT o_orderkey, '2026-04-16' AS date, 'n' || o_orderkey AS note, CAST(printf('%.3f', 10 + o_orderkey / 100.0) AS DOUBLE) AS amount
+FROM orders WHERE o_orderkey % 2 = 0""")
+def q_ghosts_long_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chain through all orders, each amount within the tolerance of the one before and the next
+    alone; every second row stays. Settled by the sequential rule inside the component, not in as many rounds."""
+    from .clean_job import GhostOptions
+    k = F.col("o_orderkey")
+    df = with_order(_orders(spark, sf_dir).select(
+        k, F.lit("2026-04-16").alias("date"), F.concat(F.lit("n"), k.cast("string")).alias("note"),
+        F.format_string("%.3f", F.lit(10) + k / F.lit(100.0)).alias("amount")), ["o_orderkey"]).drop("o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True, amount_tol=0.015))
+    return res.cleaned.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"), "date", "note", "amount")
+
+
+@register("ghosts_hot_bucket", """
+WITH m AS (SELECT o_orderkey, 100.0 * (o_orderkey % 5) + (o_orderkey % 997) / 100000.0 + 1 AS amount FROM orders)
+SELECT min(o_orderkey) AS o_orderkey, '2026-04-16' AS date, 'n' || min(o_orderkey) AS note,
+       CAST(printf('%.5f', arg_min(amount, o_orderkey)) AS DOUBLE) AS amount
+FROM m GROUP BY floor(amount / 100)""")
+def q_ghosts_hot_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders on one day in five bands narrower than the tolerance: each band keeps its first
+    row. A pair for each two rows of a band would be a tenth of the square of the table."""
+    from .clean_job import GhostOptions
+    k = F.col("o_orderkey")
+    amount = F.lit(100.0) * (k % 5) + (k % 997) / F.lit(100000.0) + 1
+    df = with_order(_orders(spark, sf_dir).select(
+        k, F.lit("2026-04-16").alias("date"), F.concat(F.lit("n"), k.cast("string")).alias("note"),
+        F.format_string("%.5f", amount).alias("amount")), ["o_orderkey"]).drop("o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True))
+    return res.cleaned.select(F.col(f"{ORD}.o_orderkey").alias("o_orderkey"), "date", "note", "amount")
+
+
+@register("ghosts_text_only", """
+WITH t AS (SELECT 0 AS copy, o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders
+  UNION ALL SELECT 2, o_orderkey, o_orderkey || 'x' FROM orders WHERE o_orderkey % 4 = 0)
+SELECT copy, o_orderkey, 'payment ' || to_base64(unhex(md5(s) || md5(s || 'y'))) AS description FROM t""")
+def q_ghosts_text_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4 without a date or an amount: texts of one template, near copies of them (a letter more, or one
+    letter replaced) and others of the same template that are like none."""
+    from .clean_job import GhostOptions
+    o = _orders(spark, sf_dir)
+    k = F.col("o_orderkey")
+
+    def filled(s: Column) -> Column:
+        return F.concat(F.lit("payment "), F.base64(F.unhex(F.concat(F.md5(s), F.md5(F.concat(s, F.lit("y")))))))
+
+    text = filled(k.cast("string"))
+    parts = [o.select(F.lit(0).alias("copy"), k, text.alias("description")),
+             o.select(F.lit(1).alias("copy"), k, F.when(k % 2 == 0, F.concat(text, F.lit("s")))
+                      .otherwise(F.overlay(text, F.lit("-"), F.lit(20), F.lit(1))).alias("description")),
+             o.where(k % 4 == 0).select(F.lit(2).alias("copy"), k, filled(F.concat(k.cast("string"), F.lit("x"))).alias("description"))]
+    df = with_order(reduce(DataFrame.unionByName, parts), ["copy", "o_orderkey"]).drop("copy", "o_orderkey")
+    res = clean(df, ghosts=GhostOptions(enabled=True, threshold=0.9))
+    return res.cleaned.select(*_ids(res.cleaned), "description")
+
+
 # ---------------------------------------------------------------- load
 
 @register("sql_types", """
