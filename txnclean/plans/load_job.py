@@ -44,10 +44,11 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
          batch_size: int = 1000, postgres_schema: str = "public",
          jdbc_properties: Optional[dict] = None, num_partitions: Optional[int] = None,
          log_dir: Optional[str] = None, source_path: Optional[str] = None,
-         table_path: Optional[str] = None) -> dict:
+         table_path: Optional[str] = None, load_id: Optional[str] = None) -> dict:
     """J2 on a DataFrame of text columns with ``_ord`` (e.g. :func:`read_csv` output or
     ``CleanResult.csv_frame()``). ``db_url_or_path=None`` writes a catalog table
-    (``table_path`` places its files, e.g. in a shared folder)."""
+    (``table_path`` places its files, e.g. in a shared folder). A JDBC load is all or nothing; with a
+    ``load_id`` it is done once, however often it is run."""
     spark = df.sparkSession
     columns = [c for c in df.columns if c != ORD]
     if not columns:
@@ -72,9 +73,10 @@ def load(df: DataFrame, db_url_or_path: Optional[str] = None, *,
                 raise ValueError(f"column {c!r}: {prof['bad_date'][i]} value(s) are not dates")
         out = df.select(*[convert(named(c), types[c]).alias(c) for c in columns]).observe(
             inserted, F.count(F.lit(1)).alias("rows"))
-        write_table(out, target, truncate=truncate, batch_size=batch_size,
-                    num_partitions=num_partitions, table_path=table_path, column_types=types)
-        rows_inserted = inserted.get["rows"]
+        rows_inserted = write_table(out, target, truncate=truncate, batch_size=batch_size, num_partitions=num_partitions,
+                                    table_path=table_path, column_types=types, load_id=load_id)
+        if rows_inserted is None:
+            rows_inserted = inserted.get["rows"]
     finally:
         if own:
             df.unpersist()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import named
+from .csv_ranges import longest_file, read_csv_ranges
 
 ORD = "_ord"
 
@@ -33,17 +36,27 @@ def read_header(spark: SparkSession, path: str, multi_line: bool = True) -> list
     return names
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def _split_bytes(spark: SparkSession) -> int:
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")))
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True, ranges: Optional[bool] = None) -> DataFrame:
     """A1 + A3: all cells as nullable strings, header names stripped, plus ``_ord``.
 
     ``_ord`` = (file path, split start, position in the split) is taken straight
     after the scan, before any shuffle, so "first row wins" means file order however
     the data is later partitioned. It is deterministic, so a re-run task after an
     executor loss produces the same values.
-    ``multi_line=True`` allows quoted newlines (one split per file);
-    ``multi_line=False`` lets Spark split huge files that have none.
+    ``multi_line=True`` allows quoted newlines. A file larger than a split is then read in byte
+    ranges by all cores (``csv_ranges.py``; the same rows and ``_ord``), a smaller one as one split;
+    ``ranges`` forces either. ``multi_line=False`` lets Spark split huge files that have no quoted newlines.
     """
     header = read_header(spark, path, multi_line)
+    if multi_line and ranges is None:
+        ranges = longest_file(spark, path) > _split_bytes(spark)
+    if multi_line and ranges:
+        return read_csv_ranges(spark, path, header, CSV_OPTIONS, ORD)
     df = (spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower())
           .csv(path))
     if len(df.columns) != len(header):
