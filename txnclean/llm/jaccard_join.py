@@ -12,7 +12,9 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
    spanning forest. In a large bucket, nodes that all but equal one of a few pivots (ALIKE of the
    sampled tokens) are linked to it and go no further. So that no pair of theirs is lost, all nodes
    are linked to each pivot they share NEAR = LIKELY + ALIKE - 1 with, whatever their sizes: two nodes
-   that share LIKELY, one of them ALIKE with a pivot, both share as much with that pivot. A pair of similarity 0.8 survives a
+   that share LIKELY, one of them ALIKE with a pivot, both share as much with that pivot. Nodes linked to one
+   group of pivots are in one component already, so a path whose nodes are all of one group ends: the
+   rows of a large group of near copies go no deeper. A pair of similarity 0.8 survives a
    run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4 and 0.35 at depth 8. RUNS runs are
    made first; then, as long as the deepest level that had rows leaves the recall of such a pair
    below the target, as many more as it takes (10 runs for 0.999 at depth 3, 13 at 4, 29 at 8).
@@ -157,7 +159,8 @@ def _bucket_rows(kind: int, key, node, other=None, n=None, sig=None) -> pa.Recor
 def _split(last: bool, most: int):
     """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of large ones.
 
-    At the last level the next rows keep their key, and ``other`` is the number of their block.
+    ``other`` of a next row names the group of pivots it is linked to (itself if none). At the last level the
+    next rows keep their key, and ``other`` is the number of their block.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []          # the open bucket's rows, BUCKET and a batch at most
@@ -166,7 +169,7 @@ def _split(last: bool, most: int):
         gone = 0                        # rows of the open bucket that went on
 
         def settle(node, sig):
-            """Edges to the pivots, and which rows go on."""
+            """Edges to the pivots, which rows go on, and a name for what each row is linked to by now."""
             pn, ps, group = pivots
             alike = np.stack([(sig == s).sum(1) for s in ps], 1)
             near = alike >= NEAR * PLACES - 1e-9
@@ -186,11 +189,16 @@ def _split(last: bool, most: int):
             a = np.concatenate([np.array(a, np.int64), pn[near[some].argmax(1)]])
             b = np.concatenate([np.array(b, np.int64), node[some]])
             go = (alike < ALIKE * PLACES).all(1) | np.isin(node, pn)
-            return a, b, go
+            name = node.copy()
+            name[some] = pn[group[near[some].argmax(1)]]
+            self_ = pn[None, :] == node[:, None]
+            own = np.flatnonzero(self_.any(1))
+            name[own] = pn[group[self_[own].argmax(1)]]
+            return a, b, go, name
 
         def pass_on(key, node, n, sig):
             nonlocal gone
-            a, b, go = settle(node, sig)
+            a, b, go, name = settle(node, sig)
             if len(a):
                 yield _bucket_rows(0, None, a, b)
             if not go.any():
@@ -200,7 +208,7 @@ def _split(last: bool, most: int):
                 yield _bucket_rows(1, np.full(len(block), key, np.int64), node[go], block, n[go], sig[go])
             else:
                 for child in _children(key, sig[go]):
-                    yield _bucket_rows(1, child, node[go], None, n[go], sig[go])
+                    yield _bucket_rows(1, child, node[go], name[go], n[go], sig[go])
             gone += int(go.sum())
 
         def close():
@@ -349,7 +357,10 @@ def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[Dat
         got = written(dealt.mapInArrow(_split(level == depth, BUCKET), "kind int, key long, node long, other long, n int, sig binary"), f"paths{level}")
         found = got.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
         edges = found if edges is None else edges.union(found)
-        rows = got.where("kind = 1").select("key", "node", "n", "sig")
+        rows = got.where("kind = 1").select("key", "node", "n", "sig", "other")
+        if level < depth:       # rows that are linked to one group of pivots need not meet again
+            several = rows.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("z")).where("a <> z").select("key")
+            rows = rows.join(several, "key", "left_semi").select("key", "node", "n", "sig")
         if not rows.take(1):
             break
     else:
