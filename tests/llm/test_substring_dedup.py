@@ -53,3 +53,33 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).count() == 0
+
+
+def test_hits_from_buffers():
+    import numpy as np
+    import pyarrow as pa
+    from txnclean.llm.substring_dedup import _hits
+
+    rnd = np.random.default_rng(0)
+    rows = [None] + [[{"range": int(r), "low": rnd.integers(0, 2 ** 31, int(rnd.integers(0, 4)), dtype=np.uint32).astype("<u4").tobytes()}
+                      for r in range(int(rnd.integers(0, 4)))] for _ in range(50)]
+    col = pa.array(rows, pa.list_(pa.struct([("range", pa.int32()), ("low", pa.binary())])))
+    for lo, n in ((0, 51), (1, 10), (7, 20), (50, 1), (3, 0)):
+        want = [(i, x["range"], int(v) << 1) for i, row in enumerate(rows[lo:lo + n]) for x in row or [] for v in np.frombuffer(x["low"], "<u4")]
+        assert list(zip(*(x.tolist() for x in _hits(col.slice(lo, n))))) == want
+
+
+def test_ranges_sorted_in_parts_give_the_same(spark, monkeypatch):
+    from txnclean.llm import substring_dedup as sd
+
+    words = [f"w{k}" for k in range(40)]
+    rows = [(d, " ".join(words[(d * 7 + k * (1 + d % 3)) % 40] for k in range(60))) for d in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, sd.remove_repeats(df).collect()))
+    monkeypatch.setattr(sd, "PART_ENTRIES", 50)
+    import numpy as np
+    keys = np.random.default_rng(1).integers(0, 90, 1000).astype(np.uint64)
+    parts = list(sd._parts(keys))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and len(parts) == 21
+    assert sum(len(set(keys[p].tolist())) for p in parts) == len(set(keys.tolist()))
+    assert whole == sorted(map(tuple, sd.remove_repeats(df).collect())) and any(r[2] for r in whole)

@@ -29,6 +29,8 @@ WINDOW = 13
 BLOCK = 7
 #: Words whose anchors one range of hashes holds on average (sets the number of ranges by the size of the input).
 RANGE_WORDS = 1_500_000
+#: Entries of a range that are sorted at once.
+PART_ENTRIES = 400_000
 
 
 def n_ranges(docs: DataFrame, text_col: str) -> int:
@@ -37,6 +39,17 @@ def n_ranges(docs: DataFrame, text_col: str) -> int:
     return max(8, int(size / 6 / RANGE_WORDS) + 1)
 
 
+def _parts(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of about PART_ENTRIES entries at a time; equal keys stay together."""
+    parts = len(key) // PART_ENTRIES + 1
+    if parts == 1:
+        yield np.arange(len(key))
+        return
+    part = (mix(key.astype(np.uint64), 13) % np.uint64(parts)).astype(np.uint32)
+    for k in range(parts):
+        yield np.flatnonzero(part == k)
+
+
 def _range_of(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
@@ -110,8 +123,10 @@ def _live(t: pa.Table) -> pa.Table:
     doc, _ = _unpack(t)
     low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("low")])
     block = (low & 1).astype(bool)
-    lo, hi = _extent(low >> np.uint32(1), None, doc, block)
-    keep = (lo < doc) | (block & (doc < hi))
+    keep = np.zeros(len(doc), bool)
+    for i in _parts(low >> np.uint32(1)):
+        lo, hi = _extent(low[i] >> np.uint32(1), None, doc[i], block[i])
+        keep[i] = (lo < doc[i]) | (block[i] & (doc[i] < hi))
     order = np.argsort(doc[keep], kind="stable")
     doc, low = doc[keep][order], low[keep][order]
     head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
@@ -143,9 +158,7 @@ def _extend(n: int, m: int):
                 doc = w.doc()
                 # anchors are looked up by document, range of hash and 31 bits
                 key = _key(doc, _range_of(h7, n), h7)
-                want = [_key(np.full(len(x), i), np.full(len(x), r), x.astype(np.uint64) << np.uint64(1))
-                        for i in range(hi - lo) for r, x in _hits(hits[lo + i])]
-                live = ok7 & np.isin(key, np.concatenate(want) if want else np.zeros(0, np.uint64))
+                live = ok7 & np.isin(key, _key(*_hits(hits.slice(lo, hi - lo))))
                 at = np.arange(len(h)) - w.first[:-1][doc]
                 probe = ok & _grow(live, BLOCK - 1)
                 ref = ok & _grow(live & (at % BLOCK == 0), BLOCK - 1)
@@ -166,9 +179,16 @@ def _key(doc: np.ndarray, rng: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix(mix(doc.astype(np.uint64), 3) + mix(rng.astype(np.uint64), 5)) ^ mix(low, 9)
 
 
-def _hits(hits) -> Iterator[tuple[int, np.ndarray]]:
-    for x in hits.as_py() or []:
-        yield x["range"], np.frombuffer(x["low"], "<u4")
+def _hits(hits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, range, hash) of all hits of a slice of documents, from the list column's buffers."""
+    off = np.asarray(hits.offsets).astype(np.int64)
+    each = hits.values.slice(int(off[0]), int(off[-1] - off[0]))
+    packed = each.field("low").cast(pa.large_binary())
+    cuts = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset:packed.offset + len(packed) + 1]
+    low = np.frombuffer(packed.buffers()[2], "<u4", int(cuts[-1] - cuts[0]) // 4, int(cuts[0])) if len(each) and cuts[-1] > cuts[0] else np.zeros(0, "<u4")
+    n = np.diff(cuts) // 4 if len(each) else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(hits)), np.diff(off))
+    return np.repeat(doc, n), np.repeat(np.asarray(each.field("range")), n), low.astype(np.uint64) << np.uint64(1)
 
 
 def _covered(t: pa.Table) -> pa.Table:
@@ -176,8 +196,10 @@ def _covered(t: pa.Table) -> pa.Table:
     doc, _ = _unpack(t)
     h, h2 = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(c)]) for c, kind in (("h", "<u8"), ("h2", "<u2")))
     # both hashes tell windows apart; the first finds them again in the document
-    lo, _ = _extent(h, h2, doc, np.ones(len(doc), bool))
-    keep = lo < doc
+    keep = np.zeros(len(doc), bool)
+    for i in _parts(h):
+        lo, _ = _extent(h[i], h2[i], doc[i], np.ones(len(i), bool))
+        keep[i] = lo < doc[i]
     order = np.argsort(doc[keep], kind="stable")
     doc, h = doc[keep][order], h[keep][order]
     head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
