@@ -71,3 +71,40 @@ def test_counts_equal_the_library(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(df).count() == 0 and count_tokens(df).count() == 0
+
+
+def test_packing_is_near_its_bound_on_any_shape():
+    import math
+
+    import numpy as np
+    from txnclean.llm.packing import feasible, pack, pack_best_fit
+
+    rng = np.random.default_rng(0)
+    shapes = {"uniform": rng.integers(1, 4097, 100_000), "200-3000": rng.integers(200, 3001, 20_000),
+              "normal": np.clip(rng.normal(1200, 500, 50_000), 1, 4096).astype(int),
+              "skewed": np.clip(rng.lognormal(6.2, 1.1, 50_000), 1, 4096).astype(int)}
+    for name, lengths in shapes.items():
+        have = np.bincount(lengths, minlength=4097).astype(np.int64)
+        runs = pack(have)
+        got = np.zeros(4097, np.int64)
+        for n, own in runs:
+            assert n > 0 and sum(own) <= 4096
+            np.add.at(got, list(own), n)
+        assert (got == have).all()
+        total = sum(n for n, _ in runs)
+        assert total <= sum(n for n, _ in pack_best_fit(have, 4096)) and total <= 1.01 * math.ceil(lengths.sum() / 4096), name
+    want = feasible(np.array([[3, 2, 0, 0], [2, 2, 0, 0]]), np.array([4.0, 3.0]), np.array([0, 0, 5, 10]))
+    assert (want @ np.array([1, 2]) <= 5).all() and want[0] <= 10
+
+
+def test_piece_memory_is_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+    from txnclean.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 5000)
+    some = tokens.Pieces(tokens.tokenizer_path("word_bpe_49k.json"), lengths=False)
+    for k in range(30):
+        texts = [f"word{k} other{j} thing" for j in range(20)]
+        got = some.column(pa.array(texts))
+        assert got == [some._encode([t])[0] for t in texts]
+        assert some.held < 5000 + 20 * 3 * 400

@@ -2,8 +2,8 @@
 
 The driver sees only the histogram of piece lengths (at most 4096 numbers). Patterns of one to four
 lengths that fill a sequence are enumerated; how often each is used is fitted to the histogram by
-non-negative least squares, rounded down to what is there, and the pieces left are packed best fit
-by count, longest first. The packing is a table of runs (so many sequences of these lengths), whose
+non-negative least squares, held to what is there and rounded down; what is left is fitted again, and the
+pieces left in the end are packed best fit by count, longest first (all of them, where that takes fewer sequences). The packing is a table of runs (so many sequences of these lengths), whose
 size follows the number of different lengths, not of documents. Each piece then finds its place by
 its rank among the pieces of its length; ranks are counted apart in salted groups.
 """
@@ -24,7 +24,8 @@ CAPACITY = 4096
 END = 1
 #: Most tokens that a pattern leaves empty.
 WASTE = 4
-ROUNDS = 150
+#: Rounds of the fit to the histogram, and to what each fit before it left.
+PASSES = (150, 60, 60, 60)
 
 Runs = list[tuple[int, tuple[int, ...]]]
 
@@ -54,7 +55,7 @@ def enumerate_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.unique(out[(total <= capacity) & (total >= capacity - WASTE)], axis=0)
 
 
-def fit_counts(patterns: np.ndarray, have: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, have: np.ndarray, rounds: int = PASSES[0]) -> np.ndarray:
     """How often to use each pattern: non-negative least squares to the histogram, by accelerated projected gradients."""
     use = patterns > 0
     row, length = np.nonzero(use)[0], patterns[use]
@@ -115,17 +116,30 @@ def pack(have: np.ndarray, capacity: int = CAPACITY) -> Runs:
     if left[capacity]:
         out.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
-    patterns = enumerate_patterns(np.flatnonzero(left), capacity)
-    if len(patterns):
-        want = np.rint(fit_counts(patterns, left.astype(float))).astype(np.int64)
+    for rounds in PASSES:                 # what rounding down leaves is fitted again
+        patterns = enumerate_patterns(np.flatnonzero(left), capacity)
+        want = feasible(patterns, fit_counts(patterns, left.astype(float), rounds), left) if len(patterns) else np.zeros(0, np.int64)
         used = np.flatnonzero(want)
-        for i in used[np.lexsort((-want[used], capacity - patterns[used].sum(1)))]:
+        if not len(used):
+            break
+        for i in used:
             lengths, times = np.unique(patterns[i][patterns[i] > 0], return_counts=True)
-            n = int(min(want[i], (left[lengths] // times).min()))
-            if n > 0:
-                left[lengths] -= n * times
-                out.append((n, tuple(int(x) for x in patterns[i] if x)))
-    return out + pack_best_fit(left, capacity)
+            left[lengths] -= want[i] * times
+            out.append((int(want[i]), tuple(int(x) for x in patterns[i] if x)))
+    out += pack_best_fit(left, capacity)
+    plain = pack_best_fit(have, capacity)          # a histogram that patterns do not suit is packed without them
+    return min(out, plain, key=lambda runs: sum(n for n, _ in runs))
+
+
+def feasible(patterns: np.ndarray, r: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Counts scaled down so that no length is used more often than it is there, and rounded down."""
+    use = patterns > 0
+    row, length = np.nonzero(use)[0], patterns[use]
+    need = np.bincount(length, r[row], len(have))
+    share = np.minimum(1.0, have / np.maximum(need, 1e-12))
+    least = np.ones(len(patterns))
+    np.minimum.at(least, row, share[length])
+    return np.floor(r * least + 1e-9).astype(np.int64)
 
 
 def _places(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

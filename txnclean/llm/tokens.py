@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from txnclean.llm.words import buffers, slices
 _WHITE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _UNSAFE = rf"[{_WHITE}] | [{_WHITE}]|\A | \z"
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces in the younger half of a worker's memory; when full it becomes the older half (results do not change).
-MEMORY_PIECES = 350_000
+#: Bytes of pieces and results in the younger half of a worker's memory; when full it becomes the older half
+#: (results do not change). A remembered piece takes about ENTRY_BYTES besides its own.
+MEMORY_BYTES = 96 << 20
+ENTRY_BYTES = 200
 #: New pieces are encoded in batches of so many characters; texts are cut up in slices of so many bytes.
 BATCH_CHARS = 1 << 18
 SLICE_BYTES = 4 << 20
@@ -50,6 +53,7 @@ class Pieces:
         self.zero = 0 if lengths else b""
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.held = 0
 
     def _encode_ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -58,12 +62,16 @@ class Pieces:
         enc = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         if self.lengths:
             return [len(e.ids) for e in enc]
-        return [np.array(e.ids, "<u4").tobytes() for e in enc]
+        ids = [e.ids for e in enc]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        data = np.fromiter(chain.from_iterable(ids), "<u4", int(n.sum())).tobytes()
+        end = (4 * np.cumsum(n)).tolist()
+        return [data[a:z] for a, z in zip([0, *end[:-1]], end)]
 
     def _values(self, parts: list[str]) -> list:
         """What each of these different pieces (without its blank) gives."""
-        if len(self.young) > MEMORY_PIECES:
-            self.old, self.young = self.young, {}
+        if self.held > MEMORY_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
         found = list(map(young.get, parts))
         if None not in found:
@@ -76,6 +84,7 @@ class Pieces:
                 unknown.append(i)
             else:
                 found[i] = young[parts[i]] = got
+                self.held += ENTRY_BYTES + 2 * len(parts[i]) + (0 if self.lengths else len(got))
         blank = " " if self.keeps_blank else ""
         lo, chars = 0, 0
         for k, i in enumerate(unknown):          # batches balanced by size, not by number
@@ -84,6 +93,7 @@ class Pieces:
                 some = [parts[j] for j in unknown[lo:k + 1]]
                 values = self._encode([blank + p for p in some])
                 young.update(zip(some, values))
+                self.held += ENTRY_BYTES * len(some) + 2 * chars + (0 if self.lengths else sum(map(len, values)))
                 for j, v in zip(unknown[lo:k + 1], values):
                     found[j] = v
                 lo, chars = k + 1, 0
