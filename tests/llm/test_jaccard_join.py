@@ -227,3 +227,14 @@ def test_every_likely_pair_of_a_large_bucket_is_linked_or_goes_on():
              if (sig[i] == sig[j]).mean() >= jaccard_join.LIKELY and jaccard_join._sizes_fit(n[[i]], n[[j]])[0]]
     assert len(pairs) > 100 and all(at[i] == at[j] or {i, j} <= on for i, j in pairs)
     assert sum(r["kind"] == 0 for r in out) < len(docs) + jaccard_join.PIVOTS
+
+
+def test_very_large_buckets_are_dealt_out_anew(spark, monkeypatch):
+    """Buckets beyond what a task splits by itself go on by shuffles: the same classes."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 4)
+    monkeypatch.setattr(jaccard_join, "HOLD", 12)
+    docs = like_group(14, 40) + docs_of(15, n=20, group=10)[:-9]
+    docs = [(k, t) for k, (_, t) in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_classes(df.repartition(4)).collect()]
+    assert sorted(got) == sorted(brute(docs))

@@ -98,3 +98,32 @@ def test_decontamination_is_judged_by_row(spark, scratch):
     got = P.decontamination_stage(spark, docs.repartition(3), scratch)
     assert got.schema == docs.schema
     assert sorted(r["n_chars"] for r in got.collect()) == [2, 3, 5, 6]
+
+
+CLASHING = ["_toxicity", "_row", "_class", "_bare", "_base", "_spans", "_part0", "_part3", "_m", "_a", "class_id", "n_links", "least", "stays", "piece", "odd.name"]
+
+
+def test_clashing_names_change_nothing(spark, scratch):
+    """Further columns of any name are kept, and decide nothing."""
+    from pyspark.sql import functions as F
+
+    tables(spark, scratch)
+    plain = spark.read.parquet(f"{scratch}/documents.parquet")
+    more = plain.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING])
+    for k, (name, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, plain, scratch).write.parquet(f"{scratch}/plain{k}")
+        stage(spark, more, scratch).write.parquet(f"{scratch}/more{k}")
+        plain, more = spark.read.parquet(f"{scratch}/plain{k}"), spark.read.parquet(f"{scratch}/more{k}")
+        # of rows equal in id and text any one may stay
+        assert sorted(str((r["doc_id"], r["text"])) for r in plain.collect()) == sorted(str((r["doc_id"], r["text"])) for r in more.collect()), name
+        assert all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for r in more.collect() for c in CLASHING), name
+    assert P.STAGES[-1][1](spark, more, scratch).count() == P.STAGES[-1][1](spark, plain, scratch).count()
+
+
+def test_empty_table(spark, scratch):
+    tables(spark, scratch)
+    docs = spark.read.parquet(f"{scratch}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        out = stage(spark, docs, scratch)
+        assert out.count() == 0
+        docs = out if out.columns == docs.columns else docs

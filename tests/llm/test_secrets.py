@@ -68,3 +68,30 @@ def test_runs_that_base_spans_cover_in_part(spark):
         assert [(s["start"], s["end"]) for s in r["_spans"] if s["kind"] == 3] == ([(4, 4 + len(run))] if r["doc_id"] < 3 else [])
     clean = secrets.redact(spark.createDataFrame([(i, f"see {r} here") for i, r in enumerate(runs)], "doc_id long, text string"), model).collect()
     assert all(r["text"] == "see [SECRET] here" for r in clean)
+
+
+def test_a_very_long_run_takes_time_in_proportion(spark):
+    """A key run of a million characters: one fold over its characters."""
+    import random
+    import time
+
+    rnd = random.Random(1)
+    run = "".join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(1_000_000))
+    df = spark.createDataFrame([(1, f"start {run} end"), (2, "plain")], "doc_id long, text string")
+    model = secrets.fit_markov(df)
+    t0 = time.time()
+    rows = {r["doc_id"]: r["_spans"] for r in secrets.scan(df, model).select("doc_id", "_spans").collect()}
+    assert time.time() - t0 < 60
+    assert rows[2] == [] and all(6 <= s["start"] and s["end"] <= 1_000_006 for s in rows[1])
+
+
+def test_ratio_equals_a_plain_sum(spark):
+    from pyspark.sql import functions as F
+
+    k = len(secrets.ALPHABET)
+    model = [((i * 37) % 101 - 50) / 10 for i in range(k * k)]
+    tokens = ["a", "ab", "Zq8Xv2Lk9Rt4", "++//__==--", "0123456789abcdef"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in df.select("t", secrets.log_ratio(F.col("t"), model).alias("x")).collect():
+        at = [secrets.ALPHABET.index(c) for c in r["t"]]
+        assert abs(r["x"] - sum(model[a * k + b] for a, b in zip(at, at[1:]))) < 1e-6

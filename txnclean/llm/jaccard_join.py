@@ -7,7 +7,7 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
    with a chance equal to their similarity.
 2. Each run splits all nodes by one place's token; buckets over BUCKET nodes are split
    again by one or two places that the path chooses (1.25 on average: one shared child is expected
-   at similarity 0.8), level by level, as one shuffle a level. Small buckets are compared by brute
+   at similarity 0.8), level by level: where they are up to HOLD nodes, by one shuffle a level above. Small buckets are compared by brute
    force on the sampled tokens; likely pairs (0.55 or more) give edges, of which a bucket keeps a
    spanning forest. In a large bucket, nodes that all but equal one of a few pivots (ALIKE of the
    sampled tokens) are linked to it and go no further. So that no pair of theirs is lost, all nodes
@@ -46,6 +46,8 @@ PLACES = 64
 RUNS = 10
 RECALL = 0.999
 BUCKET = 1024
+#: Rows of a bucket that its task splits on by itself, to the last level; larger buckets are dealt out anew level by level.
+HOLD = 1 << 16
 BLOCK = 1024
 PIVOTS = 16
 LIKELY = 0.55
@@ -156,49 +158,96 @@ def _bucket_rows(kind: int, key, node, other=None, n=None, sig=None) -> pa.Recor
         names=["kind", "key", "node", "other", "n", "sig"])
 
 
-def _split(last: bool, most: int):
-    """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of large ones.
-
-    ``other`` of a next row names the group of pivots it is linked to (itself if none). At the last level the
-    next rows keep their key, and ``other`` is the number of their block.
+def _pivots(node: np.ndarray, sig: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(nodes, signatures, group of each) of a large bucket's pivots, and edges that span their groups."""
+    pick, left = [], np.arange(len(node))
+    while len(pick) < PIVOTS and len(left):
+        pick.append(left[0])
+        left = left[(sig[left] == sig[left[0]]).mean(1) < ALIKE]
+    near = (sig[pick][:, None, :] == sig[pick][None, :, :]).sum(2) >= NEAR * PLACES - 1e-9
+    group = _forest(near)
+    away = np.flatnonzero(group != np.arange(len(pick)))
+    return (node[pick], sig[pick], group), node[pick][group[away]], node[pick][away]
+
+
+def _settle(pivots: tuple, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges to the pivots, which rows go on, and a name for what each row is linked to by now."""
+    pn, ps, group = pivots
+    alike = np.stack([(sig == s).sum(1) for s in ps], 1)
+    near = alike >= NEAR * PLACES - 1e-9
+    near[pn[None, :] == node[:, None]] = False
+    a, b = [], []
+    while True:                         # a node of several groups joins them: they are one from here on
+        first = np.where(near, group[None, :], len(group)).min(1)
+        more = np.flatnonzero((near & (group[None, :] != first[:, None])).any(1))
+        if not len(more):
+            break
+        mine = near[more[0]]
+        own = np.unique(group[mine])
+        a += [pn[np.flatnonzero(mine & (group == g))[0]] for g in own]
+        b += [node[more[0]]] * len(own)
+        group[np.isin(group, own)] = own[0]
+    some = np.flatnonzero(near.any(1))  # pivots of a group are linked already: one edge to it will do
+    a = np.concatenate([np.array(a, np.int64), pn[near[some].argmax(1)]])
+    b = np.concatenate([np.array(b, np.int64), node[some]])
+    go = (alike < ALIKE * PLACES).all(1) | np.isin(node, pn)
+    name = node.copy()
+    name[some] = pn[group[near[some].argmax(1)]]
+    self_ = pn[None, :] == node[:, None]
+    own = np.flatnonzero(self_.any(1))
+    name[own] = pn[group[self_[own].argmax(1)]]
+    return a, b, go, name
+
+
+def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth: int = 1):
+    """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of very large ones.
+
+    A bucket of more than ``most`` and at most ``hold`` rows is split on to the end where it is. Of a larger
+    one, ``other`` of a next row names the group of pivots it is linked to (itself if none). What is left of a large
+    bucket at the last level (kind 3, in a task at the last level itself 1) keeps its key, and ``other`` is the number of
+    its block. A row of kind 2 says in ``other`` how deep a task went.
     """
+    hold = most if hold is None else hold
+
+    def split(at: int, key: int, node, n, sig, deepest: list[int]) -> Iterator[pa.RecordBatch]:
+        deepest[0] = max(deepest[0], at)
+        if len(node) <= most:
+            a, b = _compare(node, n, sig)
+            if len(a):
+                yield _bucket_rows(0, None, a, b)
+            return
+        pivots, a, b = _pivots(node, sig)
+        x, y, go, name = _settle(pivots, node, sig)
+        a, b = np.concatenate([a, x]), np.concatenate([b, y])
+        if len(a):
+            yield _bucket_rows(0, None, a, b)
+        if at == depth:
+            block = np.arange(int(go.sum())) // most
+            yield _bucket_rows(3, np.full(len(block), key, np.int64), node[go], block, n[go], sig[go])
+            return
+        node, n, sig, name = node[go], n[go], sig[go], name[go]
+        for child in _children(key, sig):
+            if not len(child):
+                continue
+            order = np.argsort(child, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], child[order][1:] != child[order][:-1]]))
+            end = np.append(cut[1:], len(order))
+            own = name[order]
+            several = np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)      # rows of one group are linked already
+            for lo, hi in zip(cut[several].tolist(), end[several].tolist()):
+                i = order[lo:hi]
+                yield from split(at + 1, int(child[i[0]]), node[i], n[i], sig[i], deepest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []          # the open bucket's rows, BUCKET and a batch at most
+        held: list[tuple] = []          # the open bucket's rows, hold and a batch at most
         open_key: int | None = None
-        pivots: tuple | None = None     # set once the open bucket is large
+        pivots: tuple | None = None     # set once the open bucket is very large
         gone = 0                        # rows of the open bucket that went on
-
-        def settle(node, sig):
-            """Edges to the pivots, which rows go on, and a name for what each row is linked to by now."""
-            pn, ps, group = pivots
-            alike = np.stack([(sig == s).sum(1) for s in ps], 1)
-            near = alike >= NEAR * PLACES - 1e-9
-            near[pn[None, :] == node[:, None]] = False
-            a, b = [], []
-            while True:                         # a node of several groups joins them: they are one from here on
-                first = np.where(near, group[None, :], len(group)).min(1)
-                more = np.flatnonzero((near & (group[None, :] != first[:, None])).any(1))
-                if not len(more):
-                    break
-                mine = near[more[0]]
-                own = np.unique(group[mine])
-                a += [pn[np.flatnonzero(mine & (group == g))[0]] for g in own]
-                b += [node[more[0]]] * len(own)
-                group[np.isin(group, own)] = own[0]
-            some = np.flatnonzero(near.any(1))  # pivots of a group are linked already: one edge to it will do
-            a = np.concatenate([np.array(a, np.int64), pn[near[some].argmax(1)]])
-            b = np.concatenate([np.array(b, np.int64), node[some]])
-            go = (alike < ALIKE * PLACES).all(1) | np.isin(node, pn)
-            name = node.copy()
-            name[some] = pn[group[near[some].argmax(1)]]
-            self_ = pn[None, :] == node[:, None]
-            own = np.flatnonzero(self_.any(1))
-            name[own] = pn[group[self_[own].argmax(1)]]
-            return a, b, go, name
+        deepest = [level]
 
         def pass_on(key, node, n, sig):
             nonlocal gone
-            a, b, go, name = settle(node, sig)
+            a, b, go, name = _settle(pivots, node, sig)
             if len(a):
                 yield _bucket_rows(0, None, a, b)
             if not go.any():
@@ -213,11 +262,8 @@ def _split(last: bool, most: int):
 
         def close():
             nonlocal held, pivots, gone
-            if pivots is None and len(held) and sum(len(h[0]) for h in held) > 1:
-                node, n, sig = (np.concatenate(x) for x in zip(*held))
-                a, b = _compare(node, n, sig)
-                if len(a):
-                    yield _bucket_rows(0, None, a, b)
+            if pivots is None and sum(len(h[0]) for h in held) > 1:
+                yield from split(level, open_key, *(np.concatenate(x) for x in zip(*held)), deepest)
             held, pivots, gone = [], None, 0
 
         for batch in batches:
@@ -241,21 +287,16 @@ def _split(last: bool, most: int):
                     yield from pass_on(open_key, *part)
                     continue
                 held.append(part)
-                if sum(len(h[0]) for h in held) > most:
+                if sum(len(h[0]) for h in held) > hold:
                     hn, hz, hs = (np.concatenate(x) for x in zip(*held))
-                    pick, left = [], np.arange(len(hn))
-                    while len(pick) < PIVOTS and len(left):
-                        pick.append(left[0])
-                        left = left[(hs[left] == hs[left[0]]).mean(1) < ALIKE]
-                    near = (hs[pick][:, None, :] == hs[pick][None, :, :]).sum(2) >= NEAR * PLACES - 1e-9
-                    group = _forest(near)
-                    pivots = (hn[pick], hs[pick], group)
+                    pivots, x, y = _pivots(hn, hs)
                     held = []
-                    away = np.flatnonzero(group != np.arange(len(pick)))
-                    if len(away):
-                        yield _bucket_rows(0, None, hn[pick][group[away]], hn[pick][away])
+                    if len(x):
+                        yield _bucket_rows(0, None, x, y)
                     yield from pass_on(open_key, hn, hz, hs)
         yield from close()
+        if deepest[0] > level:
+            yield _bucket_rows(2, None, np.zeros(1, np.int64), np.array(deepest, np.int64))
     return run
 
 
@@ -351,22 +392,25 @@ def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[Dat
 
     row = "key long, node long, n int, sig binary"
     rows = nodes.where("n > 0").select("node", "n", "sig").mapInArrow(roots, row)
-    edges = None
+    edges, reached = None, 1
     for level in range(1, depth + 1):
         dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
-        got = written(dealt.mapInArrow(_split(level == depth, BUCKET), "kind int, key long, node long, other long, n int, sig binary"), f"paths{level}")
+        got = written(dealt.mapInArrow(_split(level == depth, BUCKET, max(HOLD, BUCKET), level, depth), "kind int, key long, node long, other long, n int, sig binary"), f"paths{level}")
         found = got.where("kind = 0").select(F.col("node").alias("a"), F.col("other").alias("b"))
         edges = found if edges is None else edges.union(found)
+        reached = max(reached, level, got.where("kind = 2").agg(F.max("other")).first()[0] or 0)
+        left = got.where("kind = 1 or kind = 3" if level == depth else "kind = 3").select("key", F.col("other").alias("block"), "node", "n", "sig")
+        if left.take(1):
+            edges = edges.union(written(_block_edges(left), "blocks"))
+        if level == depth:
+            break
         rows = got.where("kind = 1").select("key", "node", "n", "sig", "other")
-        if level < depth:       # rows that are linked to one group of pivots need not meet again
-            several = rows.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("z")).where("a <> z").select("key")
-            rows = rows.join(several, "key", "left_semi").select("key", "node", "n", "sig")
+        # rows that are linked to one group of pivots need not meet again
+        several = rows.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("z")).where("a <> z").select("key")
+        rows = rows.join(several, "key", "left_semi").select("key", "node", "n", "sig")
         if not rows.take(1):
             break
-    else:
-        left = got.where("kind = 1").select("key", F.col("other").alias("block"), "node", "n", "sig")
-        edges = edges.union(written(_block_edges(left), "blocks"))
-    return edges, level
+    return edges, reached
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:

@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from txnclean.llm.shared import sample_rows, table
+from txnclean.llm.shared import free_name, sample_rows, table
 
 # fixed values: the patterns of the base scan, in the listed order
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -113,26 +113,32 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of random against ordinary of a run of key characters."""
     k = len(ALPHABET)
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    place = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1)
+    # cut up once: a substring for each place would read a run from its start again and again
+    place = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     step = lambda acc, p: F.struct(
         p.alias("last"), (acc["sum"] + F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.element_at(ratios, acc["last"] * k + p + 1))).alias("sum"))
     return F.aggregate(place, start, step, lambda acc: acc["sum"])
 
 
-def scan(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
-    """Adds ``_base`` and ``_spans``: sorted arrays of (start, kind, end), in code points, end exclusive.
+def scan(docs: DataFrame, model: list[float], text_col: str = "text", base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+    """Adds ``_base`` and ``_spans`` (or other names): sorted arrays of (start, kind, end), in code points, end exclusive.
 
-    A null or empty text has none. Ties of start go by kind as listed. Nothing is shuffled.
+    Columns of these two names are replaced; all others stay, whatever their names. A null or empty text
+    has no spans. Ties of start go by kind as listed. Nothing is shuffled. A run of key characters takes time in
+    proportion to its length.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_a", base_spans(text)[0]).withColumn("_b", base_spans(text)[1]).withColumn("_c", base_spans(text)[2])
-    df = df.withColumn("_base", F.array_sort(F.concat("_a", "_b", "_c"))).drop("_a", "_b", "_c")
-    df = df.withColumn("_m", _spans(text, RUN, RUN, 3, lambda x: log_ratio(x["hit"], model) >= MIN_RATIO))
-    # _base is in order of start: how far its spans cover m without a gap
-    reach = lambda m: F.aggregate("_base", m["start"], lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at))
-    free = F.filter("_m", lambda m: reach(m) < m["end"])
-    return df.withColumn("_spans", F.array_sort(F.concat("_base", free))).drop("_m")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    df = docs.drop(base_col, spans_col)
+    parts = []
+    for k, spans in enumerate([*base_spans(text), _spans(text, RUN, RUN, 3, lambda x: log_ratio(x["hit"], model) >= MIN_RATIO)]):
+        parts.append(free_name(df, f"_part{k}"))
+        df = df.withColumn(parts[-1], spans)
+    df = df.withColumn(base_col, F.array_sort(F.concat(*parts[:3])))
+    # base spans are in order of start: how far they cover m without a gap
+    reach = lambda m: F.aggregate(base_col, m["start"], lambda at, s: F.when(s["start"] <= at, F.greatest(at, s["end"])).otherwise(at))
+    free = F.filter(parts[3], lambda m: reach(m) < m["end"])
+    return df.withColumn(spans_col, F.array_sort(F.concat(base_col, free))).drop(*parts)
 
 
 def spans_text(spans: Column) -> Column:
@@ -142,14 +148,15 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: list[float], text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same columns, each span (or run of overlapping spans) of the text replaced; null texts stay null."""
-    df = scan(docs, model, text_col)
-    text = F.col(text_col)
+    base_col, spans_col = free_name(docs, "_base"), free_name(docs, "_spans")
+    df = scan(docs, model, text_col, base_col, spans_col)
+    text = F.col(f"`{text_col}`")
     step = lambda acc, s: F.struct(
         F.greatest(acc["at"], s["end"]).alias("at"),
         F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(text)).drop("_base", "_spans")
+    clean = F.aggregate(spans_col, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, clean).otherwise(text)).drop(base_col, spans_col)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,11 @@ def sample_rows(df: DataFrame, n: int) -> DataFrame:
     keyed = df.withColumn("_key", F.xxhash64(*df.columns))
     keys = keyed.select("_key").orderBy("_key").limit(n).distinct()         # n hashes at most: may be broadcast
     return keyed.join(F.broadcast(keys), "_key").dropDuplicates(["_key"]).drop("_key")
+
+
+def free_name(df: DataFrame, want: str) -> str:
+    """``want``, or with more underscores before it, so that no column of df has the name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while want.lower() in taken:
+        want = "_" + want
+    return want

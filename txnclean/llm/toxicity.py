@@ -187,7 +187,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
     """
     docs = docs.drop(score_col)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    # columns go by place, whatever characters their names hold
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _present(model.features)
@@ -199,7 +201,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col:
             out = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, score_col)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
