@@ -89,3 +89,18 @@ def test_float_text(spark):
     df = spark.createDataFrame([(k,) for k in vals], "v string")
     got = {r.v: r.ok for r in df.select("v", is_float_text(F.col("v")).alias("ok")).collect()}
     assert got == vals
+
+
+def test_halves_are_rounded_by_their_exact_value(spark):
+    import random
+    from pyspark.sql import functions as F
+    from txnclean.functions.keys import round_two, two_places
+
+    rnd = random.Random(2)
+    values = [10.005, 2.675, 1.005, 0.125, 0.375, -2.675, 0.005, -0.005, 1e12 + 0.125, 5e-324, 1e300, -1e300, 0.0, 123456789.125, 9999999999.995]
+    values += [rnd.choice([1, -1]) * (rnd.randrange(10 ** rnd.randrange(1, 13)) * 10 + 5) / 1000 for _ in range(10_000)]
+    values += [rnd.uniform(-1e6, 1e6) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", round_two(F.col("x")).alias("r"), two_places(F.col("x")).alias("t")).collect():
+        assert r["r"] == round(r["x"], 2), r
+        assert abs(r["x"]) > 1e15 or r["t"] == f"{round(r['x'], 2):.2f}", r

@@ -19,12 +19,29 @@ PY_FLOAT_TEXT = (
 )
 
 
+def round_two(x: Column) -> Column:
+    """A double rounded to two places by its exact binary value (half-even only where that is a half).
+
+    ``bround`` goes by the shortest decimal text, which differs only where that text ends in a 5 at the third
+    place: x is the double next to n / 1000. There, 1000 x is taken as the sum of two doubles without
+    error (x is split in halves of 26 bits, and 1000 has 10), and its distance from n tells the side."""
+    p = x * F.lit(1000.0)
+    n = F.rint(p)
+    wide = x * F.lit(134217729.0)                    # 2^27 + 1 splits a double
+    high = wide - (wide - x)
+    error = (high * F.lit(1000.0) - p) + (x - high) * F.lit(1000.0)
+    side = (p - n) + error
+    tie = (F.abs(x) < F.lit(1e13)) & (F.abs(n % F.lit(10.0)) == F.lit(5.0)) & (n / F.lit(1000.0) == x)
+    moved = (n + F.when(side > 0, F.lit(5.0)).otherwise(F.lit(-5.0))) / F.lit(10.0) / F.lit(100.0)
+    return F.when(tie & (side != 0), moved).otherwise(F.bround(x, 2))
+
+
 def two_places(x: Column) -> Column:
-    """``f"{round(x, 2):.2f}"`` for a double: half-even rounding, sign of zero kept.
+    """``f"{round(x, 2):.2f}"`` for a double: rounded by the exact value, sign of zero kept.
 
     The text comes from a ``decimal(38,2)`` cast (no per-row formatter); values too
     large for it fall back to ``format_string``."""
-    r = F.bround(x, 2)
+    r = round_two(x)
     negative = (x < 0) | F.startswith(x.cast("string"), F.lit("-"))
     as_dec = r.try_cast("decimal(38,2)").cast("string")
     return (F.when(x.isNull(), F.lit(None).cast("string"))

@@ -642,6 +642,18 @@ SELECT copy, o_orderkey, date, t AS {'description' if with_text else 'note'}, am
 FROM r i WHERE NOT {exists('roots')}"""
 
 
+@register("amount_halves", """
+SELECT o_orderkey, printf('%.2f', (o_orderkey * 10 + 5) / 1000.0) AS up, printf('%.2f', -(o_orderkey * 10 + 5) / 1000.0) AS down,
+       printf('%.2f', o_totalprice) AS price FROM orders""")
+def q_amount_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2, H4: amounts that end in a 5 at the third place are rounded by their exact binary value."""
+    from ..functions.keys import two_places
+    k = F.col("o_orderkey")
+    half = (k * 10 + 5) / F.lit(1000.0)
+    return _orders(spark, sf_dir).select(k, two_places(half).alias("up"), two_places(-half).alias("down"),
+                                         two_places(F.col("o_totalprice").cast("double")).alias("price"))
+
+
 @register("ghosts_amount_date", _ghost_sql(False))
 def q_ghosts_amount_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amount band, date band, NULL wildcards, greedy keep-first
