@@ -288,3 +288,14 @@ def test_missing_values_beside_cells(spark):
     expected = sorted(keep[k] for k in brute_force([rows[i] for i in keep], 0.01, 1, 0.9, text=False))
     got, _ = run_spark(spark, rows, 0.01, 1, 0.9, header=("date", "note", "amount"))
     assert got == expected
+
+
+@pytest.mark.parametrize("seed,tol,dtol,crowd", [(31, 0.02, 0, 64), (32, 0.015, 1, 64), (33, 0.5, 2, 64), (34, 0.0, 1, 64)])
+def test_small_blocks_equal_the_greedy_loop(spark, seed, tol, dtol, crowd, monkeypatch):
+    from txnclean.operators import bands
+    monkeypatch.setattr(bands, "BLOCK", 12)
+    rnd = random.Random(seed)
+    rows = [(None if rnd.random() < 0.04 else f"2026-04-{rnd.randint(1, 12):02d}", f"n{i}",
+             None if rnd.random() < 0.04 else 10 + rnd.randint(0, 160) / 100) for i in range(400)]
+    got, res = run_spark(spark, rows, tol, dtol, 0.9, header=("date", "note", "amount"))
+    assert got == brute_force(rows, tol, dtol, 0.9, text=False)
