@@ -299,3 +299,15 @@ def test_small_blocks_equal_the_greedy_loop(spark, seed, tol, dtol, crowd, monke
              None if rnd.random() < 0.04 else 10 + rnd.randint(0, 160) / 100) for i in range(400)]
     got, res = run_spark(spark, rows, tol, dtol, 0.9, header=("date", "note", "amount"))
     assert got == brute_force(rows, tol, dtol, 0.9, text=False)
+
+
+def test_chain_through_many_blocks_settles_in_few_rounds(spark, monkeypatch):
+    from txnclean.operators import bands, ghosts
+    monkeypatch.setattr(bands, "BLOCK", 50)
+    monkeypatch.setattr(ghosts, "COMPONENT", 100)
+    n = 2000
+    rows = spark.range(n).select(F.col("id").alias("i"), F.lit("2026-04-16").alias("date"), F.concat(F.lit("n"), F.col("id")).alias("note"),
+                                 F.format_string("%.3f", F.lit(10) + F.col("id") / 100).alias("amount"))
+    res = clean(rows, ColumnMapping(date_columns=["date"], amount_columns=["amount"], output_columns=["date", "note", "amount"]),
+                order_by="i", ghosts=GhostOptions(True, amount_tol=0.015, max_rounds=3))
+    assert sorted(r["_ord"]["i"] for r in res.cleaned.select("_ord").collect()) == list(range(0, n, 2))
