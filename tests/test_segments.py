@@ -90,3 +90,20 @@ def test_hot_blocks_go_by_segments(spark):
     got = _text_pairs(df, df, True, True, 0.9, 0.01, 0, lambda: frequent_segments(df, "tx", 0.9)).select("i", "j").collect()
     got = {(r["i"], r["j"]) for r in got}
     assert {(800 + i, i) for i in range(800)} | {(1601, 1600)} <= got and len(got) < 3 * 800
+
+
+def test_texts_of_chance_ask_with_one_width_and_meet_rarely(spark):
+    """Short texts over a small alphabet share many segments: their characters tell them apart before pairs are counted."""
+    from txnclean.functions.segments import chosen_widths
+    rnd = random.Random(11)
+    texts = ["payment " + "".join(rnd.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGH") for _ in range(44)) for _ in range(3000)]
+    df = frame(spark, texts)
+    frequent = frequent_segments(df, "tx", 0.9)
+    used = chosen_widths(df, "tx", 0.9, frequent)
+    assert used == {52: [4]}
+    x = index_rows(df.select("tx", RID), "tx", 0.9, frequent, used)
+    y = probe_rows(df.select("tx", RID), "tx", 0.9, used)
+    assert y.count() == 49 * len(texts)
+    y = y.select(F.col(RID).alias("j"), F.col("len").alias("len_p"), F.col("pos").alias("pos_p"), F.col("parity").alias("parity_p"), "gram")
+    met = x.join(y, "gram").where(F.col("j") < F.col(RID))
+    assert met.count() > 400 and met.where(in_place(0.9)).count() < 5
