@@ -107,3 +107,33 @@ def test_texts_of_chance_ask_with_one_width_and_meet_rarely(spark):
     y = y.select(F.col(RID).alias("j"), F.col("len").alias("len_p"), F.col("pos").alias("pos_p"), F.col("parity").alias("parity_p"), "gram")
     met = x.join(y, "gram").where(F.col("j") < F.col(RID))
     assert met.count() > 400 and met.where(in_place(0.9)).count() < 5
+
+
+def test_in_order_bounds_the_ratio_of_texts_that_share_their_characters():
+    from txnclean.functions.similarity import _rows_of, in_order
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(z for z in _step(row, x, b))]
+        return row[-1]
+
+    def _step(row, x, b):
+        left = 0
+        for k, y in enumerate(b):
+            left = row[k] + 1 if x == y else max(left, row[k + 1])
+            yield left
+
+    rnd = random.Random(4)
+    pairs = [("".join(rnd.choice("0123456789 p") for _ in range(rnd.randrange(0, 65))),
+              "".join(rnd.choice("0123456789 p") for _ in range(rnd.randrange(0, 65)))) for _ in range(300)]
+    pairs += [("p" * 64, "p" * 64), ("", ""), ("12", "21"), ("payment to vendor 17 ref 123456", "payment to vendor 17 ref 654321")]
+    tables = []
+    for side in zip(*pairs):
+        size = np.array([len(t) for t in side])
+        codes = np.array([ord(c) & 63 for t in side for c in t], np.int64)
+        tables.append(_rows_of(codes, size, np.arange(len(side))))
+    got = in_order(*tables)
+    assert got.tolist() == [longest(*([ord(c) & 63 for c in t] for t in pair)) for pair in pairs]
+    for (a, b), n in zip(pairs, got.tolist()):
+        assert SequenceMatcher(None, a, b).ratio() <= (2 * n / (len(a) + len(b)) if a or b else 1.0) + 1e-12
