@@ -238,3 +238,37 @@ def test_very_large_buckets_are_dealt_out_anew(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = [tuple(r) for r in jaccard_classes(df.repartition(4)).collect()]
     assert sorted(got) == sorted(brute(docs))
+
+
+def test_a_large_group_is_linked_once_not_in_every_run(spark, monkeypatch):
+    """Near copies that all runs meet in: the first run links them, the others only what it left."""
+    monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    rnd = random.Random(16)
+    base, docs = [f"b{k}" for k in range(300)], []
+    for i in range(300):
+        t = list(base)
+        t[rnd.randrange(len(t))] = f"z{i}"
+        docs.append((i, " ".join(t)))
+    rows = bucket(docs)
+    nodes = spark.createDataFrame(rows.to_pylist(), "key long, node long, n int, sig binary").select("node", "n", "sig")
+    edges = jaccard_join._likely_edges(nodes, 8, 0.999).collect()
+    assert len(set(linked([(r["a"], r["b"]) for r in edges], len(docs)))) == 1
+    assert len(edges) < 3 * len(docs)
+
+
+def test_tags_lose_no_links():
+    """Rows of one tag are linked already: with these links the edges span what they span without tags."""
+    docs = docs_of(17, n=40, group=20)[:-9] + like_group(17, 40)
+    random.Random(17).shuffle(docs)
+    rows = bucket(docs)
+    for most in (16, 1024):
+        plain = [r for b in jaccard_join._split(True, most)([rows]) for r in b.to_pylist()]
+        at = np.array(linked([(r["node"], r["other"]) for r in plain if r["kind"] == 0], len(docs)))
+        tag = np.where(np.arange(len(docs)) % 3 > 0, at, np.arange(len(docs)))
+        tagged = pa.RecordBatch.from_arrays([*rows.columns, pa.array(tag)], names=["key", "node", "n", "sig", "tag"])
+        out = [r for b in jaccard_join._split(True, most)([tagged]) for r in b.to_pylist()]
+        known = [(int(t), k) for k, t in enumerate(tag)]
+        again = linked([(r["node"], r["other"]) for r in out if r["kind"] == 0] + known, len(docs))
+        first = {}
+        assert all(first.setdefault(x, y) == y for x, y in zip(at.tolist(), again)) and len(set(again)) <= len(set(at.tolist()))
+        assert sum(r["kind"] == 0 for r in out) < sum(r["kind"] == 0 for r in plain)

@@ -15,8 +15,10 @@ and non-ASCII characters; a shorter text is one shingle of all its words). Equal
    that share LIKELY, one of them ALIKE with a pivot, both share as much with that pivot. Nodes linked to one
    group of pivots are in one component already, so a path whose nodes are all of one group ends: the
    rows of a large group of near copies go no deeper. A pair of similarity 0.8 survives a
-   run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4 and 0.35 at depth 8. RUNS runs are
-   made first; then, as long as the deepest level that had rows leaves the recall of such a pair
+   run with a chance of 0.8, 0.67, 0.58, 0.51 at depths 1 to 4 and 0.35 at depth 8. What the first run links
+   a node to is its tag from then on: nodes of one tag are in one component, so later runs give an edge for two
+   tags that meet in a bucket, not for every node of a large group of near copies again, and buckets of one tag end.
+   RUNS runs are made first; then, as long as the deepest level that had rows leaves the recall of such a pair
    below the target, as many more as it takes (10 runs for 0.999 at depth 3, 13 at 4, 29 at 8).
    What is left of a large bucket at the last level is cut in blocks of BUCKET nodes, and pairs of
    blocks are compared apart.
@@ -49,6 +51,8 @@ BUCKET = 1024
 #: Rows of a bucket that its task splits on by itself, to the last level; larger buckets are dealt out anew level by level.
 HOLD = 1 << 16
 BLOCK = 1024
+#: Bytes of text that a task hashes at once; its arrays take many times as much.
+SLICE_BYTES = 1 << 20
 PIVOTS = 16
 LIKELY = 0.55
 ALIKE = 0.92
@@ -98,7 +102,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table_ = alnum_table()
     for b in batches:
-        for lo, hi, w in word_batches(b.column(1), table_):
+        for lo, hi, w in word_batches(b.column(1), table_, SLICE_BYTES):
             h, first = token_sets(*shingles(w, SHINGLE), hi - lo)
             size = np.diff(first)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, 31))])
@@ -158,8 +162,25 @@ def _bucket_rows(kind: int, key, node, other=None, n=None, sig=None) -> pa.Recor
         names=["kind", "key", "node", "other", "n", "sig"])
 
 
-def _pivots(node: np.ndarray, sig: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """(nodes, signatures, group of each) of a large bucket's pivots, and edges that span their groups."""
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """True at the first place of each different tuple of the keys."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.zeros(len(order), bool)
+    out[order[new]] = True
+    return out
+
+
+def _new_links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges between nodes of these tags link two tags that no edge before them did."""
+    return _first_of(np.minimum(a, b), np.maximum(a, b)) & (a != b)
+
+
+def _pivots(node: np.ndarray, sig: np.ndarray, tag: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(nodes, signatures, group of each, tags) of a large bucket's pivots, and edges that span their groups."""
     pick, left = [], np.arange(len(node))
     while len(pick) < PIVOTS and len(left):
         pick.append(left[0])
@@ -167,12 +188,12 @@ def _pivots(node: np.ndarray, sig: np.ndarray) -> tuple[tuple, np.ndarray, np.nd
     near = (sig[pick][:, None, :] == sig[pick][None, :, :]).sum(2) >= NEAR * PLACES - 1e-9
     group = _forest(near)
     away = np.flatnonzero(group != np.arange(len(pick)))
-    return (node[pick], sig[pick], group), node[pick][group[away]], node[pick][away]
+    return (node[pick], sig[pick], group, tag[pick]), node[pick][group[away]], node[pick][away]
 
 
-def _settle(pivots: tuple, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges to the pivots, which rows go on, and a name for what each row is linked to by now."""
-    pn, ps, group = pivots
+def _settle(pivots: tuple, node: np.ndarray, sig: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges to the pivots (one for each tag), which rows go on, and a name for what each row is linked to by now."""
+    pn, ps, group, pt = pivots
     alike = np.stack([(sig == s).sum(1) for s in ps], 1)
     near = alike >= NEAR * PLACES - 1e-9
     near[pn[None, :] == node[:, None]] = False
@@ -188,11 +209,13 @@ def _settle(pivots: tuple, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarra
         b += [node[more[0]]] * len(own)
         group[np.isin(group, own)] = own[0]
     some = np.flatnonzero(near.any(1))  # pivots of a group are linked already: one edge to it will do
-    a = np.concatenate([np.array(a, np.int64), pn[near[some].argmax(1)]])
-    b = np.concatenate([np.array(b, np.int64), node[some]])
+    mine = group[near[some].argmax(1)]
+    new = _first_of(mine, tag[some]) & (tag[some] != pt[mine])
+    a = np.concatenate([np.array(a, np.int64), pn[mine[new]]])
+    b = np.concatenate([np.array(b, np.int64), node[some[new]]])
     go = (alike < ALIKE * PLACES).all(1) | np.isin(node, pn)
-    name = node.copy()
-    name[some] = pn[group[near[some].argmax(1)]]
+    name = tag.copy()
+    name[some] = pn[mine]
     self_ = pn[None, :] == node[:, None]
     own = np.flatnonzero(self_.any(1))
     name[own] = pn[group[self_[own].argmax(1)]]
@@ -200,24 +223,28 @@ def _settle(pivots: tuple, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarra
 
 
 def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth: int = 1):
-    """Rows (key, node, n, sig) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of very large ones.
+    """Rows (key, node, n, sig, tag) in order of key: edges (kind 0) of small buckets, next rows (kind 1) of very large ones.
 
     A bucket of more than ``most`` and at most ``hold`` rows is split on to the end where it is. Of a larger
     one, ``other`` of a next row names the group of pivots it is linked to (itself if none). What is left of a large
     bucket at the last level (kind 3, in a task at the last level itself 1) keeps its key, and ``other`` is the number of
-    its block. A row of kind 2 says in ``other`` how deep a task went.
+    its block. A row of kind 2 says in ``other`` how deep a task went. Nodes of one tag are linked already: without
+    the column each node is its own.
     """
     hold = most if hold is None else hold
 
-    def split(at: int, key: int, node, n, sig, deepest: list[int]) -> Iterator[pa.RecordBatch]:
+    def split(at: int, key: int, node, n, sig, tag, deepest: list[int]) -> Iterator[pa.RecordBatch]:
+        if (tag == tag[0]).all():
+            return
         deepest[0] = max(deepest[0], at)
         if len(node) <= most:
-            a, b = _compare(node, n, sig)
-            if len(a):
-                yield _bucket_rows(0, None, a, b)
+            a, b = _compare(np.arange(len(node)), n, sig)
+            new = _new_links(tag[a], tag[b])
+            if new.any():
+                yield _bucket_rows(0, None, node[a[new]], node[b[new]])
             return
-        pivots, a, b = _pivots(node, sig)
-        x, y, go, name = _settle(pivots, node, sig)
+        pivots, a, b = _pivots(node, sig, tag)
+        x, y, go, name = _settle(pivots, node, sig, tag)
         a, b = np.concatenate([a, x]), np.concatenate([b, y])
         if len(a):
             yield _bucket_rows(0, None, a, b)
@@ -236,7 +263,7 @@ def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth
             several = np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)      # rows of one group are linked already
             for lo, hi in zip(cut[several].tolist(), end[several].tolist()):
                 i = order[lo:hi]
-                yield from split(at + 1, int(child[i[0]]), node[i], n[i], sig[i], deepest)
+                yield from split(at + 1, int(child[i[0]]), node[i], n[i], sig[i], name[i], deepest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []          # the open bucket's rows, hold and a batch at most
@@ -245,9 +272,9 @@ def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth
         gone = 0                        # rows of the open bucket that went on
         deepest = [level]
 
-        def pass_on(key, node, n, sig):
+        def pass_on(key, node, n, sig, tag):
             nonlocal gone
-            a, b, go, name = _settle(pivots, node, sig)
+            a, b, go, name = _settle(pivots, node, sig, tag)
             if len(a):
                 yield _bucket_rows(0, None, a, b)
             if not go.any():
@@ -272,6 +299,7 @@ def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth
             if not len(key):
                 continue
             sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2").reshape(-1, PLACES)
+            tag = np.asarray(batch.column(4)) if batch.num_columns > 4 else node
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             end = np.append(cut[1:], len(key))
             alone = end - cut == 1
@@ -282,18 +310,18 @@ def _split(last: bool, most: int, hold: int | None = None, level: int = 1, depth
                     open_key = int(key[a])
                     if alone[i] and i < len(cut) - 1:
                         continue
-                part = (node[a:z], n[a:z], sig[a:z])
+                part = (node[a:z], n[a:z], sig[a:z], tag[a:z])
                 if pivots is not None:
                     yield from pass_on(open_key, *part)
                     continue
                 held.append(part)
                 if sum(len(h[0]) for h in held) > hold:
-                    hn, hz, hs = (np.concatenate(x) for x in zip(*held))
-                    pivots, x, y = _pivots(hn, hs)
+                    hn, hz, hs, ht = (np.concatenate(x) for x in zip(*held))
+                    pivots, x, y = _pivots(hn, hs, ht)
                     held = []
                     if len(x):
                         yield _bucket_rows(0, None, x, y)
-                    yield from pass_on(open_key, hn, hz, hs)
+                    yield from pass_on(open_key, hn, hz, hs, ht)
         yield from close()
         if deepest[0] > level:
             yield _bucket_rows(2, None, np.zeros(1, np.int64), np.array(deepest, np.int64))
@@ -367,13 +395,22 @@ def _likely_edges(nodes: DataFrame, depth: int, target: float) -> DataFrame:
     """Edges (a, b) that span all pairs the runs find; runs are added until the target recall holds at the depth reached."""
     edges, done, deepest, todo = None, 0, 1, RUNS
     while done < todo:
-        found, reached = _run_edges(nodes, done, todo, depth)
+        stop = todo if done else 1
+        found, reached = _run_edges(nodes, done, stop, depth)
         edges = found if edges is None else edges.union(found)
-        done, deepest = todo, max(deepest, reached)
-        todo = max(done, runs_needed(target, deepest))
+        if not done:
+            nodes = _tagged(nodes, found)
+        done, deepest = stop, max(deepest, reached)
+        todo = max(done, RUNS, runs_needed(target, deepest))
     return edges
 
 
+def _tagged(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with a ``tag``: the least node that these edges link each to (itself if none does). One tag, one component."""
+    to = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("tag"))
+    return nodes.join(to, "node", "left").withColumn("tag", F.coalesce("tag", "node"))
+
+
 def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[DataFrame, int]:
     """Edges (a, b) of the runs from first to before stop, and the deepest level that had rows."""
     spark = nodes.sparkSession
@@ -388,10 +425,11 @@ def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[Dat
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, PLACES)
             for r, place in order:
                 key = mix(mix(np.array([r], np.uint64), 53) + sig[:, place].astype(np.uint64), 57).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *b.columns], names=["key", "node", "n", "sig", "tag"])
 
-    row = "key long, node long, n int, sig binary"
-    rows = nodes.where("n > 0").select("node", "n", "sig").mapInArrow(roots, row)
+    row = "key long, node long, n int, sig binary, tag long"
+    tag = F.col("tag" if "tag" in nodes.columns else "node").alias("tag")
+    rows = nodes.where("n > 0").select("node", "n", "sig", tag).mapInArrow(roots, row)
     edges, reached = None, 1
     for level in range(1, depth + 1):
         dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
@@ -407,7 +445,7 @@ def _run_edges(nodes: DataFrame, first: int, stop: int, depth: int) -> tuple[Dat
         rows = got.where("kind = 1").select("key", "node", "n", "sig", "other")
         # rows that are linked to one group of pivots need not meet again
         several = rows.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("z")).where("a <> z").select("key")
-        rows = rows.join(several, "key", "left_semi").select("key", "node", "n", "sig")
+        rows = rows.join(several, "key", "left_semi").select("key", "node", "n", "sig", F.col("other").alias("tag"))
         if not rows.take(1):
             break
     return edges, reached
@@ -514,7 +552,7 @@ def _sets_of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(node, component, copies, size, text) to whole shingle sets, without rows whose text is not the node's (repeated ids)."""
     table_ = alnum_table()
     for b in batches:
-        for lo, hi, w in word_batches(b.column(4), table_):
+        for lo, hi, w in word_batches(b.column(4), table_, SLICE_BYTES):
             h, first = token_sets(*shingles(w, SHINGLE), hi - lo)
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, 31))])
             node = mix(total[first[1:]] - total[first[:-1]], 33) ^ mix(np.diff(first).astype(np.uint64), 35)
