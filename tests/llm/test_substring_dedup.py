@@ -83,3 +83,31 @@ def test_ranges_sorted_in_parts_give_the_same(spark, monkeypatch):
     assert sorted(np.concatenate(parts).tolist()) == list(range(1000)) and len(parts) == 21
     assert sum(len(set(keys[p].tolist())) for p in parts) == len(set(keys.tolist()))
     assert whole == sorted(map(tuple, sd.remove_repeats(df).collect())) and any(r[2] for r in whole)
+
+
+def test_hits_travel_by_groups_of_documents():
+    """A range gives a row for each group of documents, however many they are; gathered, each document has one row."""
+    import numpy as np
+    import pyarrow as pa
+    from txnclean.llm import substring_dedup as sd
+
+    n = 400
+    text = " ".join(f"w{k}" for k in range(80))
+    got = list(sd._anchors(1, 5)([pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": [text] * n})]))
+    rows = pa.Table.from_batches(got)
+    parts = [sd._live(8)(rows.filter(pa.compute.equal(rows["range"], r))) for r in range(5)]
+    assert all(0 < p.num_rows <= 8 for p in parts)
+    every = pa.concat_tables(parts)
+    want = {}
+    for p in parts:
+        for r in p.to_pylist():
+            ids, each, low = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["each"], "<u4"), np.frombuffer(r["low"], "<u4")
+            for d, x in zip(ids.tolist(), np.split(low, np.cumsum(each)[:-1])):
+                assert len(set(x.tolist())) == len(x)
+                want.setdefault(d, {})[r["range"]] = x.tobytes()
+    found = {}
+    for k in set(every["part"].to_pylist()):
+        for r in sd._by_document(every.filter(pa.compute.equal(every["part"], k))).to_pylist():
+            assert r["doc_id"] not in found
+            found[r["doc_id"]] = {h["range"]: h["low"] for h in r["hits"]}
+    assert len(found) == n and found == want

@@ -5,7 +5,8 @@ in a document with a smaller id; windows are judged on the input. Steps, all key
 
 1. Every document's non-overlapping blocks of 7 words are indexed, and every rolling window of
    7 words probes the index. Any repeated run of 13 words holds one whole block of the document
-   it repeats, so no repeat is missed. Only 32-bit hashes travel, dealt by the hash's range.
+   it repeats, so no repeat is missed. Only 32-bit hashes travel, dealt by the hash's range; what
+   the ranges find goes back packed by groups of documents, one row for a group and range.
 2. Hits are extended: around a live anchor the 13-word windows are hashed (80 bits), and a
    window is covered if the smallest document that has it is smaller than its own.
 3. Covered words leave; overlapping covered windows make maximal repeats.
@@ -29,6 +30,8 @@ WINDOW = 13
 BLOCK = 7
 #: Words whose anchors one range of hashes holds on average (sets the number of ranges by the size of the input).
 RANGE_WORDS = 1_500_000
+#: Ranges whose words, on average, are those of a group of documents whose hits are gathered in one task.
+GROUP_RANGES = 4
 #: Entries of a range that are sorted at once.
 PART_ENTRIES = 400_000
 
@@ -118,23 +121,46 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, each), each
 
 
-def _live(t: pa.Table) -> pa.Table:
-    """Per document the anchors' hashes that a block and a window of different documents share."""
-    doc, _ = _unpack(t)
+def _live(n_groups: int):
+    """Anchors' hashes that a block and a window of different documents share, once a document, packed by groups of documents."""
+    def run(t: pa.Table) -> pa.Table:
+        doc, _ = _unpack(t)
+        low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("low")])
+        block = (low & 1).astype(bool)
+        keep = np.zeros(len(doc), bool)
+        for i in _parts(low >> np.uint32(1)):
+            lo, hi = _extent(low[i] >> np.uint32(1), None, doc[i], block[i])
+            keep[i] = (lo < doc[i]) | (block[i] & (doc[i] < hi))
+        doc, low = doc[keep], low[keep] >> np.uint32(1)
+        order = np.lexsort((low, doc))
+        doc, low = doc[order], low[order]
+        once = np.ones(len(doc), bool)
+        once[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
+        ids, at = np.unique(doc[once], return_inverse=True)
+        group = (mix(ids.astype(np.uint64), 15) % np.uint64(n_groups)).astype(np.int64)
+        rows = list(_by_range(ids, at, [low[once].astype("<u4")], group[at], n_groups)) if len(ids) else []
+        first = t.column("range")[0].as_py()
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "range": pa.array([first] * len(rows), pa.int32()),
+                         **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in ((1, "ids"), (2, "each"), (3, "low"))}})
+    return run
+
+
+def _by_document(t: pa.Table) -> pa.Table:
+    """The hits of a group of documents, from all ranges: one row a document."""
+    ids = [np.frombuffer(x.as_py(), "<i8") for x in t.column("ids")]
+    each = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("each")]).astype(np.int64)
     low = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in t.column("low")])
-    block = (low & 1).astype(bool)
-    keep = np.zeros(len(doc), bool)
-    for i in _parts(low >> np.uint32(1)):
-        lo, hi = _extent(low[i] >> np.uint32(1), None, doc[i], block[i])
-        keep[i] = (lo < doc[i]) | (block[i] & (doc[i] < hi))
-    order = np.argsort(doc[keep], kind="stable")
-    doc, low = doc[keep][order], low[keep][order]
-    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    end = np.append(head[1:], len(doc))
-    first = t.column("range")[0].as_py()
-    return pa.table({
-        "doc_id": pa.array(doc[head], pa.int64()), "range": pa.array([first] * len(head), pa.int32()),
-        "low": pa.array([np.unique(low[a:b] >> np.uint32(1)).astype("<u4").tobytes() for a, b in zip(head, end)], pa.binary())})
+    rng = np.repeat(np.asarray(t.column("range").combine_chunks()), [len(x) for x in ids])
+    doc = np.concatenate(ids)
+    order = np.argsort(doc, kind="stable")
+    start = (np.cumsum(each) - each)[order]
+    doc, rng, each = doc[order], rng[order], each[order]
+    end = np.concatenate([[0], np.cumsum(each)])
+    low = low[np.repeat(start - end[:-1], each) + np.arange(len(low))]
+    packed = pa.Array.from_buffers(pa.binary(), len(each), [None, pa.py_buffer((4 * end).astype(np.int32)), pa.py_buffer(low)])
+    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    hits = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)), pa.int32()), pa.StructArray.from_arrays([pa.array(rng, pa.int32()), packed], ["range", "low"]))
+    return pa.table({"doc_id": pa.array(doc[head], pa.int64()), "hits": hits})
 
 
 def _grow(mask: np.ndarray, before: int) -> np.ndarray:
@@ -260,8 +286,9 @@ def covered_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = ids_and_texts(docs, id_col, text_col).where("doc_id is not null")
     n = n_ranges(src, "text")
     anchors = src.mapInArrow(_anchors(1, n), "range int, ids binary, each binary, low binary")
-    live = anchors.groupBy("range").applyInArrow(_live, "doc_id long, range int, low binary")
-    live = live.groupBy("doc_id").agg(F.collect_list(F.struct("range", "low")).alias("hits"))
+    # a document meets many ranges: what they find travels by groups of documents, not in a row for each document and range
+    live = anchors.groupBy("range").applyInArrow(_live(max(8, n // GROUP_RANGES)), "part int, range int, ids binary, each binary, low binary")
+    live = live.groupBy("part").applyInArrow(_by_document, "doc_id long, hits array<struct<range: int, low: binary>>")
     m = max(8, n // 8)
     near = src.join(live, "doc_id").select("doc_id", "text", "hits").mapInArrow(
         _extend(n, m), "range int, ids binary, each binary, h binary, h2 binary")
