@@ -108,3 +108,24 @@ def test_piece_memory_is_bounded_by_bytes(monkeypatch):
         got = some.column(pa.array(texts))
         assert got == [some._encode([t])[0] for t in texts]
         assert some.held < 5000 + 20 * 3 * 400
+
+
+def test_pieces_encoded_together_are_cut_apart_as_the_library_gives_them(monkeypatch):
+    """Pieces that drop blanks are encoded many at once, with a mark between them; a text that holds the mark is not."""
+    import pyarrow as pa
+    from txnclean.llm import tokens
+
+    some = tokens.Pieces(tokens.tokenizer_path("word_bpe_49k.json"), lengths=False)
+    calls = []
+    inner = some._encode_joined
+    some._encode_joined = lambda x: calls.append(len(x)) or inner(x)
+    odd = ["'s it's 's", "é ́x", "<| end <|endoftext|> |>", "a  b   c", "\n x\ty  ", "", " ", "12 3² ½", "!! ?! 中文 \U0001f600"] + [f"w{k}, W{k}." for k in range(500)]
+    got = some.column(pa.array(odd))
+    assert calls and sum(calls) > 900
+    assert got == [some._encode([t])[0] for t in odd]
+    calls.clear()
+    marked = ["a \x01 b \x01\x01", "new \x01word"]
+    assert some.column(pa.array(marked)) == [some._encode([t])[0] for t in marked] and not calls
+    some.rest()
+    assert not some.old and some.column(pa.array(odd)) == got
+    assert tokens.Pieces(tokens.tokenizer_path("byte_bpe_50k.json"), lengths=False).mark is None

@@ -180,6 +180,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(who, pa.int64())), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, size, crc)]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.rest()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

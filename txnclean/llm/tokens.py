@@ -30,6 +30,9 @@ ENTRY_BYTES = 200
 #: New pieces are encoded in batches of so many characters; texts are cut up in slices of so many bytes.
 BATCH_CHARS = 1 << 18
 SLICE_BYTES = 4 << 20
+#: A control character that is a token of its own; pieces that drop blanks are encoded in texts of about so many characters with it between them.
+MARK = "\x01"
+JOINED_CHARS = 640
 
 _loaded: dict[tuple[str, bool], "Pieces"] = {}
 
@@ -49,15 +52,45 @@ class Pieces:
         # does a blank before a word belong to its tokens?
         self.keeps_blank = self._encode_ids("a b") != self._encode_ids("ab") and \
             self._encode_ids(" b") != self._encode_ids("b")
+        self.mark = None if self.whole_only or self.keeps_blank or any(MARK in s for s in special) else self._mark_id()
         self.lengths = lengths
         self.zero = 0 if lengths else b""
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
         self.held = 0
 
+    def rest(self) -> None:
+        """Between tasks: the older half of the memory and what Arrow holds unused are given back."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
     def _encode_ids(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _mark_id(self) -> int | None:
+        """The id of the mark, where it stands for the mark alone and never joins what is beside it."""
+        ids = self._encode_ids(MARK)
+        alone = len(ids) == 1 and all(
+            self._encode_ids(f"{a} {MARK} {b}") == self._encode_ids(a) + ids + self._encode_ids(b)
+            for a in ("", "a", "!", "\n", "<|", MARK) for b in ("", "b", "'s", "!", "\u0301", MARK))
+        return ids[0] if alone else None
+
+    def _encode_joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text (none holds a blank or the mark): many are encoded at once and cut apart at the mark's id."""
+        between = f" {MARK} "
+        group = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + len(between)) // JOINED_CHARS
+        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
+        ids = [e.ids for e in self.tok.encode_batch_fast(
+            [between.join(texts[a:z]) for a, z in zip(cut[:-1], cut[1:])], add_special_tokens=False)]
+        for x in ids:
+            x.append(self.mark)
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", sum(map(len, ids)))
+        end = 4 * np.flatnonzero(flat == self.mark)
+        if len(end) != len(texts):
+            raise ValueError(f"{len(texts)} pieces were cut apart into {len(end)}")
+        data = flat.tobytes()
+        return [data[a:z] for a, z in zip([0, *(end[:-1] + 4).tolist()], end.tolist())]
+
     def _encode(self, texts: list[str]) -> list:
         enc = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         if self.lengths:
@@ -77,26 +110,31 @@ class Pieces:
         if None not in found:
             return found
         missing = [i for i, f in enumerate(found) if f is None]
-        unknown = []
-        for i in missing:
-            got = old.get(parts[i])
+        names = [parts[i] for i in missing]
+        unknown, new = [], []
+        for i, name, got in zip(missing, names, map(old.get, names)):
             if got is None:
                 unknown.append(i)
+                new.append(name)
             else:
-                found[i] = young[parts[i]] = got
-                self.held += ENTRY_BYTES + 2 * len(parts[i]) + (0 if self.lengths else len(got))
+                found[i] = young[name] = got
+                self.held += ENTRY_BYTES + 2 * len(name) + (0 if self.lengths else len(got))
         blank = " " if self.keeps_blank else ""
-        lo, chars = 0, 0
-        for k, i in enumerate(unknown):          # batches balanced by size, not by number
-            chars += len(parts[i]) + 1
-            if chars >= BATCH_CHARS or k == len(unknown) - 1:
-                some = [parts[j] for j in unknown[lo:k + 1]]
-                values = self._encode([blank + p for p in some])
-                young.update(zip(some, values))
-                self.held += ENTRY_BYTES * len(some) + 2 * chars + (0 if self.lengths else sum(map(len, values)))
-                for j, v in zip(unknown[lo:k + 1], values):
-                    found[j] = v
-                lo, chars = k + 1, 0
+        chars = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        lo = 0
+        while lo < len(new):                     # batches balanced by size, not by number
+            before = int(chars[lo - 1]) if lo else 0
+            hi = min(len(new), int(np.searchsorted(chars, before + BATCH_CHARS)) + 1)
+            some = new[lo:hi]
+            if self.mark is None or self.lengths or MARK in "".join(some):
+                values = self._encode([blank + p for p in some] if blank else some)
+            else:
+                values = self._encode_joined(some)
+            young.update(zip(some, values))
+            self.held += ENTRY_BYTES * len(some) + 2 * (int(chars[hi - 1]) - before) + (0 if self.lengths else sum(map(len, values)))
+            for i, v in zip(unknown[lo:hi], values):
+                found[i] = v
+            lo = hi
         return found
 
     def _slow(self, text: str):
