@@ -159,8 +159,10 @@ def _places(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
-                 capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's tokens and the end id."""
+                 capacity: int = CAPACITY, end: int = END, give_back: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document's tokens and the end id.
+
+    ``give_back``: workers let go of memory after each task (other stages follow in them) and encode more anew."""
     path = tokenizer_path(tokenizer)
     tail = np.array([end], "<u4").tobytes()
 
@@ -180,20 +182,21 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(who, pa.int64())), pa.array(k, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, size, crc)]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.rest()
+        if give_back:
+            enc.rest()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
-                   capacity: int = CAPACITY) -> DataFrame:
+                   capacity: int = CAPACITY, give_back: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row.
 
     A null or empty text is the end id alone. Null ids and repeated rows are packed like others.
     Pieces are written to the shared folder once and not tokenised again. Other columns are ignored.
     """
-    rows = written(token_pieces(docs, id_col, text_col, tokenizer, capacity), "pieces")
+    rows = written(token_pieces(docs, id_col, text_col, tokenizer, capacity, give_back=give_back), "pieces")
     have = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():       # at most `capacity` rows
         have[r["length"]] = r["count"]
