@@ -1,6 +1,7 @@
 """Segments of texts: no similar pair is lost, and texts of one template meet rarely."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -109,6 +110,66 @@ def test_texts_of_chance_ask_with_one_width_and_meet_rarely(spark):
     assert met.count() > 400 and met.where(in_place(0.9)).count() < 5
 
 
+def lower_base64(rnd, n):
+    return "payment " + "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n)).lower()
+
+
+def test_numbers_of_characters_tell_chance_meetings_apart():
+    """Each unmatched character turns one bit at most, and texts of chance differ in far more bits than similar ones may."""
+    rnd = random.Random(5)
+    texts = [lower_base64(rnd, 44) for _ in range(2000)]
+    near = [changed(rnd, t, k % 6) for k, t in enumerate(texts)]
+    own, others, nearest = (Grams(t).parity.view(np.uint64) for t in (texts, texts[1:] + texts[:1], near))
+    assert (np.bitwise_count(own ^ others) <= 10).sum() <= 2
+    assert all(n <= k % 6 for k, n in enumerate(np.bitwise_count(own ^ nearest).tolist()))
+
+
+def test_parts_find_the_same_pairs(spark, monkeypatch):
+    """Index and probes joined in parts: the pairs are those of one part, and similar ones are among them."""
+    from txnclean.functions import segments
+    rnd = random.Random(21)
+    texts = [lower_base64(rnd, 30) for _ in range(150)]
+    texts += [changed(rnd, t, 2) for t in texts] + ["", "a"]
+    whole = pairs_of(spark, texts, 0.9)
+    monkeypatch.setattr(segments, "ROWS", 100)
+    assert sorted(pairs_of(spark, texts, 0.9)) == sorted(whole)
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if texts[j] and SequenceMatcher(None, texts[i], texts[j]).ratio() >= 0.9}
+    assert len(want) > 50 and want <= set(whole)
+
+
+def test_segments_that_no_text_is_indexed_by_are_not_asked_for(spark):
+    from txnclean.functions.segments import surveyed
+    rnd = random.Random(8)
+    df = frame(spark, [lower_base64(rnd, 44) for _ in range(300)])
+    frequent = frequent_segments(df, "tx", 0.9)
+    used, idle, rows = surveyed(df, "tx", 0.9, frequent)
+    template = {int(h) for h in Grams(["payment "]).of(0, 4)}
+    assert used == {52: [4]} and template <= set(idle.tolist())
+    x, y = index_rows(df, "tx", 0.9, frequent, used), probe_rows(df, "tx", 0.9, used, idle)
+    assert not {r["gram"] for r in x.select("gram").distinct().collect()} & set(idle.tolist())
+    assert y.count() <= 44 * 300 and rows == x.count() + 49 * 300
+    assert sum(index_rows(df, "tx", 0.9, frequent, used, (k, 3)).count() for k in range(3)) == x.count()
+
+
+def test_what_is_shuffled_for_a_checkpoint_leaves_the_disk(spark):
+    from txnclean.session import CLEANUP, cut_lineage
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = [f.getName() for f in (lambda files: [files.apply(k) for k in range(files.size())])(disk.getAllFiles())]
+        return {n for n in names if n.startswith("shuffle_")}
+
+    before, set_to = shuffled(), spark.conf.get(CLEANUP, None)
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = cut_lineage(df)
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(CLEANUP, None) == set_to
+    assert kept.count() == 7 and df.count() == 7 and df.collect()
+
+
 def test_in_order_bounds_the_ratio_of_texts_that_share_their_characters():
     from txnclean.functions.similarity import _rows_of, in_order
 
