@@ -311,3 +311,32 @@ def test_chain_through_many_blocks_settles_in_few_rounds(spark, monkeypatch):
     res = clean(rows, ColumnMapping(date_columns=["date"], amount_columns=["amount"], output_columns=["date", "note", "amount"]),
                 order_by="i", ghosts=GhostOptions(True, amount_tol=0.015, max_rounds=3))
     assert sorted(r["_ord"]["i"] for r in res.cleaned.select("_ord").collect()) == list(range(0, n, 2))
+
+
+def test_only_the_rows_and_what_is_kept_of_them_stay_on_disk(spark, monkeypatch):
+    """Nothing is cached, what rounds leave behind is removed when it has been read, and an all-empty row is carried along."""
+    from txnclean.operators import bands
+    monkeypatch.setattr(bands, "BLOCK", 200)
+    n = 3000
+    rows = spark.range(n).select(
+        F.col("id").alias("i"), F.when(F.col("id") > 1, "2026-04-16").alias("date"), F.when(F.col("id") > 1, F.concat(F.lit("n"), F.col("id"))).alias("note"),
+        F.when(F.col("id") > 1, F.format_string("%.3f", F.lit(10) + F.col("id") / 100)).alias("amount"))
+    sc = spark.sparkContext
+    held = sc._jsc.getPersistentRDDs().size()
+
+    def stored():
+        root = sc.getCheckpointDir().removeprefix("file:")
+        return {d: sc._jsc.sc().checkpointFile(f"{root}/{d}", sc._jvm.scala.reflect.ClassTag.Any()).count()
+                for d in os.listdir(root) if d.startswith("rdd-")}
+
+    before = set(os.listdir(sc.getCheckpointDir().removeprefix("file:")))
+    res = clean(rows, ColumnMapping(date_columns=["date"], amount_columns=["amount"], output_columns=["date", "note", "amount"]),
+                order_by="i", ghosts=GhostOptions(True, amount_tol=0.015))
+    assert res.cached is None and sc._jsc.getPersistentRDDs().size() == held
+    counts = sorted((k for d, k in stored().items() if d not in before), reverse=True)
+    # the n - 2 rows and the one group of empty rows; n / 2 - 1 kept ones; a few rows near borders
+    assert counts[0] == n - 1 and sum(counts[1:]) < n / 2 + n / 4
+    assert sorted(r["_ord"]["i"] for r in res.cleaned.select("_ord").collect()) == list(range(2, n, 2))
+    acc = res.accounting().first()
+    assert acc["balanced"] and (acc["all_empty"], acc["ghost_transactions_removed"], acc["total_rows_cleaned"]) == (2, n // 2 - 1, n // 2 - 1)
+    assert res.ghost_metrics["rows"] == n - 2
